@@ -94,13 +94,13 @@ def string_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], data[off[0] : off[-1]]
 
 
-def blocks(batches: Iterable[pa.RecordBatch], id_col: str = "doc_id", text_col: str = "text", limit: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(batches: Iterable[pa.RecordBatch], id_col: str | None = "doc_id", text_col: str = "text", limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Blocks of at most ``limit`` bytes; a longer document is a block of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids = batch.column(batch.schema.get_field_index(id_col))
-        ids = np.asarray(ids.fill_null(-1) if ids.null_count else ids)
+        ids = batch.column(batch.schema.get_field_index(id_col)) if id_col else pa.nulls(batch.num_rows, pa.int8())
+        ids = np.asarray(ids.fill_null(-1) if ids.null_count and id_col else ids)
         off, data = string_buffers(batch.column(batch.schema.get_field_index(text_col)))
         i, n = 0, batch.num_rows
         while i < n:

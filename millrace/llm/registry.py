@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.session import table
 
@@ -25,3 +26,28 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.bpe import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document, base kinds counted and digested."""
+    from millrace.llm.secrets import joined, scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), count("guess").alias("n_guess"),
+        F.sha2(joined(F.col("secrets"), ("assign", "access", "hex")), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"),
+        F.array_max(F.transform("secrets", lambda s: s.log10_guesses)).alias("most_log10_guesses"),
+    )
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    from millrace.llm.language import LanguageModel, folded, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = LanguageModel.train(docs.where(~folded()))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", folded().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_mix").alias("n_langs"))
