@@ -51,3 +51,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = LanguageModel.train(docs.where(~folded()))
     found = identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", folded().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_mix").alias("n_langs"))
+
+
+@query
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document: 5-word shingles, similarity 0.75."""
+    from millrace.llm.jaccard import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
