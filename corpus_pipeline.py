@@ -3,11 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millrace.llm.bpe import encode_documents
+from millrace.llm.decontaminate import drop_contaminated
+from millrace.llm.jaccard import jaccard_classes
+from millrace.llm.language import LanguageModel, folded, identify
+from millrace.llm.secrets import scan_secrets
 from millrace.llm.shared import fresh_path
 from millrace.session import table
 
-STAGES: list = []
+#: Documents whose main language makes up less of them than this go.
+LEAST_LANGUAGE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a main language; those without a letter or without any main language go."""
+    model = LanguageModel.train(docs.where(~folded()))
+    found = identify(docs, model, names=("_lang", "_score", "_mix"))
+    return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class: the one with the least id. Rows without an id stay."""
+    kept = jaccard_classes(docs).where("doc_id = component_id").select("doc_id")
+    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark."""
+    clean = scan_secrets(docs, out_col="_secrets", mask="[SECRET]")
+    return clean.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of each document's ids and decoded text."""
+    import public_tokenizers
+
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("encode", encode)]
 
 #: SQL can't express the stages; tests compare each with a brute-force version.
 ORACLE_SQL = None

@@ -59,3 +59,11 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.jaccard import jaccard_classes
 
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, exact or edited, with the alignment's score."""
+    from millrace.llm.decontaminate import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
