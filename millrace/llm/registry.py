@@ -67,3 +67,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.decontaminate import find_contamination
 
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that 100-byte strings which also start earlier cover."""
+    from millrace.llm.suffixes import repeated_bytes
+
+    found = repeated_bytes(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r.end - r.start)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
