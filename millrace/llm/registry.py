@@ -77,3 +77,12 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_bytes(table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r.end - r.start)
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of six sevenths of them."""
+    from millrace.llm.kneser_ney import train_and_score
+
+    found = train_and_score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
