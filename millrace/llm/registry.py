@@ -86,3 +86,12 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = train_and_score(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+@query
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    from millrace.llm.multi_index import search
+
+    rows = table(spark, sf_dir, "embeddings")
+    return search(rows, rows.where("vec_id % 20 = 0")).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
