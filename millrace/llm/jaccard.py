@@ -208,7 +208,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, numerator: int = 75, id_col: st
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / numerator))).cast("int")
     postings = (
         heads.select("doc_id", "n", "n_unique", band.alias("band"), F.posexplode(F.slice("tokens", 1, F.least(F.size("tokens"), prefix.cast("int")))).alias("i", "token"))
-        .select("doc_id", "n", "token", (F.col("n_unique") + F.col("i")).alias("pos"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+        .select("doc_id", "n", "token", (F.col("n_unique") + F.col("i")).alias("pos"), "i", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     )
     lists = postings.groupBy("token", "band").agg(F.min(F.struct("n", "doc_id")).alias("low"), F.max(F.struct("n", "doc_id")).alias("high"), F.count("*").alias("size")).where("size > 1")
     index = written(postings.join(lists, ["token", "band"]), "index")
@@ -222,25 +222,44 @@ def jaccard_classes(docs: DataFrame, n: int = 5, numerator: int = 75, id_col: st
     links = seen.where(_linked("inter", "nx", "ny", numerator)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     label = components(links)
 
-    # blocks whose sets aren't all of one component yet
-    member = index.select("token", "band", "doc_id", "n", "pos").join(label, index.doc_id == label.node, "left").select("token", "band", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("c"))
-    open_ = member.groupBy("token", "band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token", "band")
-    rest = member.join(open_, ["token", "band"])
+    def unsettled(label: DataFrame) -> DataFrame:
+        """Rows of the blocks whose sets aren't all of one component yet."""
+        member = index.select("token", "band", "doc_id", "n", "pos", "i").join(label, index.doc_id == label.node, "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component")
+        ends = member.groupBy("token", "band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+        return member.join(ends, ["token", "band"])
+
+    # each set against one member of other components, another one in each block
+    rest = written(unsettled(label), "unsettled")
+    some = rest.where("c = c0 or c = c1").groupBy("token", "band", "c").agg(F.min_by(F.struct("doc_id", "n"), F.xxhash64("doc_id", "token")).alias("r")).withColumnRenamed("c", "rc")
+    pairs = (
+        rest.join(some, ["token", "band"]).where("c <> rc").where(near(F.col("n"), F.col("r.n")))
+        .select(F.greatest("doc_id", "r.doc_id").alias("x"), F.least("doc_id", "r.doc_id").alias("y")).distinct().join(seen.select("x", "y"), ["x", "y"], "left_anti")
+    )
+    again = written(verify(pairs, heads), "pivots")
+    seen = seen.unionByName(again)
+    links = links.unionByName(again.where(_linked("inter", "nx", "ny", numerator)).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    label = components(links)
+
+    # what is still open, pair by pair: each pair in the block of its first common token, and not if a common pivot rules it out
+    far = lambda: 1 - F.col("inter") / (F.col("nx") + F.col("ny") - F.col("inter"))
+    known = seen.select(F.col("x").alias("d"), F.col("y").alias("p"), far().alias("far")).unionByName(seen.select(F.col("y").alias("d"), F.col("x").alias("p"), far().alias("far")))
+    best = known.groupBy("d").agg(F.min(F.struct("far", "p")).alias("near"), F.min(F.struct("p", "far")).alias("hub"))
+    limit = 1 - numerator / 100 + 1e-9
+    rest = unsettled(label).join(best, F.col("doc_id") == F.col("d"), "left").drop("d")
+    rest = rest.join(heads.select("doc_id", "tokens"), "doc_id").withColumn("before", F.slice("tokens", 1, F.col("i"))).drop("tokens")
     a, b = rest.alias("a"), rest.alias("b")
     both = F.col("a.n") + F.col("b.n")
+    apart = lambda e: F.coalesce((F.col(f"a.{e}.p") == F.col(f"b.{e}.p")) & (F.abs(F.col(f"a.{e}.far") - F.col(f"b.{e}.far")) > limit), F.lit(False))
     pairs = (
         a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.doc_id") > F.col("b.doc_id")) & (F.col("a.c") != F.col("b.c"))
                & near(F.col("a.n"), F.col("b.n"))
-               & ((100 + numerator) * F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= numerator * both))
+               & ((100 + numerator) * F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= numerator * both)
+               & ~apart("near") & ~apart("hub") & ~F.arrays_overlap("a.before", "b.before"))
         .select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).distinct().join(seen.select("x", "y"), ["x", "y"], "left_anti")
     )
     # answers derived from a highly similar set: by the triangle inequality over a pivot that both were tested with
-    far = lambda: 1 - F.col("inter") / (F.col("nx") + F.col("ny") - F.col("inter"))
-    known = seen.select(F.col("x").alias("d"), F.col("y").alias("p"), far().alias("far")).unionByName(seen.select(F.col("y").alias("d"), F.col("x").alias("p"), far().alias("far")))
-    best = known.groupBy("d").agg(F.min(F.struct("far", "p")).alias("near"))
     at = lambda d, p, out: known.select(F.col("d").alias(d), F.col("p").alias(p), F.col("far").alias(out))
     nearest = lambda d, p, out: best.select(F.col("d").alias(d), F.col("near.p").alias(p), F.col("near.far").alias(out))
-    limit = 1 - numerator / 100 + 1e-9
     tested = (
         pairs.join(nearest("x", "px", "xp"), "x", "left").join(at("y", "px", "yq"), ["y", "px"], "left")
         .join(nearest("y", "py", "yp"), "y", "left").join(at("x", "py", "xq"), ["x", "py"], "left")
