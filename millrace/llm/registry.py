@@ -95,3 +95,29 @@ def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "embeddings")
     return search(rows, rows.where("vec_id % 20 = 0")).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply-ordered conversations without quotes, each message with its links."""
+    from millrace.llm.quotes import order_replies
+
+    return order_replies(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that each document states."""
+    from millrace.llm.licences import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("license_sentences").cast("long").alias("n_license_sentences"), F.array_join("licenses", ",").alias("licenses"))
+
+
+def _oracles() -> None:
+    from millrace.llm.licences import oracle
+
+    ORACLES["op8_licenses"] = oracle()
+
+
+_oracles()
