@@ -33,7 +33,9 @@ from millrace.llm.blocks import _CHUNK, EXACT, blocks, mix, pack, pack_sorted, p
 from millrace.llm.jaccard import _slices, shard_of
 from millrace.llm.shared import partitions
 
-FLUSH = 1_500_000
+FLUSH = 500_000
+#: Bytes of text that anchors are sought in at a time, and rows whose surroundings are hashed at a time.
+PIECE_BYTES, HASH_ROWS, AROUND_ROWS = 1 << 20, 4096, 100_000
 #: A perfect difference cover: every distance modulo 13 is a difference of two of these.
 COVER_MODULUS, COVER = 13, (0, 1, 3, 9)
 #: Bytes that one cover rank stands for.
@@ -199,7 +201,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             h = h[order]
             return _table(_rows(shard_of(h, n), n, ids[order], pos[order], lo[order], hi[order], h), _FIELDS)
 
-        for b in blocks(batches):
+        for b in blocks(batches, limit=PIECE_BYTES):
             h, p, lo, hi = all_anchors(b.data, b.off, length)
             d = np.searchsorted(b.off, p, "right") - 1
             held.append((b.ids[d].astype(np.int64), p - b.off[d], p - lo, hi - lo, h))
@@ -251,8 +253,8 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         ids, pos, lo, hi = ids[order], pos[order], lo[order], hi[order]
         own = texts(left)
         out: list[tuple] = []
-        for a in range(0, len(ids), FLUSH // 8):
-            i, p, q, r = ids[a : a + FLUSH // 8], pos[a : a + FLUSH // 8], lo[a : a + FLUSH // 8], hi[a : a + FLUSH // 8]
+        for a in range(0, len(ids), AROUND_ROWS):
+            i, p, q, r = ids[a : a + AROUND_ROWS], pos[a : a + AROUND_ROWS], lo[a : a + AROUND_ROWS], hi[a : a + AROUND_ROWS]
             body = np.zeros((len(i), wide), np.uint8)
             edge = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1], [True])))
             for b, e in zip(edge[:-1], edge[1:], strict=True):
@@ -339,4 +341,5 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 def hash_rows(body: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each row of bytes."""
     up, _ = powers()
-    return (EXACT[body] * up[: body.shape[1]]).sum(axis=1, dtype=np.uint64)
+    parts = [(EXACT[body[a : a + HASH_ROWS]] * up[: body.shape[1]]).sum(axis=1, dtype=np.uint64) for a in range(0, len(body), HASH_ROWS)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
