@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import word_count, words
+from millrace.functions.text import strip_ws, word_count, words
 
 CHUNK = "array<struct<index:int,content:string,name:string,level:int>>"
 
@@ -42,13 +42,13 @@ def _packed(parts: Column, size: int, glue: str) -> Column:
 
 def custom_chunks(text: Column, separator: str, size: int = 500) -> Column:
     """Parts between a literal separator, packed greedily with it put back."""
-    parts = F.filter(F.split(text, re.escape(separator)), lambda p: F.trim(p) != "")
+    parts = F.filter(F.split(text, re.escape(separator)), lambda p: strip_ws(p) != "")
     return _packed(parts, size, separator)
 
 
 def code_chunks(text: Column, size: int = 1000) -> Column:
     """Prose around fenced blocks, packed greedily; the fenced code itself is left out."""
-    outside = F.filter(F.transform(F.split(text, "```"), lambda p, i: F.when(i % 2 == 0, F.trim(p)).otherwise("")), lambda p: p != "")
+    outside = F.filter(F.transform(F.split(text, "```"), lambda p, i: F.when(i % 2 == 0, strip_ws(p)).otherwise("")), lambda p: p != "")
     return _packed(outside, size, "\n")
 
 
