@@ -81,7 +81,8 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     at = (low[start] & np.uint64(0xFFFFFF)).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
     last = np.concatenate((new[1:], [len(at)])) - 1 if len(at) else new
-    return h[at[new]], at[new], start[new], start[last]
+    # an anchor's hash is small, being the least of many; mixed again it deals evenly
+    return mix(h[at[new]]), at[new], start[new], start[last]
 
 
 def all_anchors(data: np.ndarray, off: np.ndarray, length: int, most: int = 8 << 20) -> tuple[np.ndarray, ...]:
@@ -260,7 +261,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             for b, e in zip(edge[:-1], edge[1:], strict=True):
                 data = np.concatenate((np.zeros(anchor, np.uint8), own[int(i[b])], np.zeros(length, np.uint8)))
                 body[b:e] = np.lib.stride_tricks.sliding_window_view(data, wide)[p[b:e]]
-            h = mix(hash_rows(body[:, anchor : anchor + half]))
+            h = mix(mix(hash_rows(body[:, anchor : anchor + half])))
             every = np.concatenate((body, q.astype(np.uint8)[:, None], r.astype(np.uint8)[:, None]), axis=1)
             whole = hash_rows(every)
             order = np.lexsort((p, i, whole, h))
