@@ -77,6 +77,16 @@ CHAT_TEMPLATES = {
     "chatml": {"system": ("<|im_start|>system\n", "<|im_end|>\n"), "user": ("<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n"), "assistant": ("", "<|im_end|>\n")},
     "llama2": {"system": ("<<SYS>>\n", "\n<</SYS>>\n\n"), "user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>")},
     "alpaca": {"system": ("", "\n\n"), "user": ("### Instruction:\n", "\n\n### Response:\n"), "assistant": ("", "\n\n")},
+    "llama3": {
+        "system": ("<|start_header_id|>system<|end_header_id|>\n\n", "<|eot_id|>"),
+        "user": ("<|start_header_id|>user<|end_header_id|>\n\n", "<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n"), "assistant": ("", "<|eot_id|>"),
+    },
+    "mistral": {"system": ("", "\n\n"), "user": ("[INST] ", " [/INST]"), "assistant": ("", "</s>")},
+    "gemma": {"system": ("", "\n\n"), "user": ("<start_of_turn>user\n", "<end_of_turn>\n<start_of_turn>model\n"), "assistant": ("", "<end_of_turn>\n")},
+    "vicuna": {"system": ("", " "), "user": ("USER: ", " ASSISTANT:"), "assistant": (" ", "</s>")},
+    "zephyr": {"system": ("<|system|>\n", "</s>\n"), "user": ("<|user|>\n", "</s>\n<|assistant|>\n"), "assistant": ("", "</s>\n")},
+    "phi3": {"system": ("<|system|>\n", "<|end|>\n"), "user": ("<|user|>\n", "<|end|>\n<|assistant|>\n"), "assistant": ("", "<|end|>\n")},
+    "chatglm3": {"system": ("<|system|>\n", ""), "user": ("<|user|>\n", "<|assistant|>\n"), "assistant": ("", "")},
     "plain": {"system": ("", "\n"), "user": ("User: ", "\nAssistant: "), "assistant": ("", "\n")},
 }
 

@@ -107,10 +107,40 @@ def align_tool_messages(messages: Column) -> Column:
     return F.aggregate(named, start, step)
 
 
-def tool_calls(text: Column) -> Column:
-    """name and arguments (JSON) of calls written as <tool_call>{...}</tool_call>, or as Action and Action Input lines."""
-    tagged = F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"), 1)
-    calls = F.transform(tagged, lambda c: F.struct(F.get_json_object(c, "$.name").alias("name"), F.get_json_object(c, "$.arguments").alias("arguments")))
+def _call(c: Column, arguments: str = "$.arguments") -> Column:
+    return F.struct(F.get_json_object(c, "$.name").alias("name"), F.get_json_object(c, arguments).alias("arguments"))
+
+
+def _named(names: Column, inputs: Column) -> Column:
+    return F.zip_with(names, inputs, lambda n, i: F.struct(n.alias("name"), i.alias("arguments")))
+
+
+def tool_calls(text: Column, dialect: str = "any") -> Column:
+    """name and arguments (JSON) of the calls in a reply.
+
+    tags: <tool_call>{...}</tool_call>; action: Action and Action Input lines;
+    named: a name's line before an object; object: one object or a list of
+    objects as the whole reply. any: tags and action.
+    """
+    if dialect == "object":
+        body = F.regexp_extract(text, r"(?s)^\s*(?:\[TOOL_CALLS\])?\s*(\[.*\]|\{.*\})\s*$", 1)
+        listed = F.coalesce(F.from_json(F.when(body.startswith("{"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body), "array<struct<name:string,arguments:string,parameters:string>>"), F.array())
+        return F.filter(F.transform(listed, lambda c: F.struct(c["name"].alias("name"), F.coalesce(c.arguments, c.parameters).alias("arguments"))), lambda c: c["name"].isNotNull())
+    if dialect == "named":
+        shape = r"(?s)^\s*([A-Za-z_][\w.-]*)\n(\{.*\})\s*$"
+        name = F.regexp_extract(text, shape, 1)
+        one = F.array(F.struct(name.alias("name"), F.regexp_extract(text, shape, 2).alias("arguments")))
+        return F.filter(one, lambda c: c["name"] != "")
+    tagged = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"), 1), lambda c: _call(c))
     names = F.regexp_extract_all(text, F.lit(r"(?m)^Action:\s*([^\n]+?)\s*\nAction Input:\s*[^\n]*$"), 1)
     inputs = F.regexp_extract_all(text, F.lit(r"(?m)^Action:\s*[^\n]+?\s*\nAction Input:\s*([^\n]*)$"), 1)
-    return F.concat(calls, F.zip_with(names, inputs, lambda n, i: F.struct(n.alias("name"), i.alias("arguments"))))
+    if dialect not in ("any", "tags", "action"):
+        raise ValueError(f"unknown dialect {dialect}")
+    return tagged if dialect == "tags" else _named(names, inputs) if dialect == "action" else F.concat(tagged, _named(names, inputs))
+
+
+def tool_text(name: Column, description: Column, parameters: Column, dialect: str = "action") -> Column:
+    """How one tool is described to a model; parameters are JSON schema text."""
+    if dialect == "tags":
+        return F.to_json(F.struct(F.lit("function").alias("type"), F.struct(name.alias("name"), description.alias("description"), F.get_json_object(parameters, "$").alias("parameters")).alias("function")))
+    return F.concat(F.lit("> Tool Name: "), name, F.lit("\nTool Description: "), description, F.lit("\nTool Args: "), parameters, F.lit("\n"))

@@ -64,6 +64,9 @@ def test_packing_padding_and_tools(spark):
     assert one(encode.choice_prompt(F.lit("Q"), [F.lit("x"), F.lit("y")], F.lit("B"))) == "Q\nA. x\nB. y\nAnswer: B"
     text = 'hi <tool_call>{"name": "f", "arguments": {"a": 1}}</tool_call>\nAction: g\nAction Input: {"b": 2}\n'
     assert [(c.name, c.arguments) for c in one(encode.tool_calls(F.lit(text)))] == [("f", '{"a":1}'), ("g", '{"b": 2}')]
+    calls = lambda t, d: [(c.name, c.arguments) for c in one(encode.tool_calls(F.lit(t), d))]
+    assert calls('{"name": "f", "parameters": {"a": 1}}', "object") == [("f", '{"a":1}')] and calls('[{"name": "f", "arguments": {}}, {"name": "g", "arguments": {"x": 2}}]', "object") == [("f", "{}"), ("g", '{"x":2}')]
+    assert calls("weather\n{\"c\": 1}", "named") == [("weather", '{"c": 1}')] and calls("just text", "object") == calls("just text", "named") == calls("just text", "any") == []
     rows = spark.createDataFrame([([("user", "q", None), ("assistant", None, '[{"name":"f"}]'), ("tool", "1", None), ("tool", "2", None), ("assistant", "a", "")],)], "ms array<struct<role:string,content:string,tool_calls:string>>")
     got = rows.select(encode.align_tool_messages(F.col("ms")).alias("m")).first().m
     assert [(m.role, m.content) for m in got] == [("user", "q"), ("function", '[{"name":"f"}]'), ("observation", "1\n2"), ("assistant", "a")]
