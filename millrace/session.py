@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -26,3 +31,18 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One input table; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to Python workers that don't start where it can be imported."""
+    root = Path(__file__).resolve().parents[1]
+    seen = [Path(p).resolve() for p in (*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()) if p]
+    context = spark.sparkContext
+    if root in seen or context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    with tempfile.TemporaryDirectory() as folder:
+        context.addPyFile(shutil.make_archive(f"{folder}/millrace", "zip", root, "millrace"))
