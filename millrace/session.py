@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -44,5 +45,6 @@ def ship(spark: SparkSession) -> None:
     if root in seen or context.applicationId in _SHIPPED:
         return
     _SHIPPED.add(context.applicationId)
-    with tempfile.TemporaryDirectory() as folder:
-        context.addPyFile(shutil.make_archive(f"{folder}/millrace", "zip", root, "millrace"))
+    folder = tempfile.mkdtemp(prefix="millrace-")  # the driver serves the file from here for as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/millrace", "zip", root, "millrace"))
