@@ -1,6 +1,8 @@
+import re
+
 import duckdb
 
-from millrace.llm.licences import RULES, SENTENCES, oracle, scan_licenses
+from millrace.llm.licences import HINT, RULES, SENTENCES, known_sentences, oracle, scan_licenses
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
 ROWS = [
@@ -31,6 +33,7 @@ def test_oracle(spark):
 
 def test_rules_name_known_sentences():
     assert all(i in SENTENCES or i.startswith("notice:") for _, ids in RULES for i in ids)
+    assert all(re.search(HINT, s) for s in known_sentences())
 
 
 def test_empty(spark):
