@@ -23,7 +23,7 @@ def file_kind(name: Column) -> Column:
 
 
 @F.udf(T.StringType())
-def _decoded(raw: bytes) -> str:
+def _decoded(raw):
     for encoding in ENCODINGS:
         try:
             return raw.decode("utf-8-sig" if encoding == "utf-8" else encoding)
