@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from millrace.functions.text import words
-from millrace.operators.ranking import ordered_position, shuffle_key, shuffled_position, with_position
+from millrace.operators.ranking import ordered_position, shuffle_key, shuffled_position
 
 MESSAGE = "struct<role:string,content:string>"
 
@@ -250,7 +250,3 @@ def encode_supervised(df: DataFrame, tokenizer: Callable[[str], list[int]], cuto
 def first_rows(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     """The first rows by id."""
     return df.orderBy(id_col).limit(rows)
-
-
-def spread_positions(df: DataFrame, bucket: Column, order: list[str], **kw) -> DataFrame:
-    return with_position(df, bucket, order, **kw)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from millrace.operators import catalog, crawl, datasets  # noqa: F401
+from millrace.operators import catalog
 from millrace.operators.qa import full_documents, with_neighbours
 from millrace.plans.registry import query
 from millrace.session import table
