@@ -272,3 +272,18 @@ def jaccard_classes(docs: DataFrame, n: int = 5, numerator: int = 75, id_col: st
     found = sets.select("doc_id", *equal).join(classes, equal, "left")
     found = found.join(label, found.set_id == label.node, "left")
     return found.select("doc_id", "n_shingles", F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("component", "set_id", "doc_id").alias("component_id"))
+
+
+def oracle(source: str = "documents") -> str:
+    """The same classes in DuckDB's SQL, by the join of all shingles: for small tables."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^ \t\n\x0B\f\r]+') AS w FROM {source}),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y, c = nx.n AND c = ny.n AS same FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node), t AS (SELECT y, min(x) AS x FROM l WHERE same GROUP BY y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(t.x, d.doc_id) AS set_id, coalesce(c.component_id, d.doc_id) AS component_id
+FROM {source} d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.y = d.doc_id LEFT JOIN c ON c.node = d.doc_id"""

@@ -115,9 +115,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracles() -> None:
-    from millrace.llm.licences import oracle
+    from millrace.llm import jaccard, licences
 
-    ORACLES["op8_licenses"] = oracle()
+    ORACLES["op2_jaccard"] = jaccard.oracle()
+    ORACLES["op8_licenses"] = licences.oracle()
 
 
 _oracles()
