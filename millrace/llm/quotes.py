@@ -121,3 +121,29 @@ def order_replies(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     out = body.join(facts.join(roots, [conv, turn], "left"), [conv, turn], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(conv, turn, *keep, zero("n_quotes"), zero("n_linked"), "parent_turn", F.coalesce("root_turn", turn).alias("root_turn"), zero("depth"), "body").orderBy(conv, "root_turn", turn)
+
+
+def oracle(source: str = "conversations") -> str:
+    """The same in DuckDB's SQL, line by line; threads by a recursive walk."""
+    part = r"trim(regexp_replace(lower({x}), '[\s\p{{P}}\p{{Z}}]+', ' ', 'g'))"
+    units = lambda table, text, keys: f"""(SELECT {keys}, 0 AS rank, {part.format(x=text)} AS part, 0 AS pos FROM {table}
+  UNION ALL SELECT {keys}, 1, {part.format(x='x')}, 1 + i FROM (SELECT {keys}, unnest(string_split_regex({text}, '\\n[ \\t]*\\n')) AS x, generate_subscripts(string_split_regex({text}, '\\n[ \\t]*\\n'), 1) AS i FROM {table})
+  UNION ALL SELECT {keys}, 2, {part.format(x='x')}, 1000000 + i FROM (SELECT {keys}, unnest(string_split({text}, chr(10))) AS x, generate_subscripts(string_split({text}, chr(10)), 1) AS i FROM {table}))"""
+    attribution = ATTRIBUTION.replace("'", "''")
+    return rf"""WITH RECURSIVE lines AS (SELECT conv_id, turn, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM (
+  SELECT DISTINCT conv_id, turn, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS a FROM {source})),
+lv AS (SELECT conv_id, turn, i, length(regexp_replace(regexp_extract(line, '{MARKS}'), '[^>]', '', 'g')) AS level, regexp_replace(line, '{MARKS}', '') AS content FROM lines),
+nx AS (SELECT *, coalesce(lead(level) OVER w, 0) AS nxt, CASE WHEN level <> coalesce(lag(level) OVER w, level) THEN 1 ELSE 0 END AS new FROM lv WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+body AS (SELECT conv_id, turn, regexp_replace(coalesce(string_agg(content, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (nxt > 0 AND regexp_matches(content, '{attribution}'))), ''), '^\s+|\s+$', '', 'g') AS body FROM nx GROUP BY ALL),
+pa AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY i) AS n FROM nx),
+q AS (SELECT conv_id, turn, n, level, string_agg(content, chr(10) ORDER BY i) AS text FROM pa GROUP BY conv_id, turn, n, level HAVING level > 0),
+o AS (SELECT DISTINCT conv_id, turn, part FROM {units('body', 'body', 'conv_id, turn')} WHERE length(part) >= CASE rank WHEN 2 THEN {LEAST_LINE} ELSE 1 END),
+u AS (SELECT * FROM {units('q', 'text', 'conv_id, turn, n, level')} WHERE length(part) >= CASE rank WHEN 2 THEN {LEAST_LINE} ELSE 1 END),
+f AS (SELECT u.*, (SELECT max(o.turn) FROM o WHERE o.part = u.part AND o.conv_id = u.conv_id AND o.turn < u.turn) AS here, (SELECT min((o.conv_id, o.turn)) FROM o WHERE o.part = u.part AND o.conv_id <> u.conv_id) AS away FROM u),
+b AS (SELECT conv_id, turn, n, level, coalesce(here IS NOT NULL, false) AS own, here, row_number() OVER (PARTITION BY conv_id, turn, n ORDER BY here IS NULL AND away IS NULL, rank, pos) AS r, here IS NOT NULL OR away IS NOT NULL AS linked FROM f),
+best AS (SELECT * FROM b WHERE r = 1),
+facts AS (SELECT conv_id, turn, count(*) AS n_quotes, count(*) FILTER (linked) AS n_linked, arg_min(here, (level, n)) FILTER (own) AS parent_turn FROM best GROUP BY ALL),
+t AS (SELECT conv_id, turn, turn AS root_turn, 0::BIGINT AS depth FROM (SELECT DISTINCT conv_id, turn FROM {source}) m WHERE NOT EXISTS (SELECT 1 FROM facts x WHERE x.conv_id = m.conv_id AND x.turn = m.turn AND x.parent_turn IS NOT NULL)
+  UNION ALL SELECT x.conv_id, x.turn, t.root_turn, t.depth + 1 FROM t JOIN facts x ON x.conv_id = t.conv_id AND x.parent_turn = t.turn)
+SELECT m.conv_id, m.turn, m.role, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, parent_turn, t.root_turn, t.depth, body.body FROM {source} m
+JOIN body ON body.conv_id = m.conv_id AND body.turn = m.turn JOIN t ON t.conv_id = m.conv_id AND t.turn = m.turn LEFT JOIN facts ON facts.conv_id = m.conv_id AND facts.turn = m.turn"""

@@ -115,9 +115,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracles() -> None:
-    from millrace.llm import jaccard, licences
+    from millrace.llm import jaccard, licences, quotes
 
     ORACLES["op2_jaccard"] = jaccard.oracle()
+    ORACLES["op5_quotes"] = quotes.oracle()
     ORACLES["op8_licenses"] = licences.oracle()
 
 

@@ -1,4 +1,6 @@
-from millrace.llm.quotes import link_quotes, order_replies
+import duckdb
+
+from millrace.llm.quotes import link_quotes, oracle, order_replies
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 A = "The release is planned for Friday."
@@ -40,3 +42,12 @@ def test_long_chain_and_copies(spark):
 
 def test_empty(spark):
     assert order_replies(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_oracle(spark):
+    con = duckdb.connect()
+    con.execute("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", ROWS)
+    want = sorted(con.execute(oracle()).fetchall(), key=str)
+    out = order_replies(spark.createDataFrame(ROWS, SCHEMA)).collect()
+    assert sorted(((r.conv_id, r.turn, r.role, r.n_quotes, r.n_linked, r.parent_turn, r.root_turn, r.depth, r.body) for r in out), key=str) == want
