@@ -13,8 +13,8 @@ from millrace.llm.secrets import scan_secrets
 from millrace.llm.shared import fresh_path
 from millrace.session import table
 
-#: Documents whose main language makes up less of them than this go.
-LEAST_LANGUAGE = 0.4
+#: Documents whose main language makes up less of them than this go: text in three languages by equal parts stays.
+LEAST_LANGUAGE = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
