@@ -34,7 +34,9 @@ from millrace.llm.components import components
 from millrace.llm.shared import partitions, written
 
 #: Entries that a task gathers before it sorts and sends them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
+#: Bytes of text whose shingles it makes at a time.
+PIECE_BYTES = 1 << 20
 _SENT = "shard int, kind int, ids binary, a binary, b binary, c binary"
 
 
@@ -115,7 +117,7 @@ def shingle_sets(docs: DataFrame, n: int = 5, numerator: int = 75, id_col: str =
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["shard", "kind", "ids", "a", "b", "c"])
 
-        for block in blocks(batches, id_col, text_col):
+        for block in blocks(batches, id_col, text_col, PIECE_BYTES):
             h, own = document_shingles(block.data, block.off, n)
             held.append((block.ids.astype(np.int64), h, own))
             size += len(h) + len(block.ids)

@@ -27,6 +27,8 @@ BUCKETS = 1 << 16
 _LETTER = np.array([chr(c).isalpha() and c < 0x80 or c >= 0x80 for c in range(256)])
 _FOLD = np.where(_LETTER, LOWER, 0x20).astype(np.uint8)
 UNIT_WORDS = 4
+#: Bytes of text that a worker looks at a time.
+PIECE_BYTES = 1 << 20
 
 
 def trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +55,7 @@ def count_trigrams(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for block in blocks(batches, lang_col, text_col):
+        for block in blocks(batches, lang_col, text_col, PIECE_BYTES):
             names, code = np.unique(block.ids.astype(str), return_inverse=True)
             at, bucket, _ = trigrams(block.data, block.off)
             own = np.repeat(code, np.diff(block.off))[at]
@@ -148,7 +150,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(*sent.value)
-        for block in blocks(batches, None, text_col):
+        for block in blocks(batches, None, text_col, PIECE_BYTES):
             share = own.predict(block.data, block.off)
             plain = np.concatenate(([0], np.cumsum((_LETTER & (np.arange(256) < 0x80))[block.data])))[block.off]
             for i in np.flatnonzero(plain[1:] == plain[:-1]):  # no ASCII letter: look at each character
