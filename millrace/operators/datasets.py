@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from millrace.functions.text import words
-from millrace.operators.ranking import ordered_position, shuffle_key, shuffled_position
+from millrace.operators.ranking import attach, ordered_position, shuffle_key, shuffled_position
 
 MESSAGE = "struct<role:string,content:string>"
 
@@ -131,7 +131,7 @@ def interleave(df: DataFrame, source: str, id_col: str, stop: str = "first") ->
     ranked = ordered_position(df, id_col, [source], "turn", "_rows")
     if stop == "first":
         least = df.groupBy(source).count().agg(F.min("count").alias("_least"))
-        ranked = ranked.crossJoin(F.broadcast(least)).where(F.col("turn") < F.col("_least")).drop("_least")
+        ranked = attach(ranked, least).where(F.col("turn") < F.col("_least")).drop("_least")
     return ranked.drop("_rows")
 
 

@@ -40,3 +40,8 @@ def shuffled_position(df: DataFrame, id_col: str, seed: int = 42, within: list[s
 def ordered_position(df: DataFrame, id_col: str, within: list[str] = (), out: str = "position", total: str | None = None, width: int = 1 << 16) -> DataFrame:
     """Positions in the order of an integer id; buckets are ranges of ids."""
     return with_position(df, F.floor(F.col(id_col) / width), [id_col], within, out, total)
+
+
+def attach(df: DataFrame, row: DataFrame) -> DataFrame:
+    """df with the columns of a table of at most one row, which is broadcast; nulls if it has none."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(row.limit(1).withColumn("_one", F.lit(1))), "_one", "left").drop("_one")

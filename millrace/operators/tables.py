@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from millrace.functions.text import is_blank, parse_date, strip_ws
+from millrace.operators.ranking import attach
 
 
 def melt(df: DataFrame, columns: list[str], order: str) -> DataFrame:
@@ -65,8 +66,7 @@ def repair_missing(df: DataFrame, policies: list[tuple[str, str, str | None]]) -
         elif policy == "fill_default":
             df = df.withColumn(column, F.when(blank, F.lit(value)).otherwise(F.col(column)))
         elif policy == "fill_mode":
-            # one row at most: a nested-loop join with it is a broadcast of one value
-            df = df.join(F.broadcast(column_mode(df, column)), how="left").withColumn(column, F.when(blank & F.col("_mode").isNotNull(), F.col("_mode")).otherwise(F.col(column))).drop("_mode")
+            df = attach(df, column_mode(df, column)).withColumn(column, F.when(blank & F.col("_mode").isNotNull(), F.col("_mode")).otherwise(F.col(column))).drop("_mode")
         elif policy != "ignore":
             raise ValueError(f"unknown policy {policy}")
     return df

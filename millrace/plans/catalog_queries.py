@@ -7,6 +7,7 @@ from pyspark.sql import window as W
 
 from millrace.operators import catalog
 from millrace.operators.qa import full_documents, with_neighbours
+from millrace.operators.ranking import attach
 from millrace.plans.registry import query
 from millrace.session import table
 
@@ -45,8 +46,8 @@ def project_stats(spark, sf_dir):
         one(t("benchmark"), eval_sets=F.count("*")), one(t("labels"), completed=F.count_if(F.col("quality") == 1)),
     ]
     out = parts[0]
-    for p in parts[1:]:  # rows of one value each
-        out = out.crossJoin(F.broadcast(p))
+    for p in parts[1:]:
+        out = attach(out, p)
     return out
 
 
