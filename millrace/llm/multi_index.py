@@ -10,8 +10,9 @@ to shards of bounded size; one that is larger is split.
 Rows: vectors that are null, zero, hold null or non-finite components, or
 differ in length from the most frequent length take no part as query or
 candidate. Of rows with equal vectors only the k + 1 of least id can be among
-k nearest, so no more are indexed; ties go to the smaller id. Repeated ids are
-distinct rows. Extra columns are not read; an empty table gives an empty result.
+k nearest, so no more are indexed; ties go to the smaller id. Rows that repeat
+an id must be equal and count once. Extra columns are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -119,9 +120,9 @@ def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def search(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", centroids: int = 64, recall: float = 0.96) -> DataFrame:
     """query_id, rank (from 1), id, score of each query's k nearest candidates found, a query's own row left out."""
     spark = candidates.sparkSession
-    rows, asked = valid_vectors(candidates, id_col, vector_col), valid_vectors(queries, id_col, vector_col)
+    rows, asked = valid_vectors(candidates, id_col, vector_col), valid_vectors(queries, id_col, vector_col).distinct()
     least = W.Window.partitionBy("v").orderBy("id")
-    rows = rows.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= k + 1).drop("nth")
+    rows = rows.withColumn("nth", F.dense_rank().over(least)).where(F.col("nth") <= k + 1).drop("nth").distinct()  # dealt by vector already
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
     schema = "query_id bigint, rank int, id bigint, score double"
     if not sample.num_rows:

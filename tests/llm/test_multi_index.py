@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm.multi_index import MultiIndex, search
 
@@ -45,6 +46,9 @@ def test_few_rows_ties_and_unsound_vectors(spark):
         assert found(search(df, df.where("vec_id % 20 = 0"), k=k, recall=1.0)) == brute(rows, lambda i: i % 20 == 0, k)
     few = df.where("vec_id < 50")
     assert found(search(few, few.where("vec_id % 20 = 0"))) == brute(rows[:10], lambda i: i % 20 == 0, 20)
+    twice = few.unionByName(few).unionByName(few.where("vec_id = 3")).withColumn("id", F.lit("x")).withColumn("v", F.lit(None).cast("int"))
+    for k in (1, 2, 20):  # repeated rows count once; other columns of any name aren't read
+        assert found(search(twice, twice.where("vec_id % 20 = 0"), k=k, recall=1.0)) == brute(rows[:10], lambda i: i % 20 == 0, k)
     none = df.where("vec_id < 0")
     assert search(none, none).count() == 0
 
