@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from millrace.llm.shared import partitions
+
 #: Rows that codebooks are fitted on, and those of them that recall is calibrated with.
 SAMPLE_ROWS, CALIBRATION_QUERIES = 20_000, 256
 SHARD_ROWS = 20_000
@@ -121,6 +123,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str =
     """query_id, rank (from 1), id, score of each query's k nearest candidates found, a query's own row left out."""
     spark = candidates.sparkSession
     rows, asked = valid_vectors(candidates, id_col, vector_col), valid_vectors(queries, id_col, vector_col).distinct()
+    asked = asked.repartition(partitions(spark), "id")  # walking cells costs time, not bytes: small partitions must not be joined
     least = W.Window.partitionBy("v").orderBy("id")
     rows = rows.withColumn("nth", F.dense_rank().over(least)).where(F.col("nth") <= k + 1).drop("nth").distinct()  # dealt by vector already
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
