@@ -220,6 +220,14 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         first = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1]))) if len(h) else np.zeros(0, int)
         size = np.diff(np.concatenate((first, [len(h)])))
         keep = order[np.repeat(size > 1, size)]
+        # a row that repeats an id brings every entry again: equal ones count once
+        keep = keep[np.lexsort((hi[keep], lo[keep], pos[keep], ids[keep], h[keep]))]
+        same = np.zeros(len(keep), bool)
+        if len(keep):
+            same[1:] = np.logical_and.reduce([x[keep[1:]] == x[keep[:-1]] for x in (h, ids, pos, lo, hi)])
+        keep = keep[~same]
+        _, bucket, size = np.unique(h[keep], return_inverse=True, return_counts=True)
+        keep = keep[size[bucket] > 1]
         keep = keep[np.lexsort((pos[keep], ids[keep], _block_of(ids[keep], n)))]
         return pa.Table.from_batches([_table(_rows(_block_of(ids[keep], n), n, ids[keep], pos[keep], lo[keep], hi[keep], h[:0]), _FIELDS)])
 

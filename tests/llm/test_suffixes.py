@@ -59,3 +59,16 @@ def test_edges(spark):
     assert repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, "x y" * 80, 1), (1, "x y" * 80, 1), (None, "x y" * 80, 2)]
     assert [(r.doc_id, r.n_bytes) for r in repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string, key int")).collect()] == [(1, 240)]
+
+
+def test_repeated_rows_count_once(spark):
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    own, shared = text(400), text(150)
+    rows = [(1, own), (2, text(80) + shared), (3, text(90) + shared), (4, "short")]
+    want = brute(rows)
+    assert want[1] == (400, [], own.encode()) and [b - a for a, b in want[3][1]] == [150]
+    for copies in (2, 3):
+        docs = spark.createDataFrame(rows * copies, "doc_id long, text string")
+        got = {r.doc_id: (r.n_bytes, [(x.start, x.end) for x in r.removed], bytes(r.kept)) for r in repeated_bytes(docs).collect()}
+        assert got == want
