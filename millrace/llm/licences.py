@@ -1,9 +1,12 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences; each is normalised and looked up among known
-licence sentences, which gives a sequence of identifiers. Ordered rules, longer
-and more specific ones first, are matched against that sequence; a rule takes
-the identifiers that it matches, so that a shorter one does not report them again.
+A text is cut into paragraphs at blank lines and sentence ends, and these into
+pieces at line ends, colons and semicolons, with comment marks left out. Runs
+of whole pieces are looked up among known licence sentences, so that a wrapped
+sentence is found like one on a single line; the longest run from a piece
+counts. That gives a sequence of identifiers. Ordered rules, longer and more
+specific ones first, are matched against that sequence; a rule takes the
+identifiers that it matches, so that a shorter one does not report them again.
 
 Rows: null and blank texts have no sentences and no licence; texts are read
 whole; repeated rows each get a result; an existing column of an output's name
@@ -64,8 +67,10 @@ RULES = (
     ("GPL-2.0-or-later", ("gpl2-free",)),
     ("MPL-2.0", ("mpl-subject",)),
 )
-#: Every known sentence holds one of these; texts without any are not cut at all.
-HINT = "licen[sc]e|copyright|permi|warrant|redistribut|compliance|mozilla|gnu|gpl|apache|creative commons|cc0|cc by|cc-by|mit "
+#: Forms of notices that go on, by identifier; the DuckDB statement does not have them.
+GOES_ON = {f"{opening} the apache license version 2 0 the license": "notice:Apache-2.0" for opening in (*OPENINGS, "the asf licenses this file to you under")}
+#: Every known sentence holds one of these, however it is wrapped; texts without any are not cut at all.
+HINT = "licen[sc]e|copyright|permi|warrant|redistribut|compliance|mozilla|gnu|gpl|apache|creative|cc0|cc[^a-z0-9]|mit[^a-z0-9]"
 
 
 def known_sentences() -> dict[str, str]:
@@ -80,19 +85,48 @@ def rules() -> tuple[tuple[str, tuple[str, ...]], ...]:
     return (*RULES, *((licence, (f"notice:{licence}",)) for licence in NAMES))
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: ended by a mark and white space, or by a line's end."""
-    lines = F.split(F.regexp_replace(text, r"([.!?;:])[ \t]+", "$1\n"), "\n")
-    return F.transform(lines, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+def paragraphs(text: Column) -> Column:
+    """Lower-case paragraphs, ended by a blank line or a sentence's end, with a line for each piece."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "\r\n?", "\n"), r"(?m)^[ \t]*(?:dnl|rem)\b", "")
+    pieces = F.regexp_replace(plain, r"([.!?;:])[ \t]+", "$1\n")
+    ended = F.regexp_replace(pieces, r"(?<!\bv)(?<=[a-z0-9)\"'])([.!?][^a-z0-9\n]*)\n", "$1\n\n")
+    return F.split(ended, r"\n[^a-z0-9]*\n")
+
+
+def _opening(known: dict[str, str]) -> str:
+    """A pattern of pieces that a known sentence can open with: its first two words, or the first alone."""
+    first = {tuple(s.split()[:2]) for s in known}
+    return "^(?:" + "|".join(sorted({" ".join(x) + r"\b" for x in first} | {x[0] + "$" for x in first})) + ")"
 
 
 def license_sequence(text: Column, known: dict[str, str] | None = None) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = known or known_sentences()
+    known = known or known_sentences() | GOES_ON
     table = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
-    longest = max(map(len, known))
-    ids = F.transform(F.filter(sentences(text), lambda s: (s != "") & (F.length(s) <= longest) & s.rlike(HINT)), lambda s: F.element_at(table, s))
-    return F.when(F.lower(text).rlike(HINT), F.filter(ids, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    longest, words, opening = max(map(len, known)), max(len(s.split()) for s in known), _opening(known)
+    none = F.lit(None).cast("string")
+
+    def longer(acc: Column, piece: Column) -> Column:
+        run = F.when(F.length(acc.run) <= longest, F.concat_ws(" ", F.when(acc.run != "", acc.run), piece)).otherwise(acc.run)
+        found = F.when(F.length(run) <= longest, F.element_at(table, run))
+        return F.struct(run.alias("run"), (acc.n + 1).alias("n"), F.when(found.isNotNull(), acc.n + 1).otherwise(acc.size).alias("size"), F.coalesce(found, acc.id).alias("id"))
+
+    def longest_run(pieces: Column, i: Column) -> Column:
+        start = F.struct(F.lit("").alias("run"), F.lit(0).alias("n"), F.lit(0).alias("size"), none.alias("id"))
+        return F.aggregate(F.slice(pieces, i, words), start, longer, lambda acc: F.struct(i.alias("at"), acc.size.alias("size"), acc.id.alias("id")))
+
+    def after_last(acc: Column, run: Column) -> Column:
+        free = run.at >= acc.next
+        return F.struct(F.when(free, run.at + run.size).otherwise(acc.next).alias("next"), F.when(free, F.array_append(acc.ids, run.id)).otherwise(acc.ids).alias("ids"))
+
+    def of(pieces: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.element_at(pieces, i).rlike(opening))
+        runs = F.filter(F.transform(starts, lambda i: longest_run(pieces, i)), lambda r: r.id.isNotNull())
+        return F.aggregate(runs, F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("ids")), after_last, lambda acc: acc.ids)
+
+    normalised = lambda p: F.filter(F.transform(F.split(p, "\n"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
+    ids = F.flatten(F.transform(F.transform(F.filter(paragraphs(text), lambda p: p.rlike(HINT)), normalised), of))
+    return F.when(F.lower(text).rlike(HINT), ids).otherwise(F.array().cast("array<string>"))
 
 
 def match_rules(sequence: Column, ordered=None) -> Column:

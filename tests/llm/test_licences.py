@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import duckdb
 
@@ -38,3 +39,73 @@ def test_rules_name_known_sentences():
 
 def test_empty(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string, licenses int")).count() == 0
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL = """This program is free software{mark} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{other} either version {n} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAME = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+WARRANTY = """
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.
+"""
+
+
+def _marked(text, mark):
+    return "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+
+
+def test_verbatim_wrapped_texts(spark):
+    mit = "\n\n".join(textwrap.fill(p, 72) for p in MIT.split("\n\n")) + "\n" + WARRANTY
+    gpl3, gpl2 = GPL.format(mark=":", other=",", n=3), GPL.format(mark=";", other=";", n=2)
+    whole = {
+        "MIT": (mit, 3), "ISC": (ISC, 1), "BSD-2-Clause": (BSD, 3), "BSD-3-Clause": (BSD + BSD_NAME, 4), "Apache-2.0": (APACHE, 3),
+        "GPL-3.0-or-later": (gpl3, 2), "GPL-2.0-or-later": (gpl2, 2), "MPL-2.0": (MPL, 1),
+    }
+    rows, want = [], {}
+    for licence, (text, n) in whole.items():
+        for form in (text, text.replace("\n", "\r\n"), _marked(text, "//"), "/*\n" + _marked(text, " *") + "\n */\nint x;", _marked(text, "#"), _marked(text, "dnl"), "Some title\n" + textwrap.fill(text.split("\n\n")[0], 30) + "\n\n" + "\n\n".join(text.split("\n\n")[1:])):
+            want[len(rows)] = (n, [licence])
+            rows.append((len(rows), form))
+    for text, found in (("Released under the Creative\nCommons Zero 1.0.", ["CC0-1.0"]), ("This work is\nlicensed under the MIT License.", ["MIT"]), ("Licensed under.\nMIT License", []), ("Licensed under\n\nMIT License", [])):
+        want[len(rows)] = (len(found), found)
+        rows.append((len(rows), text))
+    got = {r.doc_id: (len(r.license_sentences), list(r.licenses)) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
