@@ -137,15 +137,19 @@ def smith_waterman(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np
     return best, end
 
 
-def align(block: Block, seeds: Slice, table: np.ndarray, cells: int = 1 << 20) -> list[np.ndarray]:
-    """document, item, score, seeds hit and last word of each document and item that share a seed: the best region of each."""
+def align(block: Block, seeds: Slice, table: np.ndarray, least: float = LEAST_SCORE, cells: int = 1 << 20) -> list[np.ndarray]:
+    """document, item, score, seeds hit and last word of each document and item that share a seed: the best region of each.
+
+    Regions and the joining of diagonals reach as far as the gaps of an
+    alignment that still scores ``least``, so none of its parts stand alone.
+    """
     words, doc = word_hashes(block.data, block.off)
     at, gram = seeds.hits(words, doc, table)
     if not len(at):
         return [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] + [np.zeros(0, np.int64)] * 2
     item, own = seeds.item[gram], doc[at]
     length = np.array([len(w) for w in seeds.words])
-    slack = length[item] // 4 + 3
+    slack = np.maximum(length[item] // 4 + 3, np.ceil(MATCH * length[item] * (1 - least) / GAP).astype(np.int64))
     diagonal = at - seeds.place[gram]
     order = np.lexsort((diagonal, item, own))
     own, item, diagonal, slack = own[order], item[order], diagonal[order], slack[order]
@@ -223,7 +227,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             seeds = sent.value
             table = seeds.lookup()
             for block in blocks(batches, None, text_col):
-                doc, item, score, hits, end = align(block, seeds, table)
+                doc, item, score, hits, end = align(block, seeds, table, least)
                 keep = score >= least
                 ids = block.batch.column(0).take(pa.array(doc[keep] + block.rows.start))
                 items = pa.array([seeds.ids[i] for i in item[keep]])
@@ -242,7 +246,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             seeds = sent.value
             table = seeds.lookup()
             for block in blocks(batches, None, text_col):
-                doc, _, score, _, _ = align(block, seeds, table)
+                doc, _, score, _, _ = align(block, seeds, table, least)
                 keep = np.ones(len(block.off) - 1, bool)
                 keep[doc[score >= least]] = False
                 yield block.batch.slice(block.rows.start, len(keep)).filter(pa.array(keep))

@@ -64,3 +64,24 @@ def test_edges(spark):
     assert sorted(r.text or "" for r in drop_contaminated(docs, bench).collect()) == ["", "", "nothing"]
     none = docs.where("doc_id < 0")
     assert find_contamination(none, bench).count() == 0 and find_contamination(docs, bench.where("item_id < 0")).count() == 0 and drop_contaminated(docs, bench.where("item_id < 0")).count() == 6
+
+
+def test_long_insertions_score_as_a_whole(spark):
+    rnd = random.Random(9)
+    items, rows, want = [], [], {}
+    for k, (n, every, more) in enumerate(((40, 10, 20), (40, 20, 25), (60, 0, 55), (60, 0, 61), (30, 15, 20), (40, 20, 12), (40, 0, 44), (40, 4, 20))):
+        item = [f"item{k}w{i}" for i in range(n)]
+        copy = [f"other{k}w{i}" if every and i % every == every - 1 else w for i, w in enumerate(item)]
+        cuts = [n // 2] if k % 2 == 0 else [n // 3, 2 * n // 3]
+        for j, c in reversed(list(enumerate(cuts))):
+            copy[c:c] = [f"in{k}w{j}w{i}" for i in range(more // len(cuts))]
+        before, after = ([f"{x}{k}w{i}" for i in range(rnd.randint(0, 90))] for x in ("before", "after"))
+        items.append((k, " ".join(item)))
+        rows.append((k, " ".join(before + copy + after)))
+        score = brute(item, copy) / (2 * n)
+        if score >= 0.5:
+            want[k, k] = round(score, 6)
+    assert {(0, 0), (1, 1), (2, 2)} <= set(want) and len(want) < len(rows)
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): round(r.score, 6) for r in find_contamination(docs, bench).collect()} == want
+    assert {r.doc_id for r in drop_contaminated(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
