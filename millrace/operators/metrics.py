@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from millrace.functions.text import strip_ws, words
+from millrace.operators import ranking
 
 
 def exact_match(a: Column, b: Column) -> Column:
@@ -90,19 +91,51 @@ def accuracy_by_category(df: DataFrame, category: str, correct: str) -> DataFram
     return df.rollup(category).agg((F.avg(F.col(correct).cast("double")) * 100).alias("accuracy"), F.count("*").alias("n"))
 
 
-def smoothed(df: DataFrame, group: str, order: str, value: str, weight: float | None = None) -> DataFrame:
-    """group, n, position, smoothed: exponential smoothing from the first value on; the weight follows the series' length."""
-    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_s"))
-    n = F.size("_s")
-    w = F.lit(weight) if weight is not None else 1.8 * (1 / (1 + F.exp(-0.05 * n)) - 0.5)
-    start = F.struct(F.element_at("_s", 1)[value].cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
+def smoothed(df: DataFrame, group: str, order: str, value: str, weight: float | None = None, chunk: int = 512) -> DataFrame:
+    """group, n, position, smoothed: exponential smoothing from the first value on; the weight follows the series' length.
+
+    A group is cut into chunks of positions. Each chunk maps the value before it
+    linearly to its last; these maps are carried in blocks of chunks, and every
+    chunk is finished from its carried start.
+    """
+    key = F.when(F.col(group).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(group).cast("string")))
+    whole = dict(df.dtypes)[order] in ("tinyint", "smallint", "int", "bigint")
+    bucket = F.coalesce(F.floor(F.col("_r") / (1 << 16)), F.lit(-(1 << 62))) if whole else F.lit(0)
+    rows = df.select(F.col(group).alias("_g"), F.col(order).alias("_r"), F.col(value).alias("_v"), key.alias("_k"))
+    rows = ranking.with_position(rows, bucket, ["_r", "_v"], ["_k"], "_p", "_n")
+    chunks = rows.groupBy("_k", F.floor(F.col("_p") / chunk).alias("_i")).agg(F.first("_g").alias("_g"), F.first("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("_p", F.col("_v").cast("double").alias("x")))).alias("_s"))
+    w = F.lit(weight).cast("double") if weight is not None else 1.8 * (1 / (1 + F.exp(-0.05 * F.col("_n"))) - 0.5)
+    chunks = chunks.withColumn("_w", w)
+    opening = F.element_at("_s", 1)["x"]
+    last = F.aggregate("_s", F.when(F.col("_i") == 0, opening).otherwise(F.lit(0.0)), lambda s, x: s * F.col("_w") + (1 - F.col("_w")) * x["x"])
+    maps = chunks.select("_k", "_i", F.when(F.col("_i") == 0, 0.0).otherwise(F.pow("_w", F.size("_s"))).alias("mul"), last.alias("add"))
+    start = F.struct(F.when(F.col("_i") == 0, opening).otherwise(F.col("_start")).alias("last"), F.array().cast("array<double>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        now = acc.last * F.col("_w") + (1 - F.col("_w")) * x[value].cast("double")
+        now = acc.last * F.col("_w") + (1 - F.col("_w")) * x["x"]
         return F.struct(now.alias("last"), F.array_append(acc.out, now).alias("out"))
 
-    out = rows.withColumn("_w", w).withColumn("_o", F.aggregate("_s", start, step, lambda acc: acc.out))
-    return out.select(group, n.alias("n"), F.posexplode("_o").alias("position", "smoothed"))
+    out = chunks.join(_starts(maps, chunk, 2), ["_k", "_i"]).withColumn("_o", F.aggregate("_s", start, step, lambda acc: acc.out))
+    out = out.select("_g", "_n", "_i", F.posexplode("_o").alias("_at", "smoothed"))
+    return out.select(F.col("_g").alias(group), F.col("_n").cast("int").alias("n"), (F.col("_i") * chunk + F.col("_at")).cast("int").alias("position"), "smoothed")
+
+
+def _starts(maps: DataFrame, chunk: int, levels: int) -> DataFrame:
+    """_k, _i, _start: the value before each linear map; the first of a key ignores it. Blocks of maps are maps again."""
+    if levels:
+        blocks = maps.groupBy("_k", F.floor(F.col("_i") / chunk).alias("_j"))
+    else:
+        blocks = maps.groupBy("_k")
+    blocks = blocks.agg(F.array_sort(F.collect_list(F.struct("_i", "mul", "add"))).alias("_s"))
+    if levels:
+        whole = blocks.select("_k", F.col("_j").alias("_i"), F.aggregate("_s", F.lit(1.0), lambda m, x: m * x["mul"]).alias("mul"), F.aggregate("_s", F.lit(0.0), lambda s, x: s * x["mul"] + x["add"]).alias("add"))
+        blocks = blocks.join(_starts(whole, chunk, levels - 1).withColumnRenamed("_i", "_j"), ["_k", "_j"])
+    else:
+        blocks = blocks.withColumn("_start", F.lit(0.0))
+    first = F.struct(F.col("_start").alias("last"), F.array().cast("array<double>").alias("out"))
+    step = lambda acc, x: F.struct((acc.last * x["mul"] + x["add"]).alias("last"), F.array_append(acc.out, acc.last).alias("out"))
+    found = blocks.withColumn("_o", F.aggregate("_s", first, step, lambda acc: acc.out))
+    return found.select("_k", F.explode(F.arrays_zip(F.col("_s._i").alias("i"), F.col("_o").alias("o"))).alias("z")).select("_k", F.col("z.i").alias("_i"), F.col("z.o").alias("_start"))
 
 
 def running_average(df: DataFrame, group: str, order: str, value: str, weight: str) -> DataFrame:

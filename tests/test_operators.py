@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -209,3 +210,23 @@ def test_catalog(spark):
     assert catalog.default_for(configs, "p").first().id == "2" and catalog.default_for(configs, "q").first().id == "1"
     old = spark.range(1).select(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")).alias("o"), F.create_map(F.lit("b"), F.lit("3")).alias("n"))
     assert old.select(catalog.merge_json(F.col("o"), F.col("n")).alias("m")).first().m == {"a": "1", "b": "3"}
+
+
+@pytest.mark.parametrize("weight", [0.6, 0.9999, None])
+def test_smoothing_in_chunks(spark, weight):
+    rnd = random.Random(4)
+    rows = [(g, i * 7919 - 50_000, rnd.random()) for g, n in ((1, 1), (2, 3), (3, 4), (4, 500), (None, 40)) for i in range(n)]
+    rows += [(5, i, None if i == 20 else float(i)) for i in range(30)] + [(6, None, 5.0), (6, 1, 2.0), (6, 1, 1.0)]
+    want = {}
+    for g in (1, 2, 3, 4, 5, 6, None):
+        xs = [v for _, v in sorted(((o if o is not None else -1e18, v) for h, o, v in rows if h == g), key=lambda r: (r[0], r[1] or 0))]
+        w = weight if weight is not None else 1.8 * (1 / (1 + math.exp(-0.05 * len(xs))) - 0.5)
+        last = xs[0]
+        for i, x in enumerate(xs):
+            last = None if last is None or x is None else last * w + (1 - w) * x
+            want[g, i] = (len(xs), last)
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "g long, o long, v double")
+    got = {(r.g, r.position): (r.n, r.smoothed) for r in metrics.smoothed(df, "g", "o", "v", weight, chunk=3).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == n and (got[k][1] is None if x is None else got[k][1] == pytest.approx(x, rel=1e-9)) for k, (n, x) in want.items())
