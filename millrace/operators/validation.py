@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,7 +25,7 @@ def long_enough(answer: Column, source: Column) -> Column:
 
 
 def garbled(answer: Column, most: float = 0.3) -> Column:
-    odd = F.length(F.regexp_replace(answer, f"(?U)[{ORDINARY}]", ""))
+    odd = F.length(F.regexp_replace(answer, f"(?U)[{ORDINARY}]++", ""))
     return (F.length(answer) > 0) & (odd / F.length(answer) > most)
 
 
@@ -33,21 +34,39 @@ def cut_off(answer: Column) -> Column:
     return tail.endswith("...") | tail.endswith("…") | tail.endswith("。。。")
 
 
-def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _marks(answer: Column) -> Column:
+    """Only the brackets and quotes of a text, taken out in one pass; what counts them reads these few."""
+    return F.regexp_replace(answer, f"[^{re.escape(OPENS + CLOSES + ''.join(QUOTES))}]++", "")
 
 
-def open_brackets(answer: Column) -> Column:
-    return _count(answer, OPENS) > _count(answer, CLOSES)
+def _count(marks: Column, chars: str) -> Column:
+    return F.length(marks) - F.length(F.translate(marks, chars, ""))
 
 
-def odd_quotes(answer: Column) -> Column:
+def _open(marks: Column) -> Column:
+    return _count(marks, OPENS) > _count(marks, CLOSES)
+
+
+def _odd(marks: Column) -> Column:
     out = F.lit(False)
     for a, b in QUOTES:
-        out = out | (_count(answer, a) != _count(answer, b))
+        out = out | (_count(marks, a) != _count(marks, b))
     return out
 
 
+def open_brackets(answer: Column) -> Column:
+    return F.element_at(F.transform(F.array(_marks(answer)), _open), 1)
+
+
+def odd_quotes(answer: Column) -> Column:
+    return F.element_at(F.transform(F.array(_marks(answer)), _odd), 1)
+
+
+def unpaired(answer: Column) -> Column:
+    """open_brackets, odd_quotes or an empty text, from one pass over the answer."""
+    return F.element_at(F.transform(F.array(_marks(answer)), lambda m: F.when(_open(m), "open_brackets").when(_odd(m), "odd_quotes").otherwise("")), 1)
+
+
 def repeats_at_once(answer: Column) -> Column:
     """A unit of six characters or more, three times in a row."""
     return answer.rlike(rf"(?U)([{CJK}\w，。；：！？、]{{6,}})\1{{2,}}")
@@ -95,8 +114,15 @@ def follows_template(answer: Column, source: Column) -> Column:
 def format_error(answer: Column, apart: bool = True) -> Column:
     """The first format rule that an answer breaks, else an empty text."""
     a = F.coalesce(answer, F.lit(""))
-    out = F.when(a == "", "").when(garbled(a), "garbled").when(cut_off(a), "cut_off").when(open_brackets(a), "open_brackets").when(odd_quotes(a), "odd_quotes").when(repeats_at_once(a), "repeats")
-    return (out.when(repeats_apart(a), "repeats") if apart else out).otherwise("")
+    late = F.when(repeats_at_once(a), "repeats")
+    late = (late.when(repeats_apart(a), "repeats") if apart else late).otherwise("")
+    return F.when(a == "", "").when(garbled(a), "garbled").when(cut_off(a), "cut_off").otherwise(F.coalesce(F.nullif(unpaired(a), F.lit("")), late))
+
+
+def simple_error(answer: Column) -> Column:
+    """format_error without the rules on repeats."""
+    a = F.coalesce(answer, F.lit(""))
+    return F.when(a == "", "").when(garbled(a), "garbled").when(cut_off(a), "cut_off").otherwise(unpaired(a))
 
 
 def verdict(answer: Column, source: Column, similarity: Column | None = None, apart: bool = True) -> Column:

@@ -54,10 +54,10 @@ _V1, _V2 = "p_size::VARCHAR", "p_name"
 _ORACLE_QA = " UNION ALL ".join(
     f"SELECT p_partkey, {i} AS position, {q} AS question, {a} AS answer, '{t}' AS template_type FROM part"
     for i, (q, a, t) in enumerate((
-        (_case(qa.FORWARD, 0, c=_C, f=_F1, t="'尺寸'", q="'是多少'"), f"'尺寸为' || {_V1} || '。'", "forward"),
-        (_case(qa.REVERSE, 0, t="'尺寸'", v=_V1, n="'品牌'"), "'品牌是' || p_brand || '。'", "reverse"),
-        (_case(qa.MULTI, 0, c=_C, f=_F1, l="'尺寸和名称'"), f"'尺寸为' || {_V1} || '，名称是' || {_V2} || '。'", "multi_target"),
-        (_case(qa.SUMMARY, 0, c=_C), f"'根据记录，' || {_C} || '，尺寸为' || {_V1} || '，名称为' || {_V2} || '。'", "summary"),
+        (_case(qa.FORWARD, 0, conditions=_C, first_condition=_F1, target="'尺寸'", target_qw="'是多少'"), f"'尺寸为' || {_V1} || '。'", "forward"),
+        (_case(qa.REVERSE, 0, target="'尺寸'", target_value=_V1, feature="'品牌'"), "'品牌是' || p_brand || '。'", "reverse"),
+        (_case(qa.MULTI, 0, conditions=_C, first_condition=_F1, target_list="'尺寸和名称'"), f"'尺寸为' || {_V1} || '，名称是' || {_V2} || '。'", "multi_target"),
+        (_case(qa.SUMMARY, 0, conditions=_C), f"'根据记录，' || {_C} || '，尺寸为' || {_V1} || '，名称为' || {_V2} || '。'", "summary"),
     ))
 )
 

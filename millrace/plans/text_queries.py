@@ -11,6 +11,7 @@ from millrace.functions import vectors as V
 from millrace.operators import chunking, crawl, datasets, metrics, privacy, validation
 from millrace.plans.registry import query
 from millrace.session import table
+from millrace.storage import written
 
 _WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
 _CHUNKS = f"""
@@ -44,9 +45,10 @@ def flagship_doc_to_sft(spark, sf_dir):
     chunks = docs.select("doc_id", "lang", F.explode(chunking.token_chunks(F.col("text"))).alias("c")).select("doc_id", "lang", "c.*")
     good = chunks.where((F.length(F.trim("content")) >= 20) & (validation.format_error(F.col("content"), apart=False) == ""))
     rows = good.select("doc_id", "lang", "word_count", datasets.to_alpaca(F.regexp_replace("content", _EMAIL, "**邮箱A**"), F.lit("")).alias("r"))
-    splits = datasets.split_random(rows.select("doc_id").distinct(), "doc_id")
-    out = rows.join(splits, "doc_id")
-    return out.groupBy("lang", "split").agg(F.count("*").alias("n_examples"), F.sum("word_count").alias("n_words"), F.sum(F.length("r.instruction")).cast("long").alias("n_chars"))
+    sums = rows.groupBy("doc_id", "lang").agg(F.count("*").alias("n"), F.sum("word_count").alias("words"), F.sum(F.length("r.instruction")).alias("chars"))
+    sums = written(sums, "examples")  # read by the split and by the result, made once
+    out = sums.join(datasets.split_random(sums.select("doc_id").distinct(), "doc_id"), "doc_id")
+    return out.groupBy("lang", "split").agg(F.sum("n").alias("n_examples"), F.sum("words").alias("n_words"), F.sum("chars").cast("long").alias("n_chars"))
 
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, index, content, word_count FROM chunks")
@@ -93,10 +95,8 @@ def chunk_custom(spark, sf_dir):
 def validate_format(spark, sf_dir):
     """VAL1-5: length, garbage, cut-off, bracket and quote rules of every document. Repeats are in validate_repeats."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    a = text
-    rules = F.when(a == "", "").when(validation.garbled(a), "garbled").when(validation.cut_off(a), "cut_off").when(validation.open_brackets(a), "open_brackets").when(validation.odd_quotes(a), "odd_quotes").otherwise("")
-    long = validation.long_enough(text, F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", rules.alias("format_error"), long.alias("long_enough"), F.when(rules != "", "format_error").when(~long, "basic_error").otherwise("passed").alias("verdict"))
+    found = table(spark, sf_dir, "documents").select("doc_id", validation.simple_error(text).alias("format_error"), validation.long_enough(text, F.lit("")).alias("long_enough"))
+    return found.withColumn("verdict", F.when(F.col("format_error") != "", "format_error").when(~F.col("long_enough"), "basic_error").otherwise("passed"))
 
 
 @query()
