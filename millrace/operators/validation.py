@@ -25,7 +25,8 @@ def long_enough(answer: Column, source: Column) -> Column:
 
 
 def garbled(answer: Column, most: float = 0.3) -> Column:
-    odd = F.length(F.regexp_replace(answer, f"(?U)[{ORDINARY}]++", ""))
+    beyond = F.regexp_replace(answer, r"[\t-\r -~]++", "")  # plain ASCII goes first: the wide class is slow
+    odd = F.length(F.regexp_replace(beyond, f"(?U)[{ORDINARY}]++", ""))
     return (F.length(answer) > 0) & (odd / F.length(answer) > most)
 
 
@@ -35,8 +36,9 @@ def cut_off(answer: Column) -> Column:
 
 
 def _marks(answer: Column) -> Column:
-    """Only the brackets and quotes of a text, taken out in one pass; what counts them reads these few."""
-    return F.regexp_replace(answer, f"[^{re.escape(OPENS + CLOSES + ''.join(QUOTES))}]++", "")
+    """Only the brackets and quotes of a text; what counts them reads these few."""
+    beyond = F.regexp_replace(answer, r"[\x00-'*-Z\\^-\x7f]++", "")
+    return F.regexp_replace(beyond, f"[^{re.escape(OPENS + CLOSES + ''.join(QUOTES))}]++", "")
 
 
 def _count(marks: Column, chars: str) -> Column:
@@ -69,7 +71,9 @@ def unpaired(answer: Column) -> Column:
 
 def repeats_at_once(answer: Column) -> Column:
     """A unit of six characters or more, three times in a row."""
-    return answer.rlike(rf"(?U)([{CJK}\w，。；：！？、]{{6,}})\1{{2,}}")
+    unit = rf"[{CJK}\w，。；：！？、]"
+    # three units need a run of eighteen: only texts with one are searched
+    return F.when(answer.rlike(rf"(?U)(?<!{unit}){unit}{{18}}"), answer.rlike(rf"(?U)({unit}{{6,}})\1{{2,}}")).otherwise(F.when(answer.isNotNull(), False))
 
 
 @F.pandas_udf(T.BooleanType())

@@ -19,6 +19,8 @@ words AS (SELECT doc_id, lang, {_WORDS} AS w FROM documents WHERE text IS NOT NU
 chunks AS (SELECT doc_id, lang, CAST(s // 180 AS INTEGER) AS index, array_to_string(w[s + 1 : s + 200], ' ') AS content, CAST(least(200, len(w) - s) AS INTEGER) AS word_count
            FROM (SELECT doc_id, lang, w, unnest(range(0, len(w), 180)) AS s FROM words))"""
 _EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+#: The same, for the JVM: it starts at the first character of a local part only.
+_EMAIL_ONCE = r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 #: The format rules that both engines can say; back-references have no place in the oracle's.
 _RULES = r"""CASE WHEN {a} = '' THEN '' WHEN length(regexp_replace({a}, '[\p{{L}}\p{{N}}_\s　-〿＀-￯.,;:!?，。；：！？、"''（）()【】\[\]{{}}\-/\\@#$%^&*+=~`|<>]', '', 'g')) > 0.3 * length({a}) THEN 'garbled'
   WHEN regexp_matches({a}, '(\.\.\.|…|。。。)\s*$') THEN 'cut_off'
@@ -44,7 +46,7 @@ def flagship_doc_to_sft(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     chunks = docs.select("doc_id", "lang", F.explode(chunking.token_chunks(F.col("text"))).alias("c")).select("doc_id", "lang", "c.*")
     good = chunks.where((F.length(F.trim("content")) >= 20) & (validation.format_error(F.col("content"), apart=False) == ""))
-    rows = good.select("doc_id", "lang", "word_count", datasets.to_alpaca(F.regexp_replace("content", _EMAIL, "**邮箱A**"), F.lit("")).alias("r"))
+    rows = good.select("doc_id", "lang", "word_count", datasets.to_alpaca(F.when(F.col("content").contains("@"), F.regexp_replace("content", _EMAIL_ONCE, "**邮箱A**")).otherwise(F.col("content")), F.lit("")).alias("r"))
     sums = rows.groupBy("doc_id", "lang").agg(F.count("*").alias("n"), F.sum("word_count").alias("words"), F.sum(F.length("r.instruction")).alias("chars"))
     sums = written(sums, "examples")  # read by the split and by the result, made once
     out = sums.join(datasets.split_random(sums.select("doc_id").distinct(), "doc_id"), "doc_id")
