@@ -1,34 +1,12 @@
-"""The folder that the driver and all executors share, and tables written there to cut lineage."""
+"""Tables and paths in the shared folder, and how many shards the cluster is set to."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from millrace.storage import drop_written, fresh_path, shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; only where it is unset (tests) a local one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: what follows does not depend on executors that ran before."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["drop_written", "fresh_path", "partitions", "shared_dir", "written"]
 
 
 def partitions(spark: SparkSession) -> int:

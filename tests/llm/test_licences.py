@@ -3,7 +3,7 @@ import textwrap
 
 import duckdb
 
-from millrace.llm.licences import HINT, RULES, SENTENCES, known_sentences, oracle, scan_licenses
+from millrace.llm.licences import HINT, RULES, known_sentences, oracle, scan_licenses
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
 ROWS = [
@@ -33,7 +33,8 @@ def test_oracle(spark):
 
 
 def test_rules_name_known_sentences():
-    assert all(i in SENTENCES or i.startswith("notice:") for _, ids in RULES for i in ids)
+    known = set(known_sentences().values())
+    assert all(i in known for _, ids in RULES for i in ids)
     assert all(re.search(HINT, s) for s in known_sentences())
 
 
@@ -108,4 +109,42 @@ def test_verbatim_wrapped_texts(spark):
         want[len(rows)] = (len(found), found)
         rows.append((len(rows), text))
     got = {r.doc_id: (len(r.license_sentences), list(r.licenses)) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want
+    assert got == want and oracle_rows(rows) == got
+
+
+def oracle_rows(rows):
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    return {i: (n, found.split(",") if found else []) for i, n, found in con.execute(oracle()).fetchall()}
+
+
+FREE = """This {what} is free software; you can redistribute it and/or
+modify it under the terms of the GNU {name}
+as published by the Free Software Foundation; either
+version {v} of the License, or (at your option) any later version.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy."
+
+
+def test_notices_spdx_and_clauses(spark):
+    cases = {
+        "This project is licensed under the MIT License - see the LICENSE file.": ["MIT"], "Copyright 2020 A. Person, licensed under the Apache License, Version 2.0 (the \"License\"); see below": ["Apache-2.0"],
+        "// SPDX-License-Identifier: MIT": ["MIT"], "# SPDX-License-Identifier: (MIT OR Apache-2.0)": ["Apache-2.0", "MIT"], "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */": ["GPL-2.0-only"],
+        " * SPDX-License-Identifier: LGPL-3.0-or-later": ["LGPL-3.0-or-later"], "Released under the GNU General Public License, version 3 or later.": ["GPL-3.0-or-later"], "It is not licensed under the MIT License.": [],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": ["CC-BY-SA-4.0"], "The code is made available under the terms of the Boost Software License, Version 1.0.": ["BSL-1.0"],
+        FREE.format(what="library", name="Lesser General Public License", v="2.1"): ["LGPL-2.1-or-later"], FREE.format(what="program", name="Affero General Public License", v="3"): ["AGPL-3.0-or-later"], ZLIB: ["Zlib"], UNLICENSE: ["Unlicense"],
+        "a plain line, permitted by nobody; express trains": [], "(": [], "\n\n": [],
+    }
+    rows = list(enumerate(cases))
+    got = {r.doc_id: (len(r.license_sentences), sorted(r.licenses)) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: found for i, (_, found) in got.items()} == {i: sorted(f) for i, f in enumerate(cases.values())}
+    assert {i: (n, sorted(f)) for i, (n, f) in oracle_rows(rows).items()} == got
