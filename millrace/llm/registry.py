@@ -31,9 +31,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document, base kinds counted and digested."""
-    from millrace.llm.secrets import joined, scan_secrets
+    import public_tokenizers
+
+    from millrace.llm.secrets import WORDS, joined, scan_secrets, vocabulary_words
 
-    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    words = (*WORDS, *vocabulary_words(public_tokenizers.path("byte_bpe_50k.json")))
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), words=words).drop("text")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long")
     return found.select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), count("guess").alias("n_guess"),

@@ -5,7 +5,8 @@ words, dates, repeats, sequences, keyboard walks and brute-force spans, as a
 decimal logarithm of guesses (in the manner of the published zxcvbn work). A
 value behind a credential name whose cost reaches a threshold is a span of
 kind ``guess``; the base kinds ``assign``, ``access`` and ``hex`` do not depend
-on it.
+on it. Words are ranked by a short list of passwords, then by the order of a
+tokenizer's vocabulary, whose merges stand by frequency.
 
 Rows: null and empty texts have no spans; whole texts are read, however long;
 an existing column of the output's name is replaced; other columns and
@@ -14,6 +15,7 @@ repeated rows pass through; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -30,7 +32,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "guess")
 
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|bearer)["']?\x20*(?:=>|[:=])\x20*(?:"([^"\s]+)"|'([^'\s]+)'|([^\s"',;]+))""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|bearer)["']?\x20*(?:=>|[:=])\x20*(?:"([^"\r\n]+)"|'([^'\r\n]+)'|([^\s"',;]+))""",
     re.IGNORECASE | re.ASCII,
 )
 NAMES = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer")
@@ -46,8 +48,41 @@ WORDS = tuple(
 )
 LEET = str.maketrans("4@310$57!", "aaeiossti")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
+KIND, _TURN = 0.3, math.log10(4.6)  # which kind of segment; a turn of a walk
 _PLACE = {c: (r, i + r / 2) for r, row in enumerate(_ROWS) for i, c in enumerate(row)}
-_DATE = re.compile(r"(?=((?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\2(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\3(?:19|20)\d\d|(?:19|20)\d\d))")
+_YEAR, _MONTHS, _DAYS = "(?:19|20)[0-9]{2}", ("[1-9]", "(?:0[1-9]|1[0-2])"), ("[1-9]", "(?:0[1-9]|[12][0-9]|3[01])")
+#: A pattern for each shape of date, so that every shape is found at every place.
+_DATES = [re.compile(f"(?=({_YEAR}))", re.ASCII)] + [
+    re.compile(f"(?=({a}([-/._]?){m}\\2{b}))", re.ASCII) for m in _MONTHS for d in _DAYS for a, b in ((_YEAR, d), (d, _YEAR))
+]
+
+
+def vocabulary_words(path: str, least: int = 3) -> tuple[str, ...]:
+    """Words of a byte-level vocabulary file, in its order: entries that open with a space and hold letters only."""
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    found = (token[1:].lower() for token, _ in sorted(vocab.items(), key=lambda x: x[1]) if token.startswith("\u0120") and token[1:].isascii() and token[1:].isalpha() and len(token) > least)
+    return tuple(dict.fromkeys(found))
+
+
+class _Run:
+    """Starts of parts of one run, kept while they can still be the cheapest for some end.
+
+    A part from i to j costs value(i) + log10(j - i) in units. A start is out
+    once an earlier one is cheaper even for the shortest part that it could
+    begin, where its advantage in length is greatest.
+    """
+
+    def __init__(self, least: int):
+        self.least = least
+        self.open: list[tuple[int, float]] = []
+
+    def add(self, i: int, value: float) -> None:
+        if not any(v + math.log10((i + self.least - k) / self.least) <= value for k, v in self.open):
+            self.open.append((i, value))
+
+    def cheapest(self, j: int) -> float:
+        return min((v + math.log10(j - i) for i, v in self.open if j - i >= self.least), default=math.inf)
 
 
 class GuessCost:
@@ -55,13 +90,13 @@ class GuessCost:
 
     def __init__(self, words: tuple[str, ...] = WORDS):
         self.rank: dict[str, int] = {}
-        for i, w in enumerate(words):
+        for w in words:
             if len(w) >= 3:
-                self.rank.setdefault(w.lower(), i + 1)
+                self.rank.setdefault(w.lower(), len(self.rank) + 1)
         self.longest = max(map(len, self.rank), default=0)
 
     def matches(self, value: str) -> Iterator[tuple[int, int, float]]:
-        """Segments start, end and log10 cost, brute force aside."""
+        """Words and dates: start, end and log10 cost."""
         low = value.lower() if len(value.lower()) == len(value) else value
         plain = low.translate(LEET)
         n = len(value)
@@ -72,53 +107,70 @@ class GuessCost:
                         upper = sum(c.isupper() for c in value[i:j])
                         case = 0.0 if not upper else math.log10(2) if upper == j - i or value[i].isupper() and upper == 1 else math.log10(sum(math.comb(j - i, x) for x in range(1, min(upper, j - i - upper) + 1)) or 2)
                         yield i, j, math.log10(rank) + case + 0.5 * k
-        for m in _DATE.finditer(value):
-            text = m[1]
-            yield m.start(), m.start() + len(text), math.log10(120) if len(text) == 4 else math.log10(365 * 120) + (0.6 if m[2] or m[3] else 0)
-        for unit in range(1, 9):  # runs of a repeated unit, in one pass for each unit length
-            i = 0
-            while i + unit < n:
-                j = i + unit
-                while j < n and value[j] == value[j - unit]:
-                    j += 1
-                whole = (j - i) // unit
-                if whole >= 2 and whole * unit >= 3:
-                    yield i, i + whole * unit, unit * math.log10(cardinality(value[i : i + unit])) + math.log10(whole)
-                i = max(i + 1, j - unit + 1)
-        i = 0
-        while i + 1 < n:  # sequences with a step of one or minus one
-            step, j = ord(value[i + 1]) - ord(value[i]), i + 1
-            if abs(step) == 1 and value[i].isalnum():
-                while j + 1 < n and ord(value[j + 1]) - ord(value[j]) == step:
-                    j += 1
-                if j - i >= 2:
-                    yield i, j + 1, math.log10(26 if value[i].isalpha() else 10) + math.log10(j + 1 - i) + (0.3 if step < 0 else 0)
-            i = max(i + 1, j)
-        i = 0
-        while i + 1 < n:  # keyboard walks
-            j, turns, last = i, 1, None
-            while j + 1 < n and (a := _PLACE.get(low[j])) and (b := _PLACE.get(low[j + 1])) and abs(a[0] - b[0]) <= 1 and abs(a[1] - b[1]) <= 1 and a != b:
-                way = (b[0] - a[0], b[1] > a[1])
-                turns += way != last
-                last, j = way, j + 1
-            if j - i >= 2:
-                yield i, j + 1, math.log10(47) + turns * math.log10(4.6) + math.log10(j + 1 - i)
-            i = max(i + 1, j)
+        for pattern in _DATES:
+            for m in pattern.finditer(value):
+                text = m[1]
+                yield m.start(), m.start() + len(text), math.log10(120) if len(text) == 4 else math.log10(365 * 120) + (0.6 if m[2] else 0)
 
     def __call__(self, value: str) -> float:
         n = len(value)
+        if not n:
+            return 0.0
+        low = value.lower() if len(value.lower()) == len(value) else value
         ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         for i, j, cost in self.matches(value):
             ending[j].append((i, cost))
-        each = math.log10(cardinality(value)) if value else 0.0
+        each = math.log10(cardinality(value))
         best = [0.0] * (n + 1)
+        repeats: list[dict[int, _Run]] = [{} for _ in range(9)]  # by unit, then place modulo the unit: parts are whole units
+        since = [0] * 9  # where the run of each unit began
+        line: tuple[int, _Run] | None = None  # a run of one step up or down
+        walk: tuple[_Run, int, object] | None = None  # a keyboard walk, its turns so far and its last direction
         for j in range(1, n + 1):
             best[j] = best[j - 1] + each
             for i, cost in ending[j]:
-                best[j] = min(best[j], best[i] + cost + 0.3)  # 0.3: which kind of segment
+                best[j] = min(best[j], best[i] + cost + KIND)
+            for unit in range(1, 9):
+                if j - since[unit] > unit and value[j - 1] != value[j - 1 - unit]:
+                    since[unit], repeats[unit] = j - unit, {}
+                start = j - 2 * unit  # the latest start of two whole units that end here
+                if start >= since[unit]:
+                    own = repeats[unit].setdefault(start % unit, _Run(3 if unit == 1 else 2))
+                    own.add(start // unit, best[start])
+                    best[j] = min(best[j], own.cheapest(j // unit) + unit * math.log10(cardinality(value[start : start + unit])) + KIND)
+            if j > 1:
+                step = ord(value[j - 1]) - ord(value[j - 2])
+                if abs(step) != 1:
+                    line = None
+                else:
+                    if line is None or line[0] != step:
+                        line = (step, _Run(3))
+                        if value[j - 2].isalnum():
+                            line[1].add(j - 2, best[j - 2] + math.log10(26 if value[j - 2].isalpha() else 10))
+                    best[j] = min(best[j], line[1].cheapest(j) + (0.3 if step < 0 else 0) + KIND)
+                    if value[j - 1].isalnum():
+                        line[1].add(j - 1, best[j - 1] + math.log10(26 if value[j - 1].isalpha() else 10))
+                way = _way(low[j - 2], low[j - 1])
+                if way is None:
+                    walk = None
+                else:
+                    run, turns, last = walk or (_Run(3), 0, None)
+                    turns += way != last
+                    # a part that starts here makes its first turn by this step
+                    run.add(j - 2, best[j - 2] - (turns - 1) * _TURN)
+                    walk = (run, turns, way)
+                    best[j] = min(best[j], math.log10(47) + turns * _TURN + run.cheapest(j) + KIND)
         return best[n]
 
 
+def _way(a: str, b: str) -> tuple[int, bool] | None:
+    """The direction from a key to a neighbouring one."""
+    p, q = _PLACE.get(a), _PLACE.get(b)
+    if p is None or q is None or p == q or abs(p[0] - q[0]) > 1 or abs(p[1] - q[1]) > 1:
+        return None
+    return q[0] - p[0], q[1] > p[1]
+
+
 def cardinality(text: str) -> int:
     """Characters that brute force would draw from."""
     if all(c in "0123456789abcdef" for c in text):
