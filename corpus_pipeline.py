@@ -9,7 +9,7 @@ from millrace.llm.bpe import encode_documents
 from millrace.llm.decontaminate import drop_contaminated
 from millrace.llm.jaccard import jaccard_classes
 from millrace.llm.language import LanguageModel, folded, identify
-from millrace.llm.secrets import scan_secrets
+from millrace.llm.secrets import WORDS, scan_secrets, vocabulary_words
 from millrace.llm.shared import fresh_path
 from millrace.session import table
 
@@ -37,7 +37,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark."""
-    clean = scan_secrets(docs, out_col="_secrets", mask="[SECRET]")
+    import public_tokenizers
+
+    words = (*WORDS, *vocabulary_words(public_tokenizers.path("byte_bpe_50k.json")))
+    clean = scan_secrets(docs, out_col="_secrets", words=words, mask="[SECRET]")
     return clean.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
