@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import written
+from millrace.llm.shared import drop_written, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round links every node's neighbours to the least of them, so long
     chains shrink by doubling. Only grouped minima and equi-joins are used: a
     hub's minimum is pre-aggregated and its join can be split. Every round is
-    written to the shared folder; the driver sees one checksum a round.
+    written to the shared folder, in the place of the one before; the driver sees
+    one checksum a round. Actions run while the plan is built.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
@@ -24,7 +25,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = written(small, "edges")
+        old, now = now, written(small, "edges")
+        drop_written(old)
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if row == mark:
             break

@@ -18,6 +18,8 @@ Rows: a null or blank text has the empty set (n_shingles 0) and links with
 nothing; shorter texts than n words are one shingle; whole texts are read. Rows
 without an id are left out; rows that repeat an id must be equal and count
 once. Extra columns are not read; an empty table gives an empty result.
+Actions run while the plan is built; intermediate tables are dropped once
+nothing reads them.
 """
 
 from __future__ import annotations
@@ -31,12 +33,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm.blocks import MULTIPLIER, blocks, hash_spans, mix, owner, pack, pack_sorted, shingles, spans, unpack, unpack_sorted
 from millrace.llm.components import components
-from millrace.llm.shared import partitions, written
+from millrace.llm.shared import drop_written, partitions, written
 
 #: Entries that a task gathers before it sorts and sends them.
 FLUSH = 1_000_000
 #: Bytes of text whose shingles it makes at a time.
 PIECE_BYTES = 1 << 20
+#: Rows of one class of equal sets are dealt to this many tasks.
+SALT = 32
 _SENT = "shard int, kind int, ids binary, a binary, b binary, c binary"
 
 
@@ -201,7 +205,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, numerator: int = 75, id_col: st
     """doc_id, n_shingles, set_id (least document with an equal set), component_id (least document reachable by links of similarity >= numerator / 100)."""
     sets = written(shingle_sets(docs, n, numerator, id_col, text_col), "sets")
     equal = ["sig_a", "sig_b", "n_shingles"]
-    classes = sets.where("n_shingles > 0").groupBy(*equal).agg(F.min("doc_id").alias("set_id"))
+    classes = sets.where("n_shingles > 0").groupBy(*equal).agg(F.min("doc_id").alias("set_id"), F.count("*").alias("members"))
     able = sets.where(F.size("tokens") > 0)
     heads = able.join(classes.select("set_id"), able.doc_id == F.col("set_id"), "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "n_unique", "tokens")
     heads = written(heads, "heads")
@@ -220,7 +224,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, numerator: int = 75, id_col: st
     def pivots(end: str) -> DataFrame:
         return index.where(F.col("doc_id") != F.col(f"{end}.doc_id")).where(near(F.col("n"), F.col(f"{end}.n"))).select(F.greatest("doc_id", f"{end}.doc_id").alias("x"), F.least("doc_id", f"{end}.doc_id").alias("y"))
 
-    seen = written(verify(pivots("low").unionByName(pivots("high")).distinct(), heads), "pivots")
+    first = seen = written(verify(pivots("low").unionByName(pivots("high")).distinct(), heads), "pivots")
     links = seen.where(_linked("inter", "nx", "ny", numerator)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     label = components(links)
 
@@ -231,7 +235,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, numerator: int = 75, id_col: st
         return member.join(ends, ["token", "band"])
 
     # each set against one member of other components, another one in each block
-    rest = written(unsettled(label), "unsettled")
+    rest = open_ = written(unsettled(label), "unsettled")
     some = rest.where("c = c0 or c = c1").groupBy("token", "band", "c").agg(F.min_by(F.struct("doc_id", "n"), F.xxhash64("doc_id", "token")).alias("r")).withColumnRenamed("c", "rc")
     pairs = (
         rest.join(some, ["token", "band"]).where("c <> rc").where(near(F.col("n"), F.col("r.n")))
@@ -271,9 +275,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, numerator: int = 75, id_col: st
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
-    found = sets.select("doc_id", *equal).join(classes, equal, "left")
-    found = found.join(label, found.set_id == label.node, "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("component", "set_id", "doc_id").alias("component_id"))
+    drop_written(heads, index, first, open_, again, more)
+
+    # a class's rows are dealt by class and salt; sets of one document need no class, and their label comes by the document
+    many = classes.where("members > 1").join(label, F.col("set_id") == F.col("node"), "left").select(*equal, "set_id", F.col("component").alias("of_class"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    found = sets.select("doc_id", *equal, F.pmod("doc_id", F.lit(SALT)).cast("int").alias("salt")).join(many, [*equal, "salt"], "left")
+    found = found.join(label, found.doc_id == label.node, "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("of_class", "component", "set_id", "doc_id").alias("component_id"))
 
 
 def oracle(source: str = "documents") -> str:
