@@ -57,7 +57,7 @@ def grams(words: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 class Slice:
     """Items: their ids and words, and their n-grams as hash, item, place and words, sorted by hash."""
 
-    ids: list
+    ids: pa.Array
     words: list[np.ndarray]
     hash: np.ndarray
     item: np.ndarray
@@ -65,7 +65,7 @@ class Slice:
     length: np.ndarray
 
     @classmethod
-    def of(cls, ids: list, texts: list[str]) -> Slice:
+    def of(cls, ids: pa.Array, texts: list[str]) -> Slice:
         off, data = string_buffers(pa.array(texts, pa.large_string()))
         words, doc = word_hashes(data, off)
         each = [words[doc == i] for i in range(len(ids))]
@@ -181,17 +181,19 @@ def align(block: Block, seeds: Slice, table: np.ndarray, least: float = LEAST_SC
 
 
 def slices(benchmark: DataFrame, id_col: str, text_col: str, most: int = SLICE_BYTES) -> Iterator[Slice]:
-    """The benchmark in slices of bounded size, read row by row."""
+    """The benchmark in slices of bounded size, read row by row; the driver holds one slice."""
+    rows = benchmark.select(id_col, text_col)
+    kind = rows.limit(0).toArrow().schema.field(0).type
     ids, texts, size = [], [], 0
-    for row in benchmark.select(id_col, text_col).where(F.col(text_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
+    for row in rows.where(F.col(text_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
         size += len(row[1])
         if size >= most:
-            yield Slice.of(ids, texts)
+            yield Slice.of(pa.array(ids, kind), texts)
             ids, texts, size = [], [], 0
     if ids:
-        yield Slice.of(ids, texts)
+        yield Slice.of(pa.array(ids, kind), texts)
 
 
 def choose_seeds(docs: DataFrame, part: Slice, text_col: str) -> Slice:
@@ -215,12 +217,12 @@ def choose_seeds(docs: DataFrame, part: Slice, text_col: str) -> Slice:
     return part.rarest(df)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, item_id, score (1: every word of the item aligned), n_seeds, end_word of each document and item that reach ``least``."""
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     schema = f"doc_id {kind}, item_id {item_kind}, score double, n_seeds bigint, end_word bigint"
     out = docs.sparkSession.createDataFrame([], schema)
-    for part in slices(benchmark, item_col, item_text):
+    for part in slices(benchmark, item_col, item_text, slice_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(choose_seeds(docs, part, text_col))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -230,16 +232,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 doc, item, score, hits, end = align(block, seeds, table, least)
                 keep = score >= least
                 ids = block.batch.column(0).take(pa.array(doc[keep] + block.rows.start))
-                items = pa.array([seeds.ids[i] for i in item[keep]])
-                yield pa.RecordBatch.from_arrays([ids, items.cast(pa.int64()) if not len(items) and item_kind == "bigint" else items, pa.array(score[keep]), pa.array(hits[keep]), pa.array(end[keep])], ["doc_id", "item_id", "score", "n_seeds", "end_word"])
+                yield pa.RecordBatch.from_arrays([ids, seeds.ids.take(pa.array(item[keep])), pa.array(score[keep]), pa.array(hits[keep]), pa.array(end[keep])], ["doc_id", "item_id", "score", "n_seeds", "end_word"])
 
         out = out.unionByName(docs.select(id_col, text_col).mapInArrow(run, schema))
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """docs without those in which some item's alignment reaches ``least``; rows keep their partitions, nothing is shuffled."""
-    for part in slices(benchmark, item_col, item_text):
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """docs without those in which some item's alignment reaches ``least``; rows keep their partitions, nothing is shuffled.
+
+    Seeds of every slice are counted over all of docs, as find_contamination
+    counts them, so the same documents go at any size of slice.
+    """
+    left = docs
+    for part in slices(benchmark, item_col, item_text, slice_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(choose_seeds(docs, part, text_col))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -251,5 +257,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 keep[doc[score >= least]] = False
                 yield block.batch.slice(block.rows.start, len(keep)).filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        left = left.mapInArrow(run, docs.schema)
+    return left

@@ -1,8 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from millrace.llm.decontaminate import drop_contaminated, find_contamination, smith_waterman
+from millrace.llm.blocks import string_buffers
+from millrace.llm.decontaminate import drop_contaminated, find_contamination, smith_waterman, word_hashes
 
 
 def brute(a, b):
@@ -85,3 +88,38 @@ def test_long_insertions_score_as_a_whole(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id): round(r.score, 6) for r in find_contamination(docs, bench).collect()} == want
     assert {r.doc_id for r in drop_contaminated(docs, bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
+def hashed(texts):
+    off, data = string_buffers(pa.array(texts, pa.large_string()))
+    words, doc = word_hashes(data, off)
+    return [words[doc == i] for i in range(len(texts))]
+
+
+def test_every_item_aligned_with_every_whole_document(spark):
+    """The query without seeds or regions: all pairs by the alignment that brute force has checked above."""
+    rows, items, _ = made()
+    items = [(i, t) for i, t in items if i < 20]
+    a, b = hashed([t for _, t in items]), hashed([t for _, t in rows])
+    pairs = [(i, j) for i in range(len(a)) for j in range(len(b))]
+    score, _ = smith_waterman([a[i] for i, _ in pairs], [b[j] for _, j in pairs])
+    want = {(rows[j][0], items[i][0]): s / (2 * len(a[i])) for (i, j), s in zip(pairs, score.tolist(), strict=True) if s / (2 * len(a[i])) >= 0.5}
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in find_contamination(docs, bench).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_slices_and_kinds_of_ids_change_nothing(spark):
+    rows, items, _ = made()
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    want = None
+    for kind, cast in (("int", int), ("long", int), ("string", str), ("short", int)):
+        bench = spark.createDataFrame([(cast(i), t) for i, t in items[:12]], f"item_id {kind}, text string")
+        for size in (1, 500, 8 << 20) if kind == "long" else (8 << 20,):
+            found = find_contamination(docs, bench, slice_bytes=size)
+            assert found.dtypes[:2] == [("doc_id", "int"), ("item_id", dict(bench.dtypes)["item_id"])]
+            got = sorted((r.doc_id, int(r.item_id), r.score) for r in found.collect()), sorted(r.doc_id for r in drop_contaminated(docs, bench, slice_bytes=size).collect())
+            want = want or got
+            assert got == want and set(got[1]) == {i for i, _ in rows} - {d for d, _, _ in got[0]}
+    none = spark.createDataFrame([(1, "no such words at all")], "item_id int, text string")
+    assert find_contamination(docs, none).count() == 0
