@@ -135,8 +135,8 @@ def discounts(n: np.ndarray) -> np.ndarray:
 class KneserNey:
     """A trained model: where its arrays lie, their shards, and its totals."""
 
-    def __init__(self, uri: str, shards: int, totals: np.ndarray):
-        self.uri, self.shards = uri, shards
+    def __init__(self, uri: str, shards: int, totals: np.ndarray, files: frozenset[str] = frozenset()):
+        self.uri, self.shards, self.files = uri, shards, files
         t = totals.tolist()
         self.pair_discounts, self.word_discounts = discounts(totals[:4]), discounts(totals[4:8])
         self.types, self.tokens, self.vocabulary = t[8], t[9], t[10]
@@ -225,11 +225,13 @@ class KneserNey:
             totals[4:8] = [(follow == k).sum() for k in (1, 2, 3, 4)]
             totals[8:11] = follow.sum(), c.sum(), (c > 0).sum()
             totals[11:14] = (follow == 1).sum(), (follow == 2).sum(), (follow >= 3).sum()
-            return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([totals.tolist()], pa.list_(pa.int64()))], ["shard", "totals"])
+            shard, pairs = key[0].as_py(), 1 in rows.column("kind").to_pylist()
+            return pa.table([pa.array([shard], pa.int32()), pa.array([pairs]), pa.array([totals.tolist()], pa.list_(pa.int64()))], ["shard", "pairs", "totals"])
 
         counted = docs.select(text_col).mapInArrow(count, _SENT).groupBy("key").applyInArrow(bigrams, _SENT)
-        found = counted.groupBy("key").applyInArrow(words, "shard int, totals array<bigint>").collect()
-        return cls(uri, shards, np.sum([r.totals for r in found], axis=0) if found else np.zeros(14, np.int64))
+        found = counted.groupBy("key").applyInArrow(words, "shard int, pairs boolean, totals array<bigint>").collect()
+        files = frozenset([f"words-{r.shard:06d}" for r in found] + [f"pairs-{r.shard:06d}" for r in found if r.pairs])
+        return cls(uri, shards, np.sum([r.totals for r in found], axis=0) if found else np.zeros(14, np.int64), files)
 
     # Lookups in a worker ------------------------------------------------------------
 
@@ -241,10 +243,8 @@ class KneserNey:
     def _shard(self, kind: str, s: int, *types: type) -> list[np.ndarray]:
         name = f"{kind}-{s:06d}"
         if name not in self.maps:
-            try:
-                self.maps[name] = map_arrays(f"{self.uri}/{name}", *types)
-            except FileNotFoundError:  # no word or pair fell into this shard
-                self.maps[name] = [np.zeros(0, t) for t in types]
+            # a file that was written must be there; no word or pair fell into the other shards
+            self.maps[name] = map_arrays(f"{self.uri}/{name}", *types) if name in self.files else [np.zeros(0, t) for t in types]
         return self.maps[name]
 
     def words(self, names: np.ndarray) -> np.ndarray:

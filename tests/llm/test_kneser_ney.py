@@ -78,3 +78,25 @@ def test_edges(spark):
     assert train_and_score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = train_and_score(spark.createDataFrame([(None, "a"), (1, None), (1, None)], "doc_id long, text string")).collect()
     assert len(got) == 3 and all(math.isfinite(r.score) for r in got)
+
+
+def test_a_lost_file_is_an_error(spark):
+    import os
+    from urllib.parse import urlparse
+
+    docs = spark.createDataFrame(made(5, 40), "doc_id long, text string")
+    model = KneserNey.train(docs)
+    assert model.files
+    assert model.score(docs).count() == 40
+    lost = sorted(model.files)[0]
+    os.remove(f"{urlparse(model.uri).path}/{lost}")
+    with pytest.raises(Exception, match=lost):
+        model.score(docs).collect()
+
+
+def test_very_long_words_and_clashing_columns(spark):
+    rows = [(1, "w" * 200_000 + " end", 1), (2, "a b " * 50_000, 2), (3, "a b", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    got = {r.doc_id: r for r in train_and_score(docs).collect()}
+    want = brute([(i, t) for i, t, _ in rows])
+    assert all(got[i].score == pytest.approx(w[5]) and got[i].n_tokens == w[1] for i, w in want.items())
