@@ -32,8 +32,8 @@ WIDE = 256
 #: The mark of an empty leaf in a stacked tree, and the cells in one stack.
 FULL = np.iinfo(np.int32).max
 STACK = 1 << 15
-#: Most pre-tokens kept between batches in one worker.
-CACHE = 500_000
+#: Most pre-tokens kept between batches in one worker, and the most characters of each: together they bound the bytes.
+CACHE, KEPT = 500_000, 64
 
 
 def byte_symbols() -> dict[int, str]:
@@ -49,7 +49,11 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, symbols = spec["model"], byte_symbols()
+        own, model, symbols = spec.get("pre_tokenizer") or {}, spec["model"], byte_symbols()
+        if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or own.get("type") != "ByteLevel" or own.get("add_prefix_space") or not own.get("use_regex", True):
+            raise ValueError("only byte-level BPE files without a normalizer or a prefix space are encoded")
+        if any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word")) or any(model.get(flag) for flag in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            raise ValueError("dropout, affixes and stripping added tokens are not supported")
         ids: dict[str, int] = model["vocab"]
         back = {c: b for b, c in symbols.items()}
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -211,12 +215,21 @@ class Encoder:
         self.pieces: dict[str, bytes] = dict(vocabulary.special)
         self.chunks: dict[str, bytes | None] = {}
         self.again: set[str] = set()
+        self.wide: list[str] = []
+
+    def _forget_wide(self) -> None:
+        """Pre-tokens and chunks that are too wide to keep go at a batch's end."""
+        for w in self.wide:
+            self.pieces.pop(w, None)
+            self.chunks.pop(w, None)
+        self.wide = []
 
     def _learn(self, need: set[str]) -> None:
         new = need.difference(self.pieces)
         if len(self.pieces) + len(new) > self.most:
             self.pieces = {k: self.pieces[k] for k in need - new} | self.vocabulary.special
         self.pieces |= self.vocabulary.encode_pieces(new)
+        self.wide += [w for w in new if len(w) > KEPT]
 
     def _by_pieces(self, split: list[list[str]]) -> list[bytes]:
         self._learn(set().union(*split))
@@ -231,6 +244,7 @@ class Encoder:
         if len(self.chunks) + len(words) > self.most:
             keep = self.again if len(self.again) < self.most // 2 else old
             self.chunks, self.again = {k: self.chunks[k] for k in keep}, set()
+        self.wide += [w for w in words if len(w) > KEPT]
         plain = [w for w in words if w.isalpha()]
         ended = [w for w in words if w[-1:] in ENDS and w[:-1].isalpha()]
         rest = words.difference(plain, ended)
@@ -264,6 +278,7 @@ class Encoder:
             out[i] = head + out[i]
         for i in whole:
             out[i] = self._by_pieces([self.vocabulary.pieces(texts[i])])[0]
+        self._forget_wide()
         return out
 
 

@@ -60,3 +60,24 @@ def test_documents(spark, library):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert encode_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_wide_pieces_are_not_kept_and_other_files_are_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+    import pytest
+
+    from millrace.llm.bpe import KEPT, Encoder, Vocabulary
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder = Encoder(Vocabulary(path))
+    coder.encode(["x" * 5000 + " " + "ab12" * 4000 + " plain words", "y" * 5000])
+    assert all(len(k) <= KEPT for k in (*coder.pieces, *coder.chunks)) and " plain" in coder.pieces
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}):
+        other = tmp_path / "other.json"
+        other.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="byte-level"):
+            Vocabulary(str(other))
