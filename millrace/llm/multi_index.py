@@ -5,7 +5,8 @@ centroids. The codebooks, and the part of all rows that a query must probe to
 reach the wanted recall, are fitted on a bounded sample; every row is indexed.
 A query walks centroid pairs by summed distance with a heap until its cells
 hold that part, and the entries are reranked by their inner product. Cells go
-to shards of bounded size; one that is larger is split.
+to shards of bounded size; one that is larger is split. A task holds one shard
+and one block of queries. Actions run while the plan is built.
 
 Rows: vectors that are null, zero, hold null or non-finite components, or
 differ in length from the most frequent length take no part as query or
@@ -31,6 +32,8 @@ from millrace.llm.shared import partitions
 #: Rows that codebooks are fitted on, and those of them that recall is calibrated with.
 SAMPLE_ROWS, CALIBRATION_QUERIES = 20_000, 256
 SHARD_ROWS = 20_000
+#: Queries that one task holds; a shard meets each block of queries in a task of its own.
+QUERY_BLOCK = 65_536
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -127,6 +130,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str =
     least = W.Window.partitionBy("v").orderBy("id")
     rows = rows.withColumn("nth", F.dense_rank().over(least)).where(F.col("nth") <= k + 1).drop("nth").distinct()  # dealt by vector already
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
+    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     schema = "query_id bigint, rank int, id bigint, score double"
     if not sample.num_rows:
         return spark.createDataFrame([], schema)
@@ -198,6 +202,8 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str =
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "score"])
 
     stored, sent = celled.mapInArrow(place, "id bigint, v array<double>, cell bigint, shard bigint"), asked.mapInArrow(route, "id bigint, v array<double>, cells array<bigint>, shard bigint")
-    found = stored.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(rerank, "query_id bigint, id bigint, score double")
+    stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    sent = sent.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    found = stored.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInArrow(rerank, "query_id bigint, id bigint, score double")
     best = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -59,3 +59,36 @@ def test_heap_visits_cells_by_summed_distance():
     q = rng.randn(6)
     order = index.probe(q, np.ones(64, np.int64), 64)
     assert np.all(np.diff(index.products(q)[order]) <= 1e-12) and sorted(order) == list(range(64))
+
+
+def test_registered_query_reaches_its_recall(spark):
+    """The query's own parameters over the whole table of embeddings, against brute force."""
+    import numpy as np
+
+    from millrace.llm.registry import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in QUERIES["op1_multi_index"](spark, sf).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    asked = [i for i in ids.tolist() if i % 20 == 0]
+    assert sorted(got) == sorted(asked)
+    hits = 0
+    for q in asked:
+        score = x @ x[ids == q][0]
+        order = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:20]
+        found = {v: s for _, v, s in got[q]}
+        assert len(found) == 20 and all(abs(s - score[ids == v][0]) < 1e-9 for v, s in found.items())
+        hits += len(found.keys() & set(ids[order].tolist()))
+    assert hits / (20 * len(asked)) >= 0.9
+
+
+def test_blocks_of_queries_change_nothing(spark, monkeypatch):
+    from millrace.llm import multi_index
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 11), 1.0, float(i % 5)]) for i in range(300)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, multi_index.search(rows, rows, 5, centroids=4).collect()))
+    monkeypatch.setattr(multi_index, "QUERY_BLOCK", 40)
+    assert sorted(map(tuple, multi_index.search(rows, rows, 5, centroids=4).collect())) == whole
