@@ -26,7 +26,7 @@ from millrace.llm.blocks import ALNUM_BYTES, Block, blocks, hash_spans, owner, s
 
 SEED_WORDS = 3
 #: Part of an item's n-grams, rarest first, that are seeds.
-SEED_SHARE = 0.75
+SEED_SHARE = 0.5
 #: Part of the greatest score that an item's alignment must reach.
 LEAST_SCORE = 0.5
 #: Bytes of item text in one slice: bounds what is sent to every executor.

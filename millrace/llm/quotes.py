@@ -1,10 +1,12 @@
 """Quotation linking for message threads, in DataFrame functions only.
 
 Lines that open with quote marks form passages by nesting level; attribution
-lines that lead to a quote go with it. Passages, their paragraphs and their
-lines are normalised and hashed, and so are the unquoted bodies of all
-messages. A quoted passage links to the latest earlier message of its
-conversation that holds it, else to the first message elsewhere that does.
+lines that lead to a quote go with it. Passages, their paragraphs, lines and
+sentences are normalised and hashed, and so are the unquoted bodies of all
+messages; sentences run over line ends, so a part that was wrapped anew still
+meets its original. A quoted passage links to the latest earlier message of its
+conversation that holds it, else to the first message elsewhere that does; a
+short line or sentence links inside its conversation only.
 Replies follow the message that they quote first: each message gets its thread's
 root and its depth, found by pointer doubling, and its body without quotes.
 
@@ -25,7 +27,7 @@ from millrace.llm.shared import written
 
 MARKS = r"^(?:[ \t]{0,3}>)+[ \t]?"
 ATTRIBUTION = r"(?i)^[ \t]*(?:on .+ wrote:|.+ wrote:|am .+ schrieb.*:|le .+ a écrit ?:|el .+ escribió:)[ \t]*$"
-#: Least characters of a normalised line that links by itself.
+#: Least characters of a normalised line or sentence that links to another conversation by itself.
 LEAST_LINE = 16
 
 
@@ -55,12 +57,14 @@ def passages(lines: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    """rank (0 whole, 1 paragraph, 2 line), and hash of each normalised part."""
-    whole = F.array(F.struct(F.lit(0).alias("rank"), normalised(text).alias("part")))
-    paragraphs = F.transform(F.split(text, r"\n[ \t]*\n"), lambda p: F.struct(F.lit(1).alias("rank"), normalised(p).alias("part")))
-    lines = F.transform(F.split(text, "\n"), lambda p: F.struct(F.lit(2).alias("rank"), normalised(p).alias("part")))
-    kept = F.filter(F.concat(whole, paragraphs, lines), lambda u: (F.length(u.part) >= F.when(u["rank"] == 2, LEAST_LINE).otherwise(1)))
-    return F.transform(kept, lambda u: F.struct(u["rank"].alias("rank"), F.sha2(u.part, 256).alias("hash")))
+    """rank (0 whole, 1 paragraph, 2 line, 3 sentence), hash, and whether it may link to another conversation, of each normalised part."""
+
+    def ranked(rank: int, parts: Column) -> Column:
+        return F.transform(parts, lambda p: F.struct(F.lit(rank).alias("rank"), normalised(p).alias("part")))
+
+    every = F.concat(ranked(0, F.array(text)), ranked(1, F.split(text, r"\n[ \t]*\n")), ranked(2, F.split(text, "\n")), ranked(3, F.split(text, r"[.!?]+[ \t\n]+")))
+    kept = F.filter(every, lambda u: u.part != "")
+    return F.transform(kept, lambda u: F.struct(u["rank"].alias("rank"), F.sha2(u.part, 256).alias("hash"), ((u["rank"] < 2) | (F.length(u.part) >= LEAST_LINE)).alias("wide")))
 
 
 def body_of(lines: Column) -> Column:
@@ -76,21 +80,22 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     """conv, turn, n (passage), level, rank, source_conv, source_turn of every quoted passage; sources are null where nothing matches."""
     quoted = F.coalesce(F.col(text), F.lit("")).contains(">")
     some = messages.where(quoted & F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("c"), F.col(turn).alias("t"), passages(parsed_lines(F.col(text))).alias("p")).distinct()
-    quotes = some.select("c", "t", F.posexplode("p").alias("n", "q")).where("q.level > 0").select("c", "t", "n", "q.level", F.posexplode(units(F.col("q.text"))).alias("pos", "u")).select("c", "t", "n", "level", "pos", "u.rank", "u.hash")
+    quotes = some.select("c", "t", F.posexplode("p").alias("n", "q")).where("q.level > 0").select("c", "t", "n", "q.level", F.posexplode(units(F.col("q.text"))).alias("pos", "u")).select("c", "t", "n", "level", "pos", "u.rank", "u.hash", "u.wide")
     asked = written(quotes, "quotes")
-    originals = messages.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.explode(units(body_of(parsed_lines(F.col(text))))).alias("u")).select("c", "t", "u.hash").distinct()
+    originals = messages.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.explode(units(body_of(parsed_lines(F.col(text))))).alias("u")).groupBy("c", "t", "u.hash").agg(F.max("u.wide").alias("wide"))
     wanted = asked.select("hash").distinct()
     originals = written(originals.join(wanted, "hash", "left_semi"), "originals")
     # the latest earlier message of the conversation: both sides in one order, no pairs
-    both = originals.select("c", "hash", "t", F.lit(1).alias("from"), F.col("t").alias("src"), *[F.lit(None).cast(k).alias(x) for x, k in (("n", "int"), ("level", "int"), ("pos", "int"), ("rank", "int"))]).unionByName(
-        asked.select("c", "hash", "t", F.lit(0).alias("from"), F.lit(None).cast(dict(originals.dtypes)["t"]).alias("src"), "n", "level", "pos", "rank")
+    both = originals.select("c", "hash", "t", F.lit(1).alias("from"), F.col("t").alias("src"), *[F.lit(None).cast(k).alias(x) for x, k in (("n", "int"), ("level", "int"), ("pos", "int"), ("rank", "int"), ("wide", "boolean"))]).unionByName(
+        asked.select("c", "hash", "t", F.lit(0).alias("from"), F.lit(None).cast(dict(originals.dtypes)["t"]).alias("src"), "n", "level", "pos", "rank", "wide")
     )
     before = W.Window.partitionBy("hash", "c").orderBy("t", "from").rowsBetween(W.Window.unboundedPreceding, -1)
     near = both.withColumn("here", F.last("src", ignorenulls=True).over(before)).where("from = 0")
-    ends = originals.groupBy("hash").agg(F.min(F.struct("c", "t")).alias("low"), F.max(F.struct("c", "t")).alias("high"))
-    first = originals.groupBy("hash", "c").agg(F.min("t").alias("t")).join(ends.select("hash", F.col("high.c").alias("c")), ["hash", "c"]).select("hash", F.struct("c", "t").alias("high"))
+    broad = originals.where("wide")
+    ends = broad.groupBy("hash").agg(F.min(F.struct("c", "t")).alias("low"), F.max(F.struct("c", "t")).alias("high"))
+    first = broad.groupBy("hash", "c").agg(F.min("t").alias("t")).join(ends.select("hash", F.col("high.c").alias("c")), ["hash", "c"]).select("hash", F.struct("c", "t").alias("high"))
     ends = ends.select("hash", "low").join(first, "hash")
-    away = F.when(F.col("low.c") != F.col("c"), F.col("low")).when(F.col("high.c") != F.col("c"), F.col("high"))
+    away = F.when(~F.col("wide"), None).when(F.col("low.c") != F.col("c"), F.col("low")).when(F.col("high.c") != F.col("c"), F.col("high"))
     found = near.join(ends, "hash", "left").select("c", "t", "n", "level", "pos", "rank", F.when(F.col("here").isNotNull(), F.struct(F.col("c").alias("c"), F.col("here").alias("t"))).otherwise(away).alias("source"))
     best = found.groupBy("c", "t", "n").agg(F.first("level").alias("level"), F.min(F.when(F.col("source").isNotNull(), F.struct("rank", "pos", "source"))).alias("m"))
     return best.select(F.col("c").alias(conv), F.col("t").alias(turn), "n", "level", "m.rank", F.col("m.source.c").alias("source_conv"), F.col("m.source.t").alias("source_turn"))
@@ -128,7 +133,8 @@ def oracle(source: str = "conversations") -> str:
     part = r"trim(regexp_replace(lower({x}), '[\s\p{{P}}\p{{Z}}]+', ' ', 'g'))"
     units = lambda table, text, keys: f"""(SELECT {keys}, 0 AS rank, {part.format(x=text)} AS part, 0 AS pos FROM {table}
   UNION ALL SELECT {keys}, 1, {part.format(x='x')}, 1 + i FROM (SELECT {keys}, unnest(string_split_regex({text}, '\\n[ \\t]*\\n')) AS x, generate_subscripts(string_split_regex({text}, '\\n[ \\t]*\\n'), 1) AS i FROM {table})
-  UNION ALL SELECT {keys}, 2, {part.format(x='x')}, 1000000 + i FROM (SELECT {keys}, unnest(string_split({text}, chr(10))) AS x, generate_subscripts(string_split({text}, chr(10)), 1) AS i FROM {table}))"""
+  UNION ALL SELECT {keys}, 2, {part.format(x='x')}, 1000000 + i FROM (SELECT {keys}, unnest(string_split({text}, chr(10))) AS x, generate_subscripts(string_split({text}, chr(10)), 1) AS i FROM {table})
+  UNION ALL SELECT {keys}, 3, {part.format(x='x')}, 1000000000 + i FROM (SELECT {keys}, unnest(string_split_regex({text}, '[.!?]+[ \\t\\n]+')) AS x, generate_subscripts(string_split_regex({text}, '[.!?]+[ \\t\\n]+'), 1) AS i FROM {table}))"""
     attribution = ATTRIBUTION.replace("'", "''")
     return rf"""WITH RECURSIVE lines AS (SELECT conv_id, turn, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM (
   SELECT DISTINCT conv_id, turn, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS a FROM {source})),
@@ -137,9 +143,9 @@ nx AS (SELECT *, coalesce(lead(level) OVER w, 0) AS nxt, CASE WHEN level <> coal
 body AS (SELECT conv_id, turn, regexp_replace(coalesce(string_agg(content, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (nxt > 0 AND regexp_matches(content, '{attribution}'))), ''), '^\s+|\s+$', '', 'g') AS body FROM nx GROUP BY ALL),
 pa AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY i) AS n FROM nx),
 q AS (SELECT conv_id, turn, n, level, string_agg(content, chr(10) ORDER BY i) AS text FROM pa GROUP BY conv_id, turn, n, level HAVING level > 0),
-o AS (SELECT DISTINCT conv_id, turn, part FROM {units('body', 'body', 'conv_id, turn')} WHERE length(part) >= CASE rank WHEN 2 THEN {LEAST_LINE} ELSE 1 END),
-u AS (SELECT * FROM {units('q', 'text', 'conv_id, turn, n, level')} WHERE length(part) >= CASE rank WHEN 2 THEN {LEAST_LINE} ELSE 1 END),
-f AS (SELECT u.*, (SELECT max(o.turn) FROM o WHERE o.part = u.part AND o.conv_id = u.conv_id AND o.turn < u.turn) AS here, (SELECT min((o.conv_id, o.turn)) FROM o WHERE o.part = u.part AND o.conv_id <> u.conv_id) AS away FROM u),
+o AS (SELECT conv_id, turn, part, bool_or(rank < 2 OR length(part) >= {LEAST_LINE}) AS wide FROM {units('body', 'body', 'conv_id, turn')} WHERE part <> '' GROUP BY ALL),
+u AS (SELECT *, rank < 2 OR length(part) >= {LEAST_LINE} AS wide FROM {units('q', 'text', 'conv_id, turn, n, level')} WHERE part <> ''),
+f AS (SELECT u.*, (SELECT max(o.turn) FROM o WHERE o.part = u.part AND o.conv_id = u.conv_id AND o.turn < u.turn) AS here, (SELECT min((o.conv_id, o.turn)) FROM o WHERE u.wide AND o.wide AND o.part = u.part AND o.conv_id <> u.conv_id) AS away FROM u),
 b AS (SELECT conv_id, turn, n, level, coalesce(here IS NOT NULL, false) AS own, here, row_number() OVER (PARTITION BY conv_id, turn, n ORDER BY here IS NULL AND away IS NULL, rank, pos) AS r, here IS NOT NULL OR away IS NOT NULL AS linked FROM f),
 best AS (SELECT * FROM b WHERE r = 1),
 facts AS (SELECT conv_id, turn, count(*) AS n_quotes, count(*) FILTER (linked) AS n_linked, arg_min(here, (level, n)) FILTER (own) AS parent_turn FROM best GROUP BY ALL),

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 
 from millrace.llm.quotes import link_quotes, oracle, order_replies
@@ -40,14 +42,71 @@ def test_long_chain_and_copies(spark):
     assert len(twice) == 21
 
 
+def compared(spark, rows):
+    con = duckdb.connect()
+    con.execute("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    want = sorted(con.execute(oracle()).fetchall(), key=str)
+    out = order_replies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.conv_id, r.turn, r.role, r.n_quotes, r.n_linked, r.parent_turn, r.root_turn, r.depth, r.body) for r in out), key=str) == want
+    return out
+
+
+def threads(seed, n_threads, n_turns):
+    """Threads whose messages quote earlier ones whole, in part, nested, wrapped anew, or from another thread."""
+    rnd = random.Random(seed)
+    word = lambda: rnd.choice("the build test friday release server is was not slow very green fails again maybe later ok".split())
+    sentence = lambda: " ".join(word() for _ in range(rnd.randint(2, 9))).capitalize() + rnd.choice(".!?")
+    rows, said = [], {}
+    for c in range(n_threads):
+        for t in range(n_turns):
+            own = "\n\n".join(rnd.choice(("\n", " ")).join(sentence() for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 2)))
+            quote = ""
+            if t and rnd.random() < 0.8:
+                other = rnd.choice([k for k in said if k[0] == c] if rnd.random() < 0.9 else list(said))
+                source = said[other]
+                kind = rnd.randrange(4)
+                if kind == 1:
+                    source = rnd.choice(source.split("\n"))
+                elif kind == 2:
+                    source = source.replace(" ", "\n", 3)
+                elif kind == 3:
+                    source = source[: source.find(".") + 1] or source
+                quote = "Ann wrote:\n" * rnd.randrange(2) + "".join(f"> {line}\n" for line in source.split("\n"))
+                if rnd.random() < 0.3:
+                    quote += "".join(f">> {line}\n" for line in rnd.choice(list(said.values())).split("\n"))
+            said[c, t] = own
+            rows.append((c, t, "user", quote + own))
+    return rows
+
+
+def test_generated_threads_against_sql(spark):
+    out = compared(spark, threads(5, 60, 20))
+    assert sum(r.n_linked for r in out) > 800 and max(r.depth for r in out) >= 4
+
+
+def test_short_lines_and_parts_that_were_wrapped_anew(spark):
+    long = "We met on Tuesday and talked at length about the plan. Friday is fine. Someone should still write to the printers about the covers."
+    rows = [
+        (1, 0, "user", long), (1, 1, "user", "> Friday is fine.\nGood."), (1, 2, "user", "> Someone should still write to the\n> printers about the covers.\nI will."),
+        (2, 0, "user", "> Friday is fine.\nWhich Friday?"), (2, 1, "user", "> Someone should still write to the\n> printers about the covers.\nWho?"),
+    ]
+    links = {(r.conv_id, r.turn): (r.source_conv, r.source_turn) for r in link_quotes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert links == {(1, 1): (1, 0), (1, 2): (1, 0), (2, 0): (None, None), (2, 1): (1, 0)}
+    compared(spark, rows)
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    text = "A sentence that is said once and quoted later on. " * 4000
+    rows = [(1, 0, "user", text, 1, "x"), (1, 1, "user", f"> {text}\nyes", 2, "y")]
+    df = spark.createDataFrame(rows, SCHEMA + ", depth int, body string")
+    got = {r.turn: r for r in order_replies(df).collect()}
+    assert got[1].parent_turn == 0 and got[1].body == "yes" and got[1].depth == 1 and order_replies(df).columns.count("depth") == 1
+
+
 def test_empty(spark):
     assert order_replies(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_oracle(spark):
-    con = duckdb.connect()
-    con.execute("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
-    con.executemany("insert into conversations values (?, ?, ?, ?)", ROWS)
-    want = sorted(con.execute(oracle()).fetchall(), key=str)
-    out = order_replies(spark.createDataFrame(ROWS, SCHEMA)).collect()
-    assert sorted(((r.conv_id, r.turn, r.role, r.n_quotes, r.n_linked, r.parent_turn, r.root_turn, r.depth, r.body) for r in out), key=str) == want
+    compared(spark, ROWS)
