@@ -17,11 +17,20 @@ from millrace.session import table
 LEAST_LANGUAGE = 0.25
 
 
+def own_names(docs: DataFrame, *names: str) -> list[str]:
+    """Names for a stage's own columns that no column of docs has."""
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language; those without a letter or without any main language go."""
     model = LanguageModel.train(docs.where(~folded()))
-    found = identify(docs, model, names=("_lang", "_score", "_mix"))
-    return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    lang, score, mix = own_names(docs, "lang", "score", "mix")
+    found = identify(docs, model, names=(lang, score, mix))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +49,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     words = (*WORDS, *vocabulary_words(public_tokenizers.path("byte_bpe_50k.json")))
-    clean = scan_secrets(docs, out_col="_secrets", words=words, mask="[SECRET]")
-    return clean.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    (spans,) = own_names(docs, "spans")
+    clean = scan_secrets(docs, out_col=spans, words=words, mask="[SECRET]")
+    return clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +63,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("encode", encode)]
 
-#: SQL can't express the stages; tests compare each with a brute-force version.
+#: SQL can't express the stages; tests compare each with a version written down anew over all rows (language: with the operator and the rule on letters).
 ORACLE_SQL = None
 
 
