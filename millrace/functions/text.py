@@ -138,3 +138,9 @@ def model_type(c: Column) -> Column:
 def repo_name(c: Column) -> Column:
     """models--owner--name as owner/name."""
     return F.replace(F.regexp_replace(c, "^models--", ""), F.lit("--"), F.lit("/"))
+
+
+def json_or_text(c: Column) -> Column:
+    """is_json and the value: JSON text as it reads back, else the text as it is."""
+    parsed = F.try_parse_json(c)
+    return F.struct(parsed.isNotNull().alias("is_json"), F.when(parsed.isNotNull(), F.to_json(parsed)).otherwise(c).alias("value"))

@@ -88,3 +88,10 @@ def by_status(*conditions: tuple[str, Column]) -> list[Column]:
 def interleaved_pages(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """The first n rows of each key."""
     return df.withColumn("rank", F.row_number().over(W.Window.partitionBy(key).orderBy(order))).where(F.col("rank") <= n)
+
+
+def manual_pairs(df: DataFrame, batch: Column, question: str = "question", answer: str = "answer", rejected: str = "rejected", kind: str = "question_type", given: str = "batch_id") -> DataFrame:
+    """Rows of pairs entered by hand: preference pairs by their type or a rejected answer; the given batch, else the new one."""
+    is_dpo = (F.coalesce(F.col(kind), F.lit("")) == "dpo") | (F.coalesce(F.col(rejected), F.lit("")) != "")
+    own = [c for c in df.columns if c not in (question, answer, rejected, kind, given)]
+    return df.select(*own, F.col(question).alias("content"), F.col(answer).alias("answer"), F.when(is_dpo, F.col(rejected)).alias("rejected_answer"), is_dpo.alias("is_dpo"), F.when(is_dpo, "dpo").otherwise("manual").alias("question_type"), F.coalesce(F.col(given), batch).alias("batch_id"), F.lit("completed").alias("answer_status"))

@@ -173,6 +173,28 @@ def merge_tables(lines: list[str]) -> list[str]:
     return out + gap
 
 
+#: Titles of a table of contents, and what ends one.
+CONTENTS = re.compile(r"^(?:#{1,6}\s*)?(?:目[\s\u3000]*录|table of contents|toc)\s*$", re.MULTILINE | re.IGNORECASE)
+CONTENTS_END = re.compile(r"^(?:#{1,6}\s+.+|第[一二三四五六七八九十]+[章编部分])", re.MULTILINE)
+
+
+def cut_contents(text: str, least: int = 50) -> tuple[str, str]:
+    """A table of contents, headings in it without their marks, and the text without it; a shorter one stays."""
+    title = CONTENTS.search(text)
+    if not title:
+        return "", text
+    level = len(title[0]) - len(title[0].lstrip("#"))
+    end = len(text)
+    for m in CONTENTS_END.finditer(text, title.end()):
+        deeper = m[0].startswith("#") and len(m[0]) - len(m[0].lstrip("#")) > level
+        if not (level and deeper):
+            end = m.start()
+            break
+    body = re.sub(r"(?m)^[ \t]*#{1,6}[ \t]+", "", text[title.end() : end])
+    contents = (title[0] + body).strip()
+    return (contents, text[: title.start()] + text[end:]) if len(contents) >= least else ("", text)
+
+
 def split_markdown(text: str) -> list[tuple[str, str, int]]:
     """(content, name, level): headings are the only cut points besides tables, which stand alone; consecutive leaf siblings merge."""
     sections: list[tuple[list[str], int, list[str]]] = []  # path, level, lines
@@ -185,7 +207,8 @@ def split_markdown(text: str) -> list[tuple[str, str, int]]:
             sections.append(([t for _, t in path], level, list(lines)))
         lines.clear()
 
-    for line in merge_tables(drop_page_lines(text).split("\n")):
+    contents, text = cut_contents(drop_page_lines(text))
+    for line in merge_tables(text.split("\n")):
         if line.lstrip().startswith("```"):
             fenced = not fenced
         heading = None if fenced else _HEADING.match(line)
@@ -195,8 +218,8 @@ def split_markdown(text: str) -> list[tuple[str, str, int]]:
             path = [*[(n, t) for n, t in path if n < level], (level, heading[2])]
         lines.append(line)
     close()
-    out: list[tuple[str, str, int]] = []
-    parents: list[tuple[str, ...]] = []
+    out: list[tuple[str, str, int]] = [(contents, "目录", 1)] if contents else []
+    parents: list[tuple[str, ...]] = [("", "")] if contents else []
     for names, level, body in sections:
         table = [x for x in body if x.lstrip().startswith("|")]
         rest = "\n".join(x for x in body if not x.lstrip().startswith("|")).strip()

@@ -53,6 +53,19 @@ def align_alpaca(df: DataFrame, prompt: str = "instruction", query: str = "input
     return df.withColumn("_prompt", F.concat(turns, F.array(_message("user", asked)))).withColumn("_response", answer).withColumn("_system", F.col(system) if system else F.lit(""))
 
 
+def align(df: DataFrame, formatting: str, **columns: str) -> DataFrame:
+    """Rows of a registered formatting as _prompt, _response and _system."""
+    if formatting not in CONVERTERS:
+        raise ValueError(f"unknown formatting {formatting}, known are {sorted(CONVERTERS)}")
+    return CONVERTERS[formatting](df, **columns)
+
+
+def align_messages(df: DataFrame, messages: str = "messages") -> DataFrame:
+    """_prompt, _response and _system of a column of role and content."""
+    found = align_turns(F.col(messages))
+    return df.withColumn("_a", found).select("*", F.col("_a.prompt").alias("_prompt"), F.col("_a.response").alias("_response"), F.col("_a.system").alias("_system")).drop("_a")
+
+
 def align_turns(messages: Column) -> Column:
     """prompt, response, system of a list of role and content: a leading system message is taken off; broken alternation gives empty lists.
 
@@ -66,6 +79,10 @@ def align_turns(messages: Column) -> Column:
     return F.struct(F.when(sound, F.slice(rest, 1, F.size(rest) - 1)).otherwise(none).alias("prompt"), F.when(sound, F.slice(rest, -1, 1)).otherwise(none).alias("response"), system.alias("system"))
 
 
+#: Converters by formatting; callers may add their own.
+CONVERTERS: dict[str, Callable[..., DataFrame]] = {"alpaca": align_alpaca, "sharegpt": align_messages, "openai": align_messages}
+
+
 def valid_example(prompt: Column, response: Column, stage: str) -> Column:
     """An odd prompt, and one response (sft, kto: two for rm and kto)."""
     odd = F.size(prompt) % 2 == 1
@@ -126,6 +143,14 @@ def split_by_group(df: DataFrame, group: str, train: float = 0.8, val: float = 0
     return df.join(named, group)
 
 
+def merged_splits(train: DataFrame, **validation: DataFrame) -> DataFrame:
+    """One table of named splits: train, and validation_<name> for each further set."""
+    out = train.withColumn("split", F.lit("train"))
+    for name, df in validation.items():
+        out = out.unionByName(df.withColumn("split", F.lit(f"validation_{name}")), allowMissingColumns=True)
+    return out
+
+
 def interleave(df: DataFrame, source: str, id_col: str, stop: str = "first") -> DataFrame:
     """Round robin over sources: n_th rows of each source side by side. ``first`` ends with the shortest source, ``all`` with the longest."""
     ranked = ordered_position(df, id_col, [source], "turn", "_rows")
@@ -164,7 +189,7 @@ def few_shot(df: DataFrame, support: DataFrame, key: str, id_col: str, k: int, s
 
 def rotate_in_batches(df: DataFrame, order: str, value: str, out: str, size: int = 1000) -> DataFrame:
     """Each row's value replaced by that of the row before in its batch; the first takes the batch's last."""
-    batched = df.withColumn("batch", F.floor(F.col(order) / size))
+    batched = ordered_position(df, order, out="batch").withColumn("batch", F.floor(F.col("batch") / size))
     w = W.Window.partitionBy("batch").orderBy(order)
     whole = w.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
     return batched.withColumn(out, F.coalesce(F.lag(value).over(w), F.last(value).over(whole)))
@@ -175,7 +200,8 @@ def pretrain_blocks(df: DataFrame, id_col: str, text_col: str, block: int, eos:
 
     Rows carry slices, not single tokens: one for each document and block that touch.
     """
-    own = df.select(F.floor(F.col(id_col) / batch_rows).alias("batch"), F.col(id_col).alias("_id"), F.concat(words(F.coalesce(F.col(text_col), F.lit(""))), F.array(F.lit(eos))).alias("_t"))
+    placed = ordered_position(df.select(id_col, text_col), id_col, out="_at")
+    own = placed.select(F.floor(F.col("_at") / batch_rows).alias("batch"), F.col(id_col).alias("_id"), F.concat(words(F.coalesce(F.col(text_col), F.lit(""))), F.array(F.lit(eos))).alias("_t"))
     w = W.Window.partitionBy("batch").orderBy("_id")
     n = F.size("_t")
     own = own.withColumn("_off", F.sum(n).over(w.rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)) - n)
@@ -202,7 +228,7 @@ def knapsack(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def pack_sequences(df: DataFrame, id_col: str, length: str, capacity: int, batch_rows: int = 1000) -> DataFrame:
-    """batch, pack, position, id: sequences packed within batches of ids; longer ones than the capacity go."""
+    """batch, pack, position, id: sequences packed within batches of rows by id; longer ones than the capacity go."""
     kind = dict(df.dtypes)[id_col]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -211,7 +237,8 @@ def pack_sequences(df: DataFrame, id_col: str, length: str, capacity: int, batch
         rows = [(pdf["batch"].iloc[0], p, k, pdf["id"].iloc[i], pdf["n"].iloc[i]) for p, members in enumerate(packs) for k, i in enumerate(members)]
         return pd.DataFrame(rows, columns=["batch", "pack", "position", "id", "n"])
 
-    rows = df.select(F.floor(F.col(id_col) / batch_rows).alias("batch"), F.col(id_col).alias("id"), F.col(length).cast("long").alias("n"))
+    placed = ordered_position(df.select(id_col, length), id_col, out="_at")
+    rows = placed.select(F.floor(F.col("_at") / batch_rows).alias("batch"), F.col(id_col).alias("id"), F.col(length).cast("long").alias("n"))
     return rows.groupBy("batch").applyInPandas(run, f"batch long, pack int, position int, id {kind}, n long")
 
 

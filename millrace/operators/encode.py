@@ -144,3 +144,14 @@ def tool_text(name: Column, description: Column, parameters: Column, dialect: st
     if dialect == "tags":
         return F.to_json(F.struct(F.lit("function").alias("type"), F.struct(name.alias("name"), description.alias("description"), F.get_json_object(parameters, "$").alias("parameters")).alias("function")))
     return F.concat(F.lit("> Tool Name: "), name, F.lit("\nTool Description: "), description, F.lit("\nTool Args: "), parameters, F.lit("\n"))
+
+
+def block_mask(mask: Column, causal: bool = True) -> Column:
+    """Rows of a packed sequence's attention: a place sees the places of its own number (up to itself), padding sees nothing."""
+    return F.transform(mask, lambda own, i: F.transform(mask, lambda other, j: (own > 0) & (own == other) & ((j <= i) if causal else F.lit(True))))
+
+
+def side_by_side(chosen: Column, rejected: Column, fill: int) -> Column:
+    """Both sides of a preference pair, padded to the longer one."""
+    width = F.greatest(F.size(chosen), F.size(rejected))
+    return F.array(padded(chosen, width, fill), padded(rejected, width, fill))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,6 +80,46 @@ def bleu(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         yield pd.Series([sentence_bleu(a.split(), b.split()) if a.strip() and b.strip() else None for a, b in zip(p.fillna(""), r.fillna(""), strict=True)], dtype=float)
 
 
+def smoothed_bleu(prediction: list[str], reference: list[str], most: int = 4) -> float:
+    """BLEU of one pair in which the k-th order without a hit counts 1 / 2 ** k."""
+    if not prediction or not reference:
+        return 0.0
+    logs, misses = 0.0, 0
+    for n in range(1, most + 1):
+        own = Counter(zip(*[prediction[i:] for i in range(n)], strict=False))
+        other = Counter(zip(*[reference[i:] for i in range(n)], strict=False))
+        hit = sum(min(c, other[g]) for g, c in own.items())
+        if n == 1 and not hit:
+            return 0.0
+        misses += not hit
+        logs += math.log((hit or 0.5**misses) / max(1, sum(own.values()))) / most
+    return math.exp(min(0.0, 1 - len(reference) / len(prediction)) + logs)
+
+
+def training_scores(df: DataFrame, prediction: str, label: str, segment: Callable[[str], list[str]] = str.split) -> DataFrame:
+    """df with rouge_1, rouge_2, rouge_l (F1 over segmented words) and bleu_4 (characters), in percent; the segmenter is the caller's."""
+
+    def f1(hit: int, a: int, b: int) -> float:
+        return 200.0 * hit / (a + b) if hit else 0.0
+
+    def scores(p: str, r: str) -> tuple[float, float, float, float]:
+        a, b = " ".join(segment(p)).split(), " ".join(segment(r)).split()
+        out = []
+        for n in (1, 2):
+            x, y = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (a, b))
+            out.append(f1(len(x & y), len(x), len(y)))
+        number = {w: chr(0x10000 + i) for i, w in enumerate(dict.fromkeys(a + b))}
+        out.append(f1(lcs("".join(map(number.get, a)), "".join(map(number.get, b))), len(a), len(b)))
+        return (*(round(x, 4) for x in out), round(100 * smoothed_bleu(list(p), list(r)), 4))
+
+    @F.pandas_udf("rouge_1 double, rouge_2 double, rouge_l double, bleu_4 double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for p, r in batches:
+            yield pd.DataFrame([scores(x, y) for x, y in zip(p.fillna(""), r.fillna(""), strict=True)], columns=["rouge_1", "rouge_2", "rouge_l", "bleu_4"])
+
+    return df.withColumn("_s", run(prediction, label)).select("*", "_s.*").drop("_s")
+
+
 def token_accuracy(predicted: Column, labels: Column, ignore: int = -100) -> Column:
     """Part of unmasked labels that are hit."""
     kept = F.filter(F.zip_with(predicted, labels, lambda p, y: F.when(y != ignore, (p == y).cast("int"))), lambda x: x.isNotNull())

@@ -108,3 +108,13 @@ def mask_column(df: DataFrame, column: str, order: str, out: str) -> DataFrame:
     numbered = ordered_position(first, "_first", out="_n").withColumn("_n", F.col("_n") + 1)
     mark = F.when(F.col("_n") <= 26, F.char((F.col("_n") + 64).cast("int"))).otherwise(F.col("_n").cast("string"))
     return df.join(numbered.select(column, F.concat(F.lit(f"**{column}值"), mark, F.lit("**")).alias(out)), column, "left")
+
+
+def configured(config: dict | None) -> tuple[list[tuple[str, str, str, int]], tuple[str, ...], tuple[str, ...]]:
+    """Rules, keywords and patterns of a project's settings; the older form's keywords come after the newer one's."""
+    config = config or {}
+    own, older = config.get("sensitive_rules") or {}, config.get("desensitize_rules") or {}
+    words = [(r["keyword"], r.get("mode", "exact")) for r in own.get("keyword_rules", [])] + [(w, older.get("match_mode", "exact")) for w in older.get("keywords", [])]
+    named = own.get("enabled_rules")
+    rules = active_rules(None if named is None else tuple(named))
+    return rules, tuple(w for w, mode in words if mode != "regex"), tuple(w for w, mode in words if mode == "regex")

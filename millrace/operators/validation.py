@@ -144,3 +144,15 @@ def parse_judgement(reply: Column) -> tuple[Column, Column]:
     raw = F.coalesce(F.get_json_object(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), "$.score").try_cast("double"), F.regexp_extract(reply, r'(?i)score"?\s*[:：]\s*([0-9]+(?:\.[0-9]+)?)', 1).try_cast("double"), F.lit(0.0))
     score = half_points(raw)
     return score, F.when(score >= 3, "true").otherwise("false")
+
+
+#: What a judge scores from one to ten.
+JUDGED = ("score", "factual", "completeness", "no_hallucination", "format")
+
+
+def parse_scores(reply: Column, default: int = 5) -> Column:
+    """The judge's five scores and reason; a missing score is the default, and so are all where the reply holds no readable object."""
+    body = F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?s)(\{.*\})", 1)
+    score = lambda name: F.coalesce(F.get_json_object(body, f"$.{name}").try_cast("double").cast("int"), F.lit(default))
+    reason = F.when(F.try_parse_json(body).isNotNull(), F.coalesce(F.get_json_object(body, "$.reason"), F.lit(""))).otherwise(F.left(F.coalesce(reply, F.lit("")), F.lit(100)))
+    return F.struct(*[score(n).alias(n) for n in JUDGED], reason.alias("reason"))

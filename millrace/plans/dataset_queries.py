@@ -102,7 +102,7 @@ def render_chat(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("ms")).select("conv_id", datasets.render_chat(F.col("ms"), "chatml").alias("prompt"))
 
 
-@query("""WITH r AS (SELECT conv_id, turn, conv_id * 1000 + turn AS pos, text FROM conversations), b AS (SELECT *, pos // 1000 AS batch FROM r)
+@query("""WITH r AS (SELECT conv_id, turn, conv_id * 1000 + turn AS pos, text FROM conversations), b AS (SELECT *, (row_number() OVER (ORDER BY pos) - 1) // 1000 AS batch FROM r)
 SELECT conv_id, turn, coalesce(lag(text) OVER w, last_value(text) OVER (PARTITION BY batch ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS kl_text FROM b WINDOW w AS (PARTITION BY batch ORDER BY pos)""")
 def kto_kl_rotate(spark, sf_dir):
     """WIN10: responses shifted by one within their batch."""
@@ -110,7 +110,7 @@ def kto_kl_rotate(spark, sf_dir):
     return datasets.rotate_in_batches(rows, "pos", "text", "kl_text").select("conv_id", "turn", "kl_text")
 
 
-@query(r"""WITH t AS (SELECT doc_id // 1000 AS batch, doc_id, list_append(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), '<eos>') AS w FROM documents),
+@query(r"""WITH t AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS batch, doc_id, list_append(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), '<eos>') AS w FROM documents),
 e AS (SELECT batch, doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS i FROM t), n AS (SELECT batch, tok, row_number() OVER (PARTITION BY batch ORDER BY doc_id, i) - 1 AS p FROM e)
 SELECT batch, p // 512 AS block, md5(string_agg(tok, ' ' ORDER BY p)) AS tokens_md5 FROM n GROUP BY batch, p // 512 HAVING count(*) = 512""")
 def pretrain_blocks(spark, sf_dir):

@@ -70,7 +70,7 @@ def chunk_lines(spark, sf_dir):
 def _rows_of_chunks(method, **options):
     def run(spark, sf_dir):
         rows = chunking.chunk_rows(table(spark, sf_dir, "documents"), method, **options)
-        return rows.select("doc_id", "index", "name", "level", "word_count", F.length("content").alias("n_chars"))
+        return rows.select("doc_id", "index", "name", "level", "word_count", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
 
     return run
 

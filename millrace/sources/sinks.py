@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +26,17 @@ def page_document(pages: DataFrame, title: str, url: str, content: str) -> DataF
     """filename and Markdown of pages that have content."""
     kept = pages.where(F.trim(F.coalesce(content, F.lit(""))) != "")
     return kept.select(F.concat(safe_filename(F.col(title)), F.lit(".md")).alias("filename"), F.concat(F.lit("# "), F.col(title), F.lit("\n\n> 来源: "), F.col(url), F.lit("\n\n"), F.col(content)).alias("document"))
+
+
+def ready_documents(chunks: DataFrame, path: str, file: str = "file_id", order: str = "index", text: str = "content") -> DataFrame:
+    """The Markdown of each file put together from its chunks, one folder a file; returns file and document."""
+    parts = F.array_sort(F.collect_list(F.struct(order, text)))
+    out = chunks.groupBy(file).agg(F.array_join(F.transform(parts, lambda p: p[text]), "\n\n").alias("document"))
+    out.write.mode("overwrite").partitionBy(file).text(path)
+    return out
+
+
+def predictions(df: DataFrame, path: str, prompt: str = "prompt", predict: str = "predict", label: str = "label", pad: str = "<pad>") -> None:
+    """Prompt, prediction and label as JSON lines; padding before a prediction goes."""
+    start = F.regexp_replace(F.col(predict), "^(?:" + re.escape(pad) + ")+", "")
+    df.select(F.col(prompt).alias("prompt"), start.alias("predict"), F.col(label).alias("label")).write.mode("overwrite").json(path)

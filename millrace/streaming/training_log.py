@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "current_steps long, total_steps long, loss double, eval_loss double, predict_loss double, reward double, accuracy double, lr double, epoch double, percentage double, elapsed_time string, remaining_time string, throughput double, total_tokens long"
@@ -15,9 +15,20 @@ def read_log(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(SCHEMA).json(folder)
 
 
-def follow(log: DataFrame, checkpoint: str, push: Callable[[DataFrame, int], None]):
-    """Hand each batch of new rows to ``push``; a query that starts again goes on where it ended."""
-    return log.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def follow(log: DataFrame, checkpoint: str, push: Callable[[DataFrame, int], None], every: str | None = None):
+    """Hand each batch of new rows to ``push``; a query that starts again goes on where it ended.
+
+    ``every`` (such as "2 seconds") keeps following until the query is stopped;
+    without it the rows that are there are handed on and the query ends.
+    """
+    writer = log.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def counted(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
+    """df, and counters over its rows that can be read once an action has run: progress without a second pass."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in counters.items()]), seen
 
 
 def shuffled_batches(rows: DataFrame, id_col: str, checkpoint: str, push: Callable[[DataFrame, int], None], seed: int = 42):
