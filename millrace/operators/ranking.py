@@ -42,6 +42,17 @@ def ordered_position(df: DataFrame, id_col: str, within: list[str] = (), out: st
     return with_position(df, F.floor(F.col(id_col) / width), [id_col], within, out, total)
 
 
+def framed(df: DataFrame, id_col: str, within: list[str], reach: int, size: int = 4096) -> tuple[DataFrame, W.WindowSpec]:
+    """df in blocks of positions, and the window over a block; each block has ``reach`` rows of its neighbours, for which ``_own`` is false.
+
+    Frames of up to ``reach`` rows before and after are whole for the own rows,
+    and no task sees more than a block, however many rows a group has.
+    """
+    at = lambda shift: F.floor((F.col("_p") + shift) / size)
+    placed = ordered_position(df, id_col, within, "_p").withColumn("_block", F.explode(F.array_distinct(F.array(at(-reach), at(0), at(reach)))))
+    return placed.withColumn("_own", F.col("_block") == at(0)), W.Window.partitionBy(*within, "_block").orderBy("_p")
+
+
 def attach(df: DataFrame, row: DataFrame) -> DataFrame:
     """df with the columns of a table of at most one row, which is broadcast; nulls if it has none."""
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(row.limit(1).withColumn("_one", F.lit(1))), "_one", "left").drop("_one")

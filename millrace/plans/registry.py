@@ -22,4 +22,4 @@ def query(oracle: str | None = None):
     return add
 
 
-from millrace.plans import catalog_queries, dataset_queries, function_queries, job_queries, table_queries, text_queries  # noqa: E402, F401
+from millrace.plans import catalog_queries, dataset_queries, encode_queries, function_queries, job_queries, source_queries, table_queries, text_queries  # noqa: E402, F401

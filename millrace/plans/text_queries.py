@@ -9,6 +9,7 @@ from millrace.functions import text as T
 from millrace.functions import url as U
 from millrace.functions import vectors as V
 from millrace.operators import chunking, crawl, datasets, metrics, privacy, validation
+from millrace.operators.ranking import framed
 from millrace.plans.registry import query
 from millrace.session import table
 from millrace.storage import written
@@ -108,13 +109,14 @@ def validate_repeats(spark, sf_dir):
     return docs.select("doc_id", validation.format_error(F.col("text")).alias("format_error"), validation.verdict(F.col("text"), F.lit("generated")).alias("verdict"))
 
 
-@query(r"""SELECT conv_id, turn, structured,
-  CASE WHEN NOT structured THEN true ELSE regexp_matches(text, '[一-鿿\p{L}\p{N}_]+[是为]\S+') OR regexp_matches(trim(text), '^(未)?[一-鿿]{2,10}[。.]?$') END AS follows
-  FROM (SELECT conv_id, turn, role = 'assistant' AS structured, concat('字段为', text) AS text FROM conversations)""")
+@query(r"""WITH t AS (SELECT p_partkey, p_partkey % 7 <> 6 AS structured, [p_name || '为' || p_size, '尺寸是 ' || p_size, '未上市。', p_name || '不是' || p_brand, p_name || ' ' || p_type, '', '已注册'][p_partkey % 7 + 1] AS text FROM part)
+SELECT p_partkey, structured, CASE WHEN text = '' OR NOT structured THEN true ELSE regexp_matches(text, '[一-鿿\p{L}\p{N}_]+[是为]\S+') OR regexp_matches(trim(text), '^(未)?[一-鿿]{2,10}[。.]?$') OR regexp_matches(text, '[一-鿿\p{L}\p{N}_]+不[是为]\S+') END AS follows FROM t""")
 def validate_template(spark, sf_dir):
-    """VAL8: answers from tables must state that a field is a value."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") == "assistant").alias("structured"), F.concat(F.lit("字段为"), "text").alias("text"))
-    return rows.select("conv_id", "turn", "structured", validation.follows_template(F.col("text"), F.when(F.col("structured"), "structured_template").otherwise("generated")).alias("follows"))
+    """VAL8: answers from tables must state that a field is a value; some here do, some do not."""
+    size, name = F.col("p_size").cast("string"), F.col("p_name")
+    texts = F.array(F.concat(name, F.lit("为"), size), F.concat(F.lit("尺寸是 "), size), F.lit("未上市。"), F.concat(name, F.lit("不是"), "p_brand"), F.concat(name, F.lit(" "), "p_type"), F.lit(""), F.lit("已注册"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 7 != 6).alias("structured"), F.element_at(texts, (F.col("p_partkey") % 7 + 1).cast("int")).alias("text"))
+    return rows.select("p_partkey", "structured", validation.follows_template(F.col("text"), F.when(F.col("structured"), "structured_template").otherwise("generated")).alias("follows"))
 
 
 @query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '""" + _EMAIL + r"""')) AS INTEGER) AS n_email,
@@ -194,18 +196,27 @@ def html_select(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", U.select_css(F.col("html"), "article").alias("selected"), F.size(found).alias("n_anchors"))
 
 
-@query()
+_URL = r"""regexp_replace(regexp_replace(regexp_replace({u}, '#.*$', ''), '([&?])(utm_[^&]*|fbclid|gclid|ref|source|from|spm|nsukey)=[^&]*', '', 'g'), '[?&]+$', '')"""
+_SKIP = "|".join(e.replace(".", "\\.") for e in U.SKIPPED)
+_LINKS = rf"""s AS (SELECT {_URL.format(u='url')} AS src, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS l FROM pages),
+links AS (SELECT DISTINCT src, dst FROM (SELECT src, {_URL.format(u="CASE WHEN l LIKE '/%' THEN regexp_extract(src, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || replace(l, '&amp;', '&') ELSE replace(l, '&amp;', '&') END")} AS dst FROM s WHERE l NOT LIKE '//%')
+  WHERE regexp_matches(dst, '^https?://') AND regexp_extract(src, '://([^/?#]*)', 1) = regexp_extract(dst, '://([^/?#]*)', 1) AND NOT regexp_matches(lower(regexp_extract(dst, '^https?://[^/?#]*([^?#]*)', 1)), '({_SKIP})$'))"""
+
+
+@query(f"WITH {_LINKS} SELECT src, dst FROM links")
 def page_links(spark, sf_dir):
     """STR14, 16: links of every page to pages of its host."""
     return crawl.page_links(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINKS}, known AS (SELECT DISTINCT {_URL.format(u='url')} AS u FROM pages), step AS (SELECT src, dst FROM links JOIN known ON known.u = links.dst),
+reached AS (SELECT (SELECT src FROM links GROUP BY src ORDER BY count(*) DESC, src LIMIT 1) AS url, 0 AS depth UNION SELECT dst, depth + 1 FROM reached JOIN step ON step.src = reached.url WHERE depth < 20)
+SELECT url, min(depth) AS depth FROM reached GROUP BY url ORDER BY depth, url LIMIT 50""")
 def crawl_bfs(spark, sf_dir):
-    """SRC25: pages reached from the first address, at most 50."""
+    """SRC25: pages reached from the address with the most links, at most 50."""
     pages = table(spark, sf_dir, "pages")
-    start = pages.orderBy("page_id").first()
-    return crawl.crawl(pages, start.url)
+    start = crawl.page_links(pages).groupBy("src").count().orderBy(F.desc("count"), "src").first()
+    return crawl.crawl(pages, start.src)
 
 
 _D = "list_transform(embedding, lambda x: x::DOUBLE)"
@@ -215,9 +226,15 @@ _D = "list_transform(embedding, lambda x: x::DOUBLE)"
   SELECT vec_id, label, {_D} AS v, lead({_D}) OVER (PARTITION BY label ORDER BY vec_id) AS u FROM embeddings) WHERE u IS NOT NULL""")
 def adjacent_similarity(spark, sf_dir):
     """WIN2: cosine of each vector and the next of its label."""
-    nxt = F.lead("v").over(W.Window.partitionBy("label").orderBy("vec_id"))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v")).withColumn("u", nxt).where("u is not null")
-    return rows.select("vec_id", "label", F.round(V.cosine(F.col("v"), F.col("u")), 6).alias("similarity"))
+    return _adjacent(spark, sf_dir).select("vec_id", "label", F.round("s", 6).alias("similarity"))
+
+
+def _adjacent(spark, sf_dir):
+    """vec_id, label, s: blocks of positions with a border row each, so a frequent label is no single task."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v"))
+    placed, w = framed(rows, "vec_id", ["label"], 1)
+    pairs = placed.withColumn("u", F.lead("v").over(w)).where("_own and u is not null")
+    return pairs.select("vec_id", "label", V.cosine(F.col("v"), F.col("u")).alias("s"))
 
 
 @query(f"""WITH a AS (SELECT vec_id, label, list_dot_product(v, u) / ((sqrt(list_dot_product(v, v)) + 1e-8) * (sqrt(list_dot_product(u, u)) + 1e-8)) AS s FROM (
@@ -226,10 +243,8 @@ b AS (SELECT *, avg(s) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 3 P
 SELECT vec_id, label, round(m, 6) AS smoothed FROM b""")
 def smoothed_similarity(spark, sf_dir):
     """WIN3: centred moving average of the neighbours' similarity."""
-    w = W.Window.partitionBy("label").orderBy("vec_id")
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v")).withColumn("u", F.lead("v").over(w)).where("u is not null")
-    rows = rows.select("vec_id", "label", V.cosine(F.col("v"), F.col("u")).alias("s"))
-    return rows.select("vec_id", "label", F.round(F.avg("s").over(w.rowsBetween(-3, 3)), 6).alias("smoothed"))
+    placed, w = framed(_adjacent(spark, sf_dir), "vec_id", ["label"], 3)
+    return placed.withColumn("m", F.avg("s").over(w.rowsBetween(-3, 3))).where("_own").select("vec_id", "label", F.round("m", 6).alias("smoothed"))
 
 
 @query(f"""WITH e AS (SELECT vec_id, label, {_D} AS v FROM embeddings)
@@ -284,7 +299,10 @@ def rouge_l_bleu(spark, sf_dir):
     return _next_turn(spark, sf_dir).select("conv_id", "turn", F.round(metrics.rouge_l("p", "r"), 9).alias("rouge_l"), F.round(metrics.bleu("p", "r"), 9).alias("bleu"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT vec_id, label, {_D} AS v FROM embeddings), p AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) GROUP BY label, i),
+m AS (SELECT label, list(x ORDER BY i) AS u FROM p GROUP BY label),
+c AS (SELECT vec_id, round(list_dot_product(v, u) / ((sqrt(list_dot_product(v, v)) + 1e-8) * (sqrt(list_dot_product(u, u)) + 1e-8)), 4) AS similarity FROM e JOIN m ON m.label = e.label)
+SELECT vec_id, similarity, CASE WHEN similarity < 0.5 THEN 'hallucination' ELSE 'passed' END AS verdict FROM c""")
 def semantic_verdict(spark, sf_dir):
     """VAL9: similarity of each vector and its label's mean, below a half as hallucination."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v"))

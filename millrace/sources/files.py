@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +24,9 @@ def file_kind(name: Column) -> Column:
     return F.coalesce(table[F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))], F.lit("txt"))
 
 
-@F.udf(T.StringType())
-def _decoded(raw):
+def _decode(raw: bytes | None) -> str | None:
+    if raw is None:
+        return None
     for encoding in ENCODINGS:
         try:
             return raw.decode("utf-8-sig" if encoding == "utf-8" else encoding)
@@ -32,10 +35,29 @@ def _decoded(raw):
     return raw.decode("utf-8", "ignore")
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield batch.map(_decode)
+
+
+def decoded(raw: Column) -> Column:
+    """Bytes as text: valid UTF-8 stays in the JVM, other encodings are tried in turn."""
+    text = raw.cast("string")
+    valid = F.is_valid_utf8(text)
+    return F.when(valid, F.regexp_replace(text, "^\ufeff", "")).otherwise(_decoded(F.when(~valid, raw)))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, text of each file: valid UTF-8 stays in the JVM, other encodings are tried in turn."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return raw.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.regexp_replace(F.col("content").cast("string"), "^﻿", "")).otherwise(_decoded("content")).alias("text"))
+    """path, text of each file."""
+    return spark.read.format("binaryFile").load(path).select("path", decoded(F.col("content")).alias("text"))
+
+
+def read_csv_any(spark: SparkSession, path: str) -> DataFrame:
+    """path, row, cells of CSV files in any of the encodings: each file is decoded whole, then cut into lines."""
+    lines = read_texts(spark, path).select("path", F.posexplode(F.split("text", "\r?\n")).alias("row", "line")).where(F.trim("line") != "")
+    cells = F.transform(F.regexp_extract_all(F.concat("line", F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),'), 1), lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    return lines.select("path", "row", cells.alias("cells"))
 
 
 def read_csv(spark: SparkSession, path: str, header: bool = True, encoding: str = "utf-8") -> DataFrame:
