@@ -12,6 +12,9 @@ Suffixes are compared to that length only, and sorted bucket by bucket:
   that are computed beforehand for the positions of a difference cover only:
   two cover ranks stand for all but the first and last few bytes of a string,
   which bounds the memory of a bucket.
+* A bucket of more than HOT_ROWS entries is split: its different surroundings
+  are dealt string by string, by two hashes of the whole string (128 bits), so
+  that only equal strings meet, at most one from each slice of a block.
 
 Rows: null text counts as empty; texts are read whole, as UTF-8 bytes; ties of
 equal strings go to the least (doc_id, start). Rows without an id are left
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +46,10 @@ COVER_MODULUS, COVER = 13, (0, 1, 3, 9)
 RANKED = 64
 #: Rows of a group of buckets that are sorted at a time.
 GROUP_ROWS = 20_000
+#: Entries of a bucket beyond which its strings are dealt one by one, and rows that this is done for at a time.
+HOT_ROWS, STRING_ROWS = 100_000, 10_000
+#: Odd weights of the columns of a row in two hashes.
+WEIGHTS = np.random.RandomState(20240301).randint(0, 1 << 62, (2, 512)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def rolling(data: np.ndarray, k: int) -> np.ndarray:
@@ -151,19 +159,31 @@ def repeated_starts(text: np.ndarray, bucket: np.ndarray, left: np.ndarray, righ
     return out
 
 
+def string_hashes(body: np.ndarray, length: int) -> list[np.ndarray]:
+    """Two 64-bit hashes of the string at every column of each row; strings of one column are compared."""
+    column = np.arange(body.shape[1] - length + 1, dtype=np.uint64) * EXACT[0]
+    values = EXACT[body]
+    out = []
+    for weights in WEIGHTS:
+        total = np.zeros((len(body), body.shape[1] + 1), np.uint64)
+        np.cumsum(values * weights[: body.shape[1]], axis=1, out=total[:, 1:])
+        out.append(mix(total[:, length:] - total[:, : body.shape[1] - length + 1] + column))
+    return out
+
+
 def _table(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], [n for n, _ in schema])
 
 
-_FIELDS = [("key", pa.int32()), *[(c, pa.binary()) for c in ("ids", "doc", "pos", "lo", "hi", "hash", "text")]]
-_SENT = "key int, ids binary, doc binary, pos binary, lo binary, hi binary, hash binary, text binary"
+_FIELDS = [("key", pa.int32()), *[(c, pa.binary()) for c in ("ids", "doc", "pos", "lo", "hi", "hash", "text")], ("hot", pa.bool_())]
+_SENT = "key int, ids binary, doc binary, pos binary, lo binary, hi binary, hash binary, text binary, hot boolean"
 
 
 def _block_of(ids: np.ndarray, n: int) -> np.ndarray:
     return np.array(mix(ids.astype(np.uint64)) % np.uint64(n), np.int64)
 
 
-def _rows(key: np.ndarray, n: int, ids: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, h: np.ndarray, text: np.ndarray | None = None) -> list[tuple]:
+def _rows(key: np.ndarray, n: int, ids: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, h: np.ndarray, text: np.ndarray | None = None, hot: bool = False) -> list[tuple]:
     """One packed row for each key; entries are sorted by key, and by hash or (ids, pos) within it."""
     cut, out = _slices(key, n), []
     for k in range(n):
@@ -171,7 +191,7 @@ def _rows(key: np.ndarray, n: int, ids: np.ndarray, pos: np.ndarray, lo: np.ndar
         if a < b:
             near, d = np.unique(ids[a:b], return_inverse=True)
             body = zstandard.ZstdCompressor(level=3).compress(text[a:b].tobytes()) if text is not None else b""
-            out.append((k, pack(np.diff(near, prepend=0)), pack(d.astype(np.uint32)), pack(pos[a:b]), pack(lo[a:b].astype(np.uint8)), pack(hi[a:b].astype(np.uint8)), pack_sorted(h[a:b]) if len(h) else b"", body))
+            out.append((k, pack(np.diff(near, prepend=0)), pack(d.astype(np.uint32)), pack(pos[a:b]), pack(lo[a:b].astype(np.uint8)), pack(hi[a:b].astype(np.uint8)), pack_sorted(h[a:b]) if len(h) else b"", body, hot))
     return out
 
 
@@ -183,8 +203,11 @@ def _entries(rows: pa.Table) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (*[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
 
 
-def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, removed array<struct<start, end>> (maximal runs, end exclusive), kept (the other bytes)."""
+def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """doc_id, n_bytes, removed array<struct<start, end>> (maximal runs, end exclusive), kept (the other bytes).
+
+    ``hot_rows`` changes how much a task holds, not the result.
+    """
     if length < RANKED + COVER_MODULUS or length > 255:
         raise ValueError(f"length must lie between {RANKED + COVER_MODULUS} and 255")
     n = partitions(docs.sparkSession)
@@ -227,9 +250,14 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             same[1:] = np.logical_and.reduce([x[keep[1:]] == x[keep[:-1]] for x in (h, ids, pos, lo, hi)])
         keep = keep[~same]
         _, bucket, size = np.unique(h[keep], return_inverse=True, return_counts=True)
-        keep = keep[size[bucket] > 1]
-        keep = keep[np.lexsort((pos[keep], ids[keep], _block_of(ids[keep], n)))]
-        return pa.Table.from_batches([_table(_rows(_block_of(ids[keep], n), n, ids[keep], pos[keep], lo[keep], hi[keep], h[:0]), _FIELDS)])
+        size = size[bucket]
+        keep, size = keep[size > 1], size[size > 1]
+        order = np.lexsort((pos[keep], ids[keep], _block_of(ids[keep], n)))
+        keep, size = keep[order], size[order]
+        out: list[tuple] = []
+        for hot, at in ((False, keep[size <= hot_rows]), (True, keep[size > hot_rows])):
+            out += _rows(_block_of(ids[at], n), n, ids[at], pos[at], lo[at], hi[at], h[:0], hot=hot)
+        return pa.Table.from_batches([_table(out, _FIELDS)])
 
     def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts for the blocks of their documents, compressed before they are shuffled."""
@@ -257,9 +285,11 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     def surroundings(left: pa.Table, right: pa.Table) -> pa.Table:
         """The bytes around each repeated anchor, to its bucket. Equal ones go once; the later are repeats whatever else there is."""
-        ids, pos, lo, hi, _ = _entries(right)
+        cold, hot = (_entries(right.filter(f)) for f in (pc.invert(right["hot"]), right["hot"]))
+        ids, pos, lo, hi = (np.concatenate(x) for x in zip(cold[:4], hot[:4], strict=True))
+        many = np.arange(len(ids)) >= len(cold[0])
         order = np.lexsort((pos, ids))
-        ids, pos, lo, hi = ids[order], pos[order], lo[order], hi[order]
+        ids, pos, lo, hi, many = ids[order], pos[order], lo[order], hi[order], many[order]
         own = texts(left)
         out: list[tuple] = []
         for a in range(0, len(ids), AROUND_ROWS):
@@ -276,23 +306,51 @@ def repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             same = np.zeros(len(order), bool)
             same[1:] = (every[order[1:]] == every[order[:-1]]).all(axis=1)
             key = shard_of(h[order], n)
-            for kept, text in ((~same, True), (same, False)):  # order is by hash, and by (document, position) among equals
-                at = order[kept]
-                if text:
-                    out += _rows(key[kept], n, i[at], p[at], q[at], r[at], h[at], body[at])
-                else:
-                    out += _rows(key[kept], n, i[at], p[at], q[at], r[at], h[:0])
+            split = many[a : a + AROUND_ROWS][order]
+            # order is by hash, and by (document, position) among equals
+            kept = ~same & ~split
+            at = order[kept]
+            out += _rows(key[kept], n, i[at], p[at], q[at], r[at], h[at], body[at])
+            at = order[same]
+            out += _rows(key[same], n, i[at], p[at], q[at], r[at], h[:0])
+            at = order[~same & split]
+            for b in range(0, len(at), STRING_ROWS):
+                x = at[b : b + STRING_ROWS]
+                out += strings(i[x], p[x], q[x], r[x], body[x])
         return pa.Table.from_batches([_table(out, _FIELDS)])
 
+    def strings(i: np.ndarray, p: np.ndarray, q: np.ndarray, r: np.ndarray, body: np.ndarray) -> list[tuple]:
+        """Every string of these rows under its own hash; of equal ones the first, the others as repeats."""
+        left = (anchor - q)[:, None]
+        column = np.arange(anchor + 1)
+        row, s = np.nonzero((column >= left) & (column <= left + r[:, None]))
+        h, h2 = (x[row, s] for x in string_hashes(body, length))
+        i, start = i[row], p[row] - anchor + s
+        order = np.lexsort((start, i, h2, h))
+        i, start, h, h2 = i[order], start[order], h[order], h2[order]
+        same = np.zeros(len(order), bool)
+        same[1:] = (h[1:] == h[:-1]) & (h2[1:] == h2[:-1])
+        key, none = shard_of(h, n), np.zeros(len(order), np.int64)
+        out = _rows(key[~same], n, i[~same], start[~same], none[~same], none[~same], h[~same], h2[~same], hot=True)
+        return out + _rows(key[same], n, i[same], start[same], none[same], none[same], h[:0])
+
     def sort_buckets(rows: pa.Table) -> pa.Table:
         """String starts that repeat an earlier string, back to the blocks of their documents."""
-        own, done = [], []
+        own, done, alone = [], [], []
         for r in rows.to_pylist():
             ids, pos, lo, hi, h = _entries(pa.Table.from_pylist([r], rows.schema))
-            if r["text"]:
+            if r["hot"]:
+                alone.append((ids, pos, h, np.frombuffer(zstandard.ZstdDecompressor().decompress(r["text"]), np.uint64)))
+            elif r["text"]:
                 own.append((ids, pos, lo, hi, h, np.frombuffer(zstandard.ZstdDecompressor().decompress(r["text"]), np.uint8).reshape(-1, wide)))
             else:
                 done.append((ids, pos - lo, hi))
+        if alone:
+            ids, start, h, h2 = (np.concatenate(x) for x in zip(*alone, strict=True))
+            del alone
+            order = np.lexsort((start, ids, h2, h))
+            again = order[1:][(h[order[1:]] == h[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])]
+            done.append((ids[again], start[again], np.zeros(len(again), np.int64)))
         if own:
             ids, pos, lo, hi, h, text = (np.concatenate(x) for x in zip(*own, strict=True))
             del own

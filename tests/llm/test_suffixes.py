@@ -45,8 +45,9 @@ def made(seed):
     return rows
 
 
-def check(spark, rows):
-    got = {r.doc_id: (r.n_bytes, [(x.start, x.end) for x in r.removed], bytes(r.kept)) for r in repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+def check(spark, rows, **options):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, [(x.start, x.end) for x in r.removed], bytes(r.kept)) for r in repeated_bytes(docs, **options).collect()}
     assert got == brute(rows)
 
 
@@ -72,3 +73,14 @@ def test_repeated_rows_count_once(spark):
         docs = spark.createDataFrame(rows * copies, "doc_id long, text string")
         got = {r.doc_id: (r.n_bytes, [(x.start, x.end) for x in r.removed], bytes(r.kept)) for r in repeated_bytes(docs).collect()}
         assert got == want
+
+
+def test_split_buckets_give_the_same(spark):
+    """Buckets of many entries are dealt string by string; one line stands between different texts."""
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    line, near = "licensed to you under the terms that stand in the file beside this one.", [text(60) for _ in range(3)]
+    rows = made(3) + [(1000 + i, text(rnd.randint(0, 90)) + rnd.choice([*near, text(30)]) + line + rnd.choice([*near, text(40), ""]) + text(rnd.randint(0, 90))) for i in range(150)]
+    assert any(runs for _, runs, _ in brute(rows[-150:]).values())
+    for hot_rows in (1, 20):
+        check(spark, rows, hot_rows=hot_rows)
