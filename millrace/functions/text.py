@@ -110,6 +110,14 @@ def rule_summary(c: Column, most: int = 100) -> Column:
     return F.when(F.length(s) <= most, s).when(ends > most // 2, F.left(head, ends)).otherwise(F.concat(head, F.lit("...")))
 
 
+def cut_at_sentence(c: Column, most: int, share: float = 0.7) -> Column:
+    """Text over the limit ends at the first kind of sentence mark whose last place lies beyond that share of it, else at the limit."""
+    head = F.left(c, F.lit(most))
+    place = lambda m: F.length(head) - F.locate(m, F.reverse(head))
+    cuts = [F.when(head.contains(m) & (place(m) > most * share), F.left(head, place(m) + 1)) for m in ("。", "！", "？", ".", "!", "?")]
+    return F.when(F.length(c) <= most, c).otherwise(F.coalesce(*cuts, head))
+
+
 def half_points(c: Column) -> Column:
     """Score clamped to 0..5, rounded half to even at half points."""
     return F.bround(F.least(F.greatest(c, F.lit(0.0)), F.lit(5.0)) * 2) / 2

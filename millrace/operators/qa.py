@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from millrace.functions.text import cut_at_sentence, rule_summary, strip_ws
+
 #: Question templates by kind, with their placeholders.
 FORWARD = (
     "已知{conditions}，请问{target}{target_qw}？",
@@ -148,14 +150,14 @@ def parsed_pairs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def call_model(df: DataFrame, prompt: str, client: Callable[[str], str], out: str = "reply", attempts: int = 3) -> DataFrame:
-    """A reply for each prompt by a client that is a function of the prompt; errors are tried again and then give null."""
+    """A reply for each prompt by a client that is a function of the prompt; errors are tried again and then give null, as a null prompt does."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def ask(text: str | None) -> str | None:
-            for _ in range(attempts):
+            for _ in range(attempts if isinstance(text, str) else 0):
                 try:
-                    return client(text or "")
+                    return client(text)
                 except OSError:
                     continue
             return None
@@ -166,6 +168,20 @@ def call_model(df: DataFrame, prompt: str, client: Callable[[str], str], out: st
     return df.withColumn(out, run(F.col(prompt)))
 
 
+def summarised(df: DataFrame, text: str, client: Callable[[str], str], out: str = "summary", most: int = 150, least: int = 50, attempts: int = 3) -> DataFrame:
+    """CHK15: a client's summary of each text, cut at a sentence end; without a reply, the summary by rule.
+
+    Texts of fewer than ``least`` or at most ``most`` characters stand for
+    themselves and are not sent; null and empty text gives a fixed word.
+    """
+    body = strip_ws(F.col(text))
+    own = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit("空内容")).when((F.length(body) < least) | (F.length(text) <= most), body)
+    ask = F.when(own.isNull(), F.concat(F.lit(f"请用不超过{most}字概括下文：\n\n"), F.col(text)))
+    reply = F.nullif(strip_ws(F.col("_reply")), F.lit(""))
+    got = call_model(df.withColumn("_ask", ask), "_ask", client, "_reply", attempts)
+    return got.withColumn(out, F.coalesce(own, cut_at_sentence(reply, most), rule_summary(F.col(text), most))).drop("_ask", "_reply")
+
+
 def reply_text(body: Column) -> Column:
     """The text of a provider's JSON reply, in any of the usual places."""
     return F.coalesce(*[F.get_json_object(body, p) for p in ("$.choices[0].message.content", "$.choices[0].text", "$.content[0].text", "$.output.text", "$.output.choices[0].message.content", "$.message.content")])

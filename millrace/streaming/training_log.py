@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.ranking import shuffled_position
+
 SCHEMA = "current_steps long, total_steps long, loss double, eval_loss double, predict_loss double, reward double, accuracy double, lr double, epoch double, percentage double, elapsed_time string, remaining_time string, throughput double, total_tokens long"
 
 
@@ -36,6 +38,28 @@ def shuffled_batches(rows: DataFrame, id_col: str, checkpoint: str, push: Callab
     return rows.writeStream.foreachBatch(lambda df, n: push(df.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(id_col).cast("string"))), id_col), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def split_stream(rows: DataFrame, id_col: str, held_out: int, folder: str, checkpoint: str, seed: int = 42):
+    """STM4: a stream's first ``held_out`` rows, each batch in shuffled order, under folder/validation, the others under folder/train.
+
+    Each batch writes its own subfolder, so a batch that runs again replaces
+    what it wrote; rows held out before are counted from the files. A fraction
+    is refused, since a stream has no known length.
+    """
+    if not isinstance(held_out, int) or isinstance(held_out, bool) or held_out < 1:
+        raise ValueError("a stream's validation rows are a whole number of at least 1")
+
+    def push(df: DataFrame, n: int) -> None:
+        spark, place = df.sparkSession, f"{folder}/validation"
+        before = spark.read.parquet(place).where(F.col("batch") < n).count() if n else 0
+        placed = shuffled_position(df, id_col, seed, out="_place").persist()
+        first = F.col("_place") < held_out - before
+        for name, part in (("validation", placed.where(first)), ("train", placed.where(~first))):
+            part.drop("_place").write.mode("overwrite").parquet(f"{folder}/{name}/batch={n}")
+        placed.unpersist()
+
+    return rows.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def severity(line: Column) -> Column:
     low = F.lower(line)
     return F.when(low.rlike("error|exception|traceback|failed"), "error").when(low.rlike("warn"), "warning").otherwise("info")

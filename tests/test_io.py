@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from millrace.sources import files, sinks
 from millrace.streaming import training_log as log
 
@@ -47,3 +49,16 @@ def test_log_stream_goes_on_where_it_ended(spark, tmp_path):
         (folder / f"{k}.json").write_text(json.dumps({"current_steps": k, "loss": 0.5}) + "\n")
         log.follow(log.read_log(spark, str(folder)), str(tmp_path / "checkpoint"), push).awaitTermination()
     assert seen == [1, 2]
+
+
+def test_stream_holds_out_its_first_rows(spark, tmp_path):
+    with pytest.raises(ValueError):
+        log.split_stream(None, "id", 0.1, "", "")
+    folder, out = tmp_path / "rows", str(tmp_path / "out")
+    folder.mkdir()
+    for k, n in enumerate((3, 4, 2)):
+        (folder / f"{k}.json").write_text("".join(json.dumps({"id": 10 * k + i}) + "\n" for i in range(n)))
+        log.split_stream(spark.readStream.schema("id long").json(str(folder)), "id", 5, out, str(tmp_path / "checkpoint")).awaitTermination()
+    held, rest = ([(r.batch, r.id) for r in spark.read.parquet(f"{out}/{name}").collect()] for name in ("validation", "train"))
+    assert sorted(i for b, i in held if b == 0) == [0, 1, 2] and [b for b, _ in held].count(1) == 2 and len(held) == 5
+    assert sorted(i for _, i in held + rest) == [0, 1, 2, 10, 11, 12, 13, 20, 21]

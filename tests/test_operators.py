@@ -230,3 +230,34 @@ def test_smoothing_in_chunks(spark, weight):
     got = {(r.g, r.position): (r.n, r.smoothed) for r in metrics.smoothed(df, "g", "o", "v", weight, chunk=3).collect()}
     assert got.keys() == want.keys()
     assert all(got[k][0] == n and (got[k][1] is None if x is None else got[k][1] == pytest.approx(x, rel=1e-9)) for k, (n, x) in want.items())
+
+
+def test_mask_entities(spark):
+    def client(prompt):
+        text = prompt.split("\n\n", 1)[1]
+        if "fails" in text:
+            raise OSError
+        if "odd" in text:
+            return "no JSON"
+        return 'Here: {"entities": [{"text": "Ann Lee", "type": "name", "start": 0}, {"text": "邮箱", "type": "name", "start": 9}, {"text": "12 Hill Road, Upton", "type": "address", "start": 30}, {"text": "Bo", "type": "x"}, 7]}'
+
+    rows = [(1, "Ann Lee a@b.cc, Ann Lee, 12 Hill Road, Upton"), (2, "fails a@b.cc"), (3, "odd"), (4, None), (5, ""), (6, "Bo 邮箱 a@b.cc")]
+    got = {r.id: r.masked for r in privacy.mask_entities(spark.createDataFrame(rows, "id int, text string"), client).collect()}
+    assert got[1].text == "**人物A** **邮箱A**, **人物A**, **地址A**"
+    assert [(a.rule, a.original, a.confidence) for a in got[1].audit] == [("email", "a@b.cc", 1.0), ("ner:address", "12 Hill Ro...", 0.7), ("ner:name", "Ann Lee", 0.7)]
+    assert [got[i].text for i in (2, 3, 4, 5)] == ["fails **邮箱A**", "odd", None, ""]
+    assert got[6].text == "**实体A** **人物A** **邮箱A**"
+
+
+def test_summaries_by_a_client(spark):
+    def client(prompt):
+        if "fails" in prompt:
+            raise OSError
+        return "" if "empty" in prompt else "s" * 120 + ". " + "t" * 60
+
+    long = "word " * 60
+    rows = [(1, long), (2, "fails. " + long), (3, "empty. " + long), (4, " short "), (5, None), (6, ""), (7, "x" * 149)]
+    got = {r.id: r.summary for r in qa.summarised(spark.createDataFrame(rows, "id int, text string"), "text", client).collect()}
+    assert got[1] == "s" * 120 + "."
+    assert got[2] == ("fails. " + long)[:150] + "..." and got[3].startswith("empty. word")
+    assert [got[i] for i in (4, 5, 6, 7)] == ["short", "空内容", "空内容", "x" * 149]
