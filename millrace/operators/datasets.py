@@ -174,13 +174,23 @@ def resample(df: DataFrame, id_col: str, rows: int, seed: int = 42) -> DataFrame
 
 
 def few_shot(df: DataFrame, support: DataFrame, key: str, id_col: str, k: int, seed: int = 42) -> DataFrame:
-    """k support rows for each target, the least by a hash of both ids, of the same key. Support is first cut to k by hash for each key and salt."""
-    target = df.select(F.col(id_col).alias("target_id"), F.col(key).alias("_k"), (F.crc32(F.col(id_col).cast("string")) % 16).alias("_salt"))
-    pool = support.select(F.col(id_col).alias("support_id"), F.col(key).alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt"))
-    w = W.Window.partitionBy("_k", "_salt").orderBy(F.md5(F.concat(F.lit(str(seed)), F.col("_salt").cast("string"), F.lit("-"), F.col("support_id").cast("string"))))
-    pool = pool.withColumn("shot", F.row_number().over(w)).where(F.col("shot") <= k + 1)
-    own = W.Window.partitionBy("target_id").orderBy("shot")
-    pairs = target.join(pool, ["_k", "_salt"]).where("target_id <> support_id").withColumn("shot", F.row_number().over(own)).where(F.col("shot") <= k)
+    """target_id, shot, support_id: k support rows of the same key, drawn anew for each target, which isn't its own support; all of them where there are fewer.
+
+    A key's support has shuffled places. Each target cuts them, from a place of
+    its own, into k + 1 stretches and draws one place of each, so that a draw is
+    an equi-join on single places, however frequent a key is.
+    """
+    draws = F.least(F.lit(k + 1).cast("long"), F.col("_n"))
+    at = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), *parts)), 1, 15), 16, 10).cast("long")
+    pool = shuffled_position(support.select(F.col(id_col).alias("support_id"), F.col(key).alias("_k")), "support_id", seed, ["_k"], "_place")
+    sizes = support.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    name = F.col("target_id").cast("string")
+    target = df.select(F.col(id_col).alias("target_id"), F.col(key).alias("_k")).join(sizes, "_k")
+    drawn = target.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), draws - 1)))
+    low, high = F.floor(F.col("_n") * F.col("_j") / draws), F.floor(F.col("_n") * (F.col("_j") + 1) / draws)
+    drawn = drawn.withColumn("_place", F.pmod(at(name) + low + F.pmod(at(name, F.col("_j").cast("string")), high - low), F.col("_n")))
+    own = W.Window.partitionBy("target_id").orderBy("_j")
+    pairs = drawn.join(pool, ["_k", "_place"]).where("target_id <> support_id").withColumn("shot", F.row_number().over(own)).where(F.col("shot") <= k)
     return pairs.select("target_id", "shot", "support_id")
 
 

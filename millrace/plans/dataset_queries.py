@@ -66,9 +66,13 @@ def resample(spark, sf_dir):
     return datasets.resample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 25_000).select("doc_id", "position", "copy")
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY k, doc_id) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM ({_KEYED}) WHERE lang IS NOT NULL),
+d AS (SELECT doc_id, lang, n, least(4, n) AS m, unnest(range(0, least(4, n))) AS j FROM s),
+h AS (SELECT *, n * j // m AS low, n * (j + 1) // m AS high, ('0x' || substr(md5('42-' || doc_id), 1, 15))::BIGINT AS a, ('0x' || substr(md5('42-' || doc_id || '-' || j), 1, 15))::BIGINT AS b FROM d),
+p AS (SELECT h.doc_id AS target_id, s.doc_id AS support_id, j FROM h JOIN s ON s.lang = h.lang AND s.place = (a + low + b % (high - low)) % h.n WHERE s.doc_id <> h.doc_id)
+SELECT target_id, shot, support_id FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY j) AS shot FROM p) WHERE shot <= 3""")
 def few_shot(spark, sf_dir):
-    """SMP5: three support documents of its language for each benchmark-sized target."""
+    """SMP5: three support documents of its language for each document, drawn anew for each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return datasets.few_shot(docs, docs, "lang", "doc_id", 3)
 

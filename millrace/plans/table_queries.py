@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from millrace.operators import chunking, privacy, qa, tables
+from millrace.operators import chunking, layout, privacy, qa, tables
 from millrace.plans.registry import query
 from millrace.session import table
 
@@ -106,3 +107,34 @@ def fill_forward(spark, sf_dir):
     """WIN7-8: the last header that isn't blank, carried forward."""
     rows = table(spark, sf_dir, "events").withColumn("h", F.when(F.col("event_type") == "purchase", F.concat("event_type", F.col("event_id").cast("string"))))
     return tables.fill_forward(rows, "user_id", "event_id", "h", "filled").select("event_id", "filled")
+
+
+_HEADS = (("部门", "组", "2024年", None, "2025年", None), (None, None, "Q1", "Q2", "Q1", "Q2"), (None, None, "销售额", "销售额", "销售额", "利润率"))
+
+
+@query("""SELECT n_regionkey AS sheet, 2 + k AS row, '部门: ' || CASE WHEN k % 3 = 0 THEN before ELSE n_name END || chr(10) || '组: ' || n_name || chr(10) ||
+'2024年 Q1 销售额: ' || n_nationkey || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN '2024年 Q2 销售额: ' || n_nationkey || chr(10) ELSE '' END || '2025年 Q1 销售额: ' || (n_nationkey + 1) || chr(10) || '2025年 Q2 利润率: ' || n_nationkey || '%' AS content
+FROM (SELECT *, 1 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k, lag(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS before FROM nation)""")
+def table_records(spark, sf_dir):
+    """CHK11: rows of sheets with three header rows and merged row headers, their structure found."""
+    w = W.Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    key = F.col("n_nationkey").cast("string")
+    body = table(spark, sf_dir, "nation").withColumn("row", F.row_number().over(w) + 2)
+    body = body.select(F.col("n_regionkey").alias("sheet"), "row", F.array(F.when(F.col("row") % 3 != 1, F.col("n_name")), "n_name", key, F.when(F.col("n_nationkey") % 2 == 0, key), (F.col("n_nationkey") + 1).cast("string"), F.concat(key, F.lit("%"))).alias("cells"))
+    heads = F.array(*[F.struct(F.lit(i).alias("row"), F.array(*[F.lit(x).cast("string") for x in cells]).alias("cells")) for i, cells in enumerate(_HEADS)])
+    sheets = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("sheet")).distinct().select("sheet", F.explode(heads).alias("h")).select("sheet", "h.row", "h.cells")
+    return layout.grid_records(sheets.unionByName(body).select("sheet", "row", F.posexplode("cells").alias("col", "value")))
+
+
+@query("""WITH g AS (SELECT vec_id // 60 AS s, vec_id % 60 // 6 AS r, vec_id % 6 AS c, CASE WHEN vec_id % 7 > 0 THEN label END AS v, embedding::DOUBLE[] AS x FROM embeddings),
+f AS (SELECT s, coalesce(min(r) FILTER (c = 0 AND v IS NOT NULL), 0) AS r0, coalesce(min(c) FILTER (r = 0 AND v IS NOT NULL), 0) AS c0, max(r) + 1 AS n_rows, max(c) + 1 AS n_cols FROM g GROUP BY s),
+p AS (SELECT a.s, a.r - r0 AS i, b.r - r0 AS k, a.c - c0 AS j, list_cosine_similarity(a.x, b.x) AS sim FROM g a JOIN g b ON a.s = b.s AND a.c = b.c AND a.r < b.r JOIN f ON f.s = a.s WHERE a.v IS NOT NULL AND b.v IS NOT NULL AND a.r >= r0 AND b.r < r0 + 10 AND a.c >= c0 AND a.c < c0 + 10),
+ri AS (SELECT s, unnest(range(0, least(10, n_rows - r0) - 1)) AS i FROM f), rs AS (SELECT ri.s, ri.i, coalesce(avg(sim), 0) AS sim FROM ri LEFT JOIN p ON p.s = ri.s AND p.i = ri.i AND p.k = ri.i + 1 GROUP BY ALL),
+rd AS (SELECT s, min(i) AS down FROM (SELECT *, sim - lag(sim) OVER (PARTITION BY s ORDER BY i) AS d FROM rs) WHERE d > 0.1 GROUP BY s),
+ci AS (SELECT s, unnest(range(0, least(10, n_cols - c0))) AS j FROM f), cs AS (SELECT ci.s, ci.j, CASE WHEN count(sim) >= 3 THEN avg(sim) ELSE 0 END AS sim FROM ci LEFT JOIN p ON p.s = ci.s AND p.j = ci.j AND p.k < 5 GROUP BY ALL),
+cd AS (SELECT s, coalesce(min(j) FILTER (d > 0.1), CASE WHEN max(sim) FILTER (j = 0) > 0.6 THEN 0 ELSE min(j) FILTER (sim > 0.7) END) AS rightward FROM (SELECT *, sim - lag(sim) OVER (PARTITION BY s ORDER BY j) AS d FROM cs) GROUP BY s)
+SELECT s AS sheet, r0 + coalesce(down, 0) AS data_row, c0 + coalesce(rightward, 0) AS data_col FROM f LEFT JOIN rd USING (s) LEFT JOIN cd USING (s)""")
+def table_bounds(spark, sf_dir):
+    """CHK14: where the data of a sheet begin, by the vectors of its cells."""
+    cells = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 60).alias("sheet"), F.floor(F.col("vec_id") % 60 / 6).alias("row"), (F.col("vec_id") % 6).alias("col"), F.when(F.col("vec_id") % 7 > 0, F.col("label")).alias("value"), F.col("embedding").alias("vec"))
+    return layout.table_bounds(cells)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import random
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,38 @@ def shuffled_batches(rows: DataFrame, id_col: str, checkpoint: str, push: Callab
     return rows.writeStream.foreachBatch(lambda df, n: push(df.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(id_col).cast("string"))), id_col), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def buffered_shuffle(rows: DataFrame, size: int = 16_384, seed: int = 42) -> DataFrame:
+    """STM4: rows of a table or stream in an order that a buffer shuffles, in each partition (of each batch).
+
+    A row that comes takes the place of a random row of the full buffer, which
+    goes out; the rest goes out in random order at the end. A task holds one
+    buffer, and one that runs again on the same rows gives the same order.
+    """
+    if size < 1:
+        raise ValueError("a buffer holds at least one row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw, held = random.Random(seed), None
+        for batch in batches:
+            came = pa.Table.from_batches([batch])
+            room = 0 if held is None else held.num_rows
+            every = came if held is None else pa.concat_tables([held, came])
+            kept, gone = list(range(min(size, every.num_rows))), []
+            for new in range(max(size, room), every.num_rows):
+                at = draw.randrange(size)
+                gone.append(kept[at])
+                kept[at] = new
+            held = every.take(pa.array(kept, pa.int64())).combine_chunks()
+            if gone:
+                yield from every.take(pa.array(gone, pa.int64())).combine_chunks().to_batches()
+        if held is not None:
+            left = list(range(held.num_rows))
+            draw.shuffle(left)
+            yield from held.take(pa.array(left, pa.int64())).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def split_stream(rows: DataFrame, id_col: str, held_out: int, folder: str, checkpoint: str, seed: int = 42):
     """STM4: a stream's first ``held_out`` rows, each batch in shuffled order, under folder/validation, the others under folder/train.
 
