@@ -51,6 +51,55 @@ def brute(rows):
     return out
 
 
+def brute_of_order(rows, n):
+    """The textbook's recursion over dictionaries: id, log10 probability."""
+    grams = {k: Counter() for k in range(1, n + 1)}
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            seq = ["<s>"] * (n - 1) + [*words(t), "</s>"]
+            for at in range(n - 1, len(seq)):
+                for k in range(1, n + 1):
+                    grams[k][tuple(seq[at - k + 1 : at + 1])] += 1
+    counts = {n: grams[n]}
+    for k in range(n - 1, 0, -1):
+        before = Counter(g[1:] for g in grams[k + 1])
+        counts[k] = {g: grams[k][g] if g[0] == "<s>" else before[g] for g in grams[k]}
+    known = {k: discounts([sum(c == x for c in counts[k].values()) for x in (1, 2, 3, 4)]) for k in counts}
+    total, lost = Counter(), Counter()
+    for k in counts:
+        for g, c in counts[k].items():
+            total[k, g[:-1]] += c
+            lost[k, g[:-1]] += known[k][min(c, 3) - 1]
+
+    def p(history, w):
+        k = len(history) + 1
+        below = p(history[1:], w) if history else 1 / (len(counts[1]) + 1)
+        if not total[k, history]:
+            return below
+        c = counts[k].get((*history, w), 0)
+        return (c - (known[k][min(c, 3) - 1] if c else 0) + lost[k, history] * below) / total[k, history]
+
+    out = {}
+    for i, t in rows:
+        seq = ["<s>"] * (n - 1) + [*words(t), "</s>"]
+        out[i] = sum(math.log10(p(tuple(seq[at - n + 1 : at]), seq[at])) for at in range(n - 1, len(seq)))
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_orders_match_the_recursion(spark, order):
+    rows = [*made(6, 80), (10_001, ""), (10_002, None), (10_003, "one"), (10_004, "one two"), (10_005, "one two three four five")]
+    want = brute_of_order(rows, order)
+    got = {r.doc_id: r.score for r in train_and_score(spark.createDataFrame(rows, "doc_id long, text string"), order=order).collect()}
+    assert set(got) == set(want)
+    assert all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_orders_below_two_are_refused(spark):
+    with pytest.raises(ValueError, match="order"):
+        KneserNey.train(spark.createDataFrame([], "doc_id long, text string"), order=1)
+
+
 def test_scores_match_brute_force(spark):
     rows = made(3)
     want = brute(rows)
@@ -64,7 +113,8 @@ def test_scores_match_brute_force(spark):
 
 def test_probabilities_sum_to_one(spark):
     rows = made(4, 60)
-    model = KneserNey.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, third = KneserNey.train(docs), KneserNey.train(docs, order=3)
     vocabulary = sorted({w for _, t in rows for w in words(t)}) + ["never seen"]
     raw = "".join(vocabulary).encode()
     size = np.cumsum([0, *[len(w.encode()) for w in vocabulary]])
@@ -72,6 +122,9 @@ def test_probabilities_sum_to_one(spark):
     for h in (BEGIN, every[0], every[5], every[-2]):
         p, _ = model.opened().probabilities(np.full(len(every), h), every)
         assert p.sum() == pytest.approx(1)
+        for before in (BEGIN, every[0], every[3]):
+            p, _ = third.opened().probabilities(np.full(len(every), before), np.full(len(every), h), every)
+            assert p.sum() == pytest.approx(1)
 
 
 def test_edges(spark):
