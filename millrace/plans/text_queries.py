@@ -11,7 +11,7 @@ from millrace.functions import vectors as V
 from millrace.operators import chunking, crawl, datasets, metrics, privacy, validation
 from millrace.operators.ranking import framed
 from millrace.plans.registry import query
-from millrace.session import table
+from millrace.session import spread, table
 from millrace.storage import written
 
 _WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
@@ -44,7 +44,7 @@ split AS (SELECT doc_id, CASE WHEN p < floor(n * 0.8) THEN 'train' WHEN p < floo
 SELECT lang, split, count(*) AS n_examples, CAST(sum(word_count) AS BIGINT) AS n_words, CAST(sum(length(instruction)) AS BIGINT) AS n_chars FROM masked JOIN split USING (doc_id) GROUP BY lang, split""")
 def flagship_doc_to_sft(spark, sf_dir):
     """Documents to token chunks, format rules, masked e-mail addresses, instruction rows and a split by document, summed up."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     chunks = docs.select("doc_id", "lang", F.explode(chunking.token_chunks(F.col("text"))).alias("c")).select("doc_id", "lang", "c.*")
     good = chunks.where((F.length(F.trim("content")) >= 20) & (validation.format_error(F.col("content"), apart=False) == ""))
     rows = good.select("doc_id", "lang", "word_count", datasets.to_alpaca(F.when(F.col("content").contains("@"), F.regexp_replace("content", _EMAIL_ONCE, "**邮箱A**")).otherwise(F.col("content")), F.lit("")).alias("r"))
@@ -98,7 +98,7 @@ def chunk_custom(spark, sf_dir):
 def validate_format(spark, sf_dir):
     """VAL1-5: length, garbage, cut-off, bracket and quote rules of every document. Repeats are in validate_repeats."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = table(spark, sf_dir, "documents").select("doc_id", validation.simple_error(text).alias("format_error"), validation.long_enough(text, F.lit("")).alias("long_enough"))
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", validation.simple_error(text).alias("format_error"), validation.long_enough(text, F.lit("")).alias("long_enough"))
     return found.withColumn("verdict", F.when(F.col("format_error") != "", "format_error").when(~F.col("long_enough"), "basic_error").otherwise("passed"))
 
 

@@ -8,7 +8,8 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,6 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for work that costs far more than a shuffle, where its scan fills fewer tasks: a file of one row group is one task.
+
+    Filled tasks are counted by a scan that reads no column. An input of at least
+    as many row groups as there are cores is left as it is. The count runs while
+    the plan is built.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    filled = df.select(F.spark_partition_id().alias("task")).distinct().count()
+    return df.repartition(cores) if filled < cores else df
+
+
 _SHIPPED: set[str] = set()
 
 
