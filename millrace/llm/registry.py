@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import table
+from millrace.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +25,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from millrace.llm.bpe import encode_documents
 
-    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+    return encode_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
 @query
@@ -36,7 +36,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.secrets import WORDS, joined, scan_secrets, vocabulary_words
 
     words = (*WORDS, *vocabulary_words(public_tokenizers.path("byte_bpe_50k.json")))
-    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), words=words).drop("text")
+    found = scan_secrets(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), words=words).drop("text")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long")
     return found.select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), count("guess").alias("n_guess"),
@@ -50,7 +50,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of them."""
     from millrace.llm.language import LanguageModel, folded, identify
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = LanguageModel.train(docs.where(~folded()))
     found = identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", folded().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_mix").alias("n_langs"))
@@ -61,7 +61,7 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document: 5-word shingles, similarity 0.75."""
     from millrace.llm.jaccard import jaccard_classes
 
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @query
@@ -77,7 +77,7 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that 100-byte strings which also start earlier cover."""
     from millrace.llm.suffixes import repeated_bytes
 
-    found = repeated_bytes(table(spark, sf_dir, "documents"))
+    found = repeated_bytes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r.end - r.start)
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -87,7 +87,7 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under a model of six sevenths of them."""
     from millrace.llm.kneser_ney import train_and_score
 
-    found = train_and_score(table(spark, sf_dir, "documents"))
+    found = train_and_score(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
@@ -113,7 +113,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that each document states."""
     from millrace.llm.licences import scan_licenses
 
-    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan_licenses(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", F.size("license_sentences").cast("long").alias("n_license_sentences"), F.array_join("licenses", ",").alias("licenses"))
 
 
