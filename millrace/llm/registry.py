@@ -117,12 +117,23 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("license_sentences").cast("long").alias("n_license_sentences"), F.array_join("licenses", ",").alias("licenses"))
 
 
+@query
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product code of every vector: four parts, 256 entries, four rounds."""
+    from millrace.llm.vector_codes import compress
+
+    found = compress(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return found.select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 def _oracles() -> None:
-    from millrace.llm import jaccard, licences, quotes
+    from millrace.llm import jaccard, licences, quotes, vector_codes
 
     ORACLES["op2_jaccard"] = jaccard.oracle()
     ORACLES["op5_quotes"] = quotes.oracle()
     ORACLES["op8_licenses"] = licences.oracle()
+    ORACLES["op12_codes"] = vector_codes.oracle()
 
 
 _oracles()
