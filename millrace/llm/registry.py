@@ -127,13 +127,22 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", "codebooks_sha256")
 
 
+@query
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations."""
+    from millrace.llm.conversation_trie import century, prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"), century, 5)
+
+
 def _oracles() -> None:
-    from millrace.llm import jaccard, licences, quotes, vector_codes
+    from millrace.llm import conversation_trie, jaccard, licences, quotes, vector_codes
 
     ORACLES["op2_jaccard"] = jaccard.oracle()
     ORACLES["op5_quotes"] = quotes.oracle()
     ORACLES["op8_licenses"] = licences.oracle()
     ORACLES["op12_codes"] = vector_codes.oracle()
+    ORACLES["op13_trie"] = conversation_trie.oracle()
 
 
 _oracles()
