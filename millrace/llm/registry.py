@@ -117,6 +117,18 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("license_sentences").cast("long").alias("n_license_sentences"), F.array_join("licenses", ",").alias("licenses"))
 
 
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How toxic every document is, learned from labels of three quarters of them."""
+    from millrace.llm.language import folded
+    from millrace.llm.toxicity import score_toxicity, train
+
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    model = train(docs, table(spark, sf_dir, "labels").where(~folded()).select("doc_id", "toxic"))
+    found = score_toxicity(docs, model)
+    return found.select("doc_id", folded().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product code of every vector: four parts, 256 entries, four rounds."""
