@@ -29,6 +29,8 @@ MARKS = r"^(?:[ \t]{0,3}>)+[ \t]?"
 ATTRIBUTION = r"(?i)^[ \t]*(?:on .+ wrote:|.+ wrote:|am .+ schrieb.*:|le .+ a écrit ?:|el .+ escribió:)[ \t]*$"
 #: Least characters of a normalised line or sentence that links to another conversation by itself.
 LEAST_LINE = 16
+#: Parts that a hash of very many conversations is joined in.
+SALTS = 16
 
 
 def normalised(text: Column) -> Column:
@@ -92,17 +94,20 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     before = W.Window.partitionBy("hash", "c").orderBy("t", "from").rowsBetween(W.Window.unboundedPreceding, -1)
     near = both.withColumn("here", F.last("src", ignorenulls=True).over(before)).where("from = 0")
     broad = originals.where("wide")
-    ends = broad.groupBy("hash").agg(F.min(F.struct("c", "t")).alias("low"), F.max(F.struct("c", "t")).alias("high"))
-    first = broad.groupBy("hash", "c").agg(F.min("t").alias("t")).join(ends.select("hash", F.col("high.c").alias("c")), ["hash", "c"]).select("hash", F.struct("c", "t").alias("high"))
-    ends = ends.select("hash", "low").join(first, "hash")
-    away = F.when(~F.col("wide"), None).when(F.col("low.c") != F.col("c"), F.col("low")).when(F.col("high.c") != F.col("c"), F.col("high"))
+    # the two least conversations of each hash: one of them is another than the asking one
+    first = broad.groupBy("hash", "c").agg(F.min("t").alias("t"))
+    low = first.groupBy("hash").agg(F.min(F.struct("c", "t")).alias("low"))
+    salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    other = first.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"]).where(F.col("c") != F.col("low.c"))
+    ends = low.join(other.groupBy("hash").agg(F.min(F.struct("c", "t")).alias("next")), "hash", "left")
+    away = F.when(~F.col("wide"), None).when(F.col("low.c") != F.col("c"), F.col("low")).otherwise(F.col("next"))
     found = near.join(ends, "hash", "left").select("c", "t", "n", "level", "pos", "rank", F.when(F.col("here").isNotNull(), F.struct(F.col("c").alias("c"), F.col("here").alias("t"))).otherwise(away).alias("source"))
     best = found.groupBy("c", "t", "n").agg(F.first("level").alias("level"), F.min(F.when(F.col("source").isNotNull(), F.struct("rank", "pos", "source"))).alias("m"))
     return best.select(F.col("c").alias(conv), F.col("t").alias(turn), "n", "level", "m.rank", F.col("m.source.c").alias("source_conv"), F.col("m.source.t").alias("source_turn"))
 
 
 def order_replies(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", keep: tuple[str, ...] = ("role",)) -> DataFrame:
-    """Each message with its body without quotes, n_quotes, n_linked, parent_turn, root_turn and depth; sorted by conversation, thread and turn.
+    """Each message with its body without quotes, n_quotes, n_linked, parent_turn, the source of its first linked quote (least level, then place), root_turn and depth; sorted by conversation, thread and turn.
 
     Parents come before their replies. A sort by ranges of all three keys deals
     even one conversation with most of the messages to many tasks.
@@ -112,7 +117,8 @@ def order_replies(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     facts = links.groupBy(conv, turn).agg(
         F.count("*").alias("n_quotes"), F.count("source_conv").alias("n_linked"),
         F.min(F.when(same, F.struct("level", "n", F.col("source_turn").alias("t")))).alias("p"),
-    ).select(conv, turn, "n_quotes", "n_linked", F.col("p.t").alias("parent_turn"))
+        F.min(F.when(F.col("source_conv").isNotNull(), F.struct("level", "n", "source_conv", "source_turn"))).alias("s"),
+    ).select(conv, turn, "n_quotes", "n_linked", F.col("p.t").alias("parent_turn"), "s.source_conv", "s.source_turn")
     facts = written(facts, "facts")
     now = written(facts.where("parent_turn is not null").select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col("parent_turn").alias("up"), F.lit(1).cast("long").alias("depth")), "replies")
     while True:  # each round doubles the distance looked back: as many rounds as the depth has binary digits
@@ -125,7 +131,7 @@ def order_replies(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     body = messages.select(conv, turn, *keep, body_of(parsed_lines(F.col(text))).alias("body"))
     out = body.join(facts.join(roots, [conv, turn], "left"), [conv, turn], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select(conv, turn, *keep, zero("n_quotes"), zero("n_linked"), "parent_turn", F.coalesce("root_turn", turn).alias("root_turn"), zero("depth"), "body").orderBy(conv, "root_turn", turn)
+    return out.select(conv, turn, *keep, zero("n_quotes"), zero("n_linked"), "parent_turn", "source_conv", "source_turn", F.coalesce("root_turn", turn).alias("root_turn"), zero("depth"), "body").orderBy(conv, "root_turn", turn)
 
 
 def oracle(source: str = "conversations") -> str:
@@ -146,10 +152,10 @@ q AS (SELECT conv_id, turn, n, level, string_agg(content, chr(10) ORDER BY i) AS
 o AS (SELECT conv_id, turn, part, bool_or(rank < 2 OR length(part) >= {LEAST_LINE}) AS wide FROM {units('body', 'body', 'conv_id, turn')} WHERE part <> '' GROUP BY ALL),
 u AS (SELECT *, rank < 2 OR length(part) >= {LEAST_LINE} AS wide FROM {units('q', 'text', 'conv_id, turn, n, level')} WHERE part <> ''),
 f AS (SELECT u.*, (SELECT max(o.turn) FROM o WHERE o.part = u.part AND o.conv_id = u.conv_id AND o.turn < u.turn) AS here, (SELECT min((o.conv_id, o.turn)) FROM o WHERE u.wide AND o.wide AND o.part = u.part AND o.conv_id <> u.conv_id) AS away FROM u),
-b AS (SELECT conv_id, turn, n, level, coalesce(here IS NOT NULL, false) AS own, here, row_number() OVER (PARTITION BY conv_id, turn, n ORDER BY here IS NULL AND away IS NULL, rank, pos) AS r, here IS NOT NULL OR away IS NOT NULL AS linked FROM f),
+b AS (SELECT conv_id, turn, n, level, coalesce(here IS NOT NULL, false) AS own, here, CASE WHEN here IS NOT NULL THEN (conv_id, here) ELSE away END AS source, row_number() OVER (PARTITION BY conv_id, turn, n ORDER BY here IS NULL AND away IS NULL, rank, pos) AS r, here IS NOT NULL OR away IS NOT NULL AS linked FROM f),
 best AS (SELECT * FROM b WHERE r = 1),
-facts AS (SELECT conv_id, turn, count(*) AS n_quotes, count(*) FILTER (linked) AS n_linked, arg_min(here, (level, n)) FILTER (own) AS parent_turn FROM best GROUP BY ALL),
+facts AS (SELECT conv_id, turn, count(*) AS n_quotes, count(*) FILTER (linked) AS n_linked, arg_min(here, (level, n)) FILTER (own) AS parent_turn, arg_min(source, (level, n)) FILTER (linked) AS source FROM best GROUP BY ALL),
 t AS (SELECT conv_id, turn, turn AS root_turn, 0::BIGINT AS depth FROM (SELECT DISTINCT conv_id, turn FROM {source}) m WHERE NOT EXISTS (SELECT 1 FROM facts x WHERE x.conv_id = m.conv_id AND x.turn = m.turn AND x.parent_turn IS NOT NULL)
   UNION ALL SELECT x.conv_id, x.turn, t.root_turn, t.depth + 1 FROM t JOIN facts x ON x.conv_id = t.conv_id AND x.parent_turn = t.turn)
-SELECT m.conv_id, m.turn, m.role, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, parent_turn, t.root_turn, t.depth, body.body FROM {source} m
+SELECT m.conv_id, m.turn, m.role, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, parent_turn, facts.source[1] AS source_conv, facts.source[2] AS source_turn, t.root_turn, t.depth, body.body FROM {source} m
 JOIN body ON body.conv_id = m.conv_id AND body.turn = m.turn JOIN t ON t.conv_id = m.conv_id AND t.turn = m.turn LEFT JOIN facts ON facts.conv_id = m.conv_id AND facts.turn = m.turn"""

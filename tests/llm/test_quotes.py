@@ -48,7 +48,7 @@ def compared(spark, rows):
     con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
     want = sorted(con.execute(oracle()).fetchall(), key=str)
     out = order_replies(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted(((r.conv_id, r.turn, r.role, r.n_quotes, r.n_linked, r.parent_turn, r.root_turn, r.depth, r.body) for r in out), key=str) == want
+    assert sorted(((r.conv_id, r.turn, r.role, r.n_quotes, r.n_linked, r.parent_turn, r.source_conv, r.source_turn, r.root_turn, r.depth, r.body) for r in out), key=str) == want
     return out
 
 
@@ -96,6 +96,18 @@ def test_short_lines_and_parts_that_were_wrapped_anew(spark):
     compared(spark, rows)
 
 
+def test_the_first_other_conversation_is_the_source(spark):
+    """The asking conversation holds the text too, later: the least other one is linked, not the last."""
+    original = "The quarterly figures will be published tomorrow."
+    rows = [(1, 0, "user", f"> {original}\nReally?"), (1, 1, "user", original), (2, 3, "user", original), (2, 5, "user", original), (3, 0, "user", original), (4, 0, "user", original), (5, 0, "user", f"> {original}\nYes.")]
+    links = {(r.conv_id, r.turn): (r.source_conv, r.source_turn) for r in link_quotes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert links == {(1, 0): (2, 3), (5, 0): (1, 1)}
+    out = {(r.conv_id, r.turn): (r.source_conv, r.source_turn) for r in compared(spark, rows)}
+    assert out[1, 0] == (2, 3) and out[5, 0] == (1, 1) and out[2, 3] == (None, None)
+    many = [(c, 0, "user", original) for c in range(10, 300)] + [(c, 1, "user", f"> {original}\nSo be it.") for c in range(0, 300, 7)]
+    compared(spark, many)
+
+
 def test_very_long_text_and_clashing_columns(spark):
     text = "A sentence that is said once and quoted later on. " * 4000
     rows = [(1, 0, "user", text, 1, "x"), (1, 1, "user", f"> {text}\nyes", 2, "y")]
