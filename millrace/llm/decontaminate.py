@@ -2,9 +2,13 @@
 
 The benchmark is the stated query set: it is taken in slices of bounded size,
 and each slice is sent to the tasks that scan the documents. A first scan
-counts in how many documents each n-gram of the slice occurs; each item's
-rarest share of n-grams are its seeds. A second scan aligns every item with the
-region around its seeds' diagonals, word by word, many alignments at a time.
+counts in how many documents each n-gram of the slice occurs. Of those that
+occur at all, each item's rarest are its seeds, as many as the least score
+needs: an alignment that reaches it keeps some n-grams whole, however its errors
+lie, and all but one fewer may be left out. At scores of up to three quarters
+that is every n-gram that occurs; what has no three of an item's words in a row
+is not found. A second scan aligns every item with the region around its seeds'
+diagonals, word by word, many alignments at a time.
 
 Rows: null and blank texts and items match nothing; an item of fewer words than
 a seed is its own seed; texts are read whole; each repeated row is scored;
@@ -25,13 +29,13 @@ from pyspark.sql import functions as F
 from millrace.llm.blocks import ALNUM_BYTES, Block, blocks, hash_spans, owner, shingles, spans, string_buffers
 
 SEED_WORDS = 3
-#: Part of an item's n-grams, rarest first, that are seeds.
-SEED_SHARE = 0.5
 #: Part of the greatest score that an item's alignment must reach.
 LEAST_SCORE = 0.5
 #: Bytes of item text in one slice: bounds what is sent to every executor.
 SLICE_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, 1
+#: Words of text that one alignment looks at; wider regions are cut into pieces that overlap by a whole alignment.
+PIECE_WORDS = 1 << 16
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,13 +83,20 @@ class Slice:
         order = np.argsort(h, kind="stable")
         return cls(ids, each, h[order], item[order], at[order], length[order])
 
-    def rarest(self, df: np.ndarray) -> Slice:
-        """Only the n-grams that are seeds; df counts the documents that hold each."""
-        order = np.lexsort((self.hash, df, self.item))
+    def rarest(self, df: np.ndarray, least: float) -> Slice:
+        """Only the n-grams that are seeds; df counts the documents that hold each.
+
+        Of an item of n words, an alignment with m of them in place and e errors scores
+        2m - e, so e is at most 2 (m - least n); each error breaks at most two more
+        n-grams than its own word, and so (4 least - 3) n - 2 stay whole at least.
+        """
+        some = np.flatnonzero(df)
+        order = some[np.lexsort((self.hash[some], df[some], self.item[some]))]
         first = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
         nth = np.arange(len(order)) - first[self.item[order]]
-        most = np.ceil(SEED_SHARE * np.diff(first))[self.item[order]]
-        keep = np.sort(order[nth < most])
+        words = np.array([len(w) for w in self.words], np.int64)
+        whole = np.maximum(np.floor((4 * least - 3) * words).astype(np.int64) - 2, 1)
+        keep = np.sort(order[nth < (np.diff(first) - whole + 1)[self.item[order]]])
         return Slice(self.ids, self.words, self.hash[keep], self.item[keep], self.place[keep], self.length[keep])
 
     def lookup(self) -> np.ndarray:
@@ -160,6 +171,14 @@ def align(block: Block, seeds: Slice, table: np.ndarray, least: float = LEAST_SC
     bounds = np.searchsorted(doc, np.arange(len(block.off)))
     low = np.maximum(diagonal[first] - slack[first], bounds[own[first]])
     high = np.minimum(diagonal[last] + length[item[first]] + slack[first], bounds[own[first] + 1])
+    hits = last - first + 1
+    # a passing alignment lies within its item's length and slack, so pieces that overlap by both lose none
+    overlap = length[item[first]] + slack[first]
+    pieces = np.maximum(-(-(high - low - overlap) // PIECE_WORDS), 1)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first, hits, overlap, top = (np.repeat(x, pieces) for x in (first, hits, overlap, high))
+    low = np.repeat(low, pieces) + nth * PIECE_WORDS
+    high = np.minimum(low + PIECE_WORDS + overlap, top)
     score, end = np.zeros(len(first)), np.zeros(len(first), np.int64)
     by = np.lexsort((high - low, length[item[first]]))
     k = 0
@@ -173,7 +192,6 @@ def align(block: Block, seeds: Slice, table: np.ndarray, least: float = LEAST_SC
         score[part] = value / (MATCH * length[item[first[part]]])
         end[part] = low[part] + stop - bounds[own[first[part]]]
         k = j
-    hits = last - first + 1
     order = np.lexsort((end, -score, item[first], own[first]))
     d, i = own[first][order], item[first][order]
     best = order[np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1])))]
@@ -188,7 +206,7 @@ def slices(benchmark: DataFrame, id_col: str, text_col: str, most: int = SLICE_B
     for row in rows.where(F.col(text_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
-        size += len(row[1])
+        size += len(row[1].encode())
         if size >= most:
             yield Slice.of(pa.array(ids, kind), texts)
             ids, texts, size = [], [], 0
@@ -196,7 +214,7 @@ def slices(benchmark: DataFrame, id_col: str, text_col: str, most: int = SLICE_B
         yield Slice.of(pa.array(ids, kind), texts)
 
 
-def choose_seeds(docs: DataFrame, part: Slice, text_col: str) -> Slice:
+def choose_seeds(docs: DataFrame, part: Slice, text_col: str, least: float) -> Slice:
     """Seeds by the number of documents, over all of them, that hold each n-gram."""
     sent = docs.sparkSession.sparkContext.broadcast(part)
 
@@ -214,7 +232,7 @@ def choose_seeds(docs: DataFrame, part: Slice, text_col: str) -> Slice:
     found = docs.select(text_col).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(part.hash), np.int64)
     df[found.column("gram").to_numpy()] = found.column("n").to_numpy()
-    return part.rarest(df)
+    return part.rarest(df, least)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST_SCORE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -223,7 +241,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     schema = f"doc_id {kind}, item_id {item_kind}, score double, n_seeds bigint, end_word bigint"
     out = docs.sparkSession.createDataFrame([], schema)
     for part in slices(benchmark, item_col, item_text, slice_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(choose_seeds(docs, part, text_col))
+        sent = docs.sparkSession.sparkContext.broadcast(choose_seeds(docs, part, text_col, least))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             seeds = sent.value
@@ -246,7 +264,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """
     left = docs
     for part in slices(benchmark, item_col, item_text, slice_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(choose_seeds(docs, part, text_col))
+        sent = docs.sparkSession.sparkContext.broadcast(choose_seeds(docs, part, text_col, least))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             seeds = sent.value

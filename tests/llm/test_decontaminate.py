@@ -123,3 +123,51 @@ def test_slices_and_kinds_of_ids_change_nothing(spark):
             assert got == want and set(got[1]) == {i for i, _ in rows} - {d for d, _, _ in got[0]}
     none = spark.createDataFrame([(1, "no such words at all")], "item_id int, text string")
     assert find_contamination(docs, none).count() == 0
+
+
+def test_copies_of_half_an_item_in_a_single_document(spark):
+    """Most of an item's n-grams occur nowhere, or the copied ones are the more frequent; whatever reaches the score is found."""
+    items, rows = [], []
+    for k in range(6):
+        item = [f"item{k}w{i}" for i in range(36)]
+        items.append((k, " ".join(item)))
+        copies = (item[:18] + item[19::2], item[:18], item[9:28], item[18:], item[:19], [w if i % 6 < 4 else f"x{k}w{i}" for i, w in enumerate(item)])
+        rows.append((k, f"before {k} " + " ".join(copies[k]) + f" after {k}"))
+    # the other half of each item is rarer than the copied one
+    others = [(100 + 10 * k + j, " ".join(f"item{k}w{i}" for i in range(6 * j, 6 * j + 6))) for k in range(6) for j in range(6)]
+    for docs in (rows, rows + others):
+        want = {(i, k) for i, t in docs for k, item in items if brute(item.split(), t.split()) >= len(item.split())}
+        assert {(k, k) for k in range(6)} <= want
+        got = {(r.doc_id, r.item_id) for r in find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.9, 1.0])
+def test_fewer_seeds_at_higher_scores_lose_nothing(spark, least):
+    """Items with random edits, against the alignment of all pairs; only pairs with three words in a row count."""
+    rnd = random.Random(5)
+    word = lambda: rnd.choice("abcdefghijklmnop") * rnd.randint(1, 2)
+    items = [[word() for _ in range(rnd.randint(5, 40))] for _ in range(8)]
+    rows = []
+    for i in range(120):
+        w = list(rnd.choice(items))
+        for _ in range(rnd.randint(0, max(1, int(len(w) * (1.1 - least))))):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randint(0, 1)] = [word() for _ in range(rnd.randint(0, 1))] or []
+            w = w or ["a"]
+        rows.append((i, " ".join([word() for _ in range(10)] + w + [word() for _ in range(10)])))
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    want = {(i, k) for i, t in rows for k, item in enumerate(items) if brute(item, t.split()) / (2 * len(item)) >= least and grams(item) & grams(t.split())}
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    assert want and {(r.doc_id, r.item_id) for r in find_contamination(docs, bench, least=least).collect()} == want
+
+
+def test_very_long_text_that_repeats_a_seed(spark):
+    """One region over the whole text is cut into pieces; a copy across a border of pieces is found."""
+    item = [f"w{i}" for i in range(30)]
+    text = ["w0", "w1", "w2"] * 30_000
+    for at in (65_530, 80_000):
+        text[at:at] = item[:25]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(["w0", "w1", "w2"] * 60_000))], "doc_id long, text string")
+    got = find_contamination(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 7)] and got[0].score == 25 / 30
