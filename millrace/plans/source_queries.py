@@ -108,6 +108,36 @@ def followed_log(spark, sf_dir):
     return spark.createDataFrame([(found["rows"], sums.steps, sums.loss, found["high"])], "rows long, steps long, loss double, high long")
 
 
+_JOB_LINE = """CASE event_type WHEN 'signup' THEN '{' WHEN 'purchase' THEN '}' WHEN 'click' THEN '  "k": {' WHEN 'error' THEN 'ERROR at ' || CAST(event_id AS VARCHAR(20)) ELSE 'step ' || CAST(event_id AS VARCHAR(20)) END"""
+_JOB_STATUS = "CASE WHEN event_type = 'error' AND value > 90 THEN 'failed' WHEN event_type = 'purchase' AND value > 150 THEN 'completed' ELSE 'running' END"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS job, event_id AS seq, ts, {_JOB_LINE} AS line, {_JOB_STATUS} AS status, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+w AS (SELECT DISTINCT job, CAST(0 AS BIGINT) AS n, 0 AS depth, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS TIMESTAMP) AS last, CAST(NULL AS VARCHAR) AS ended, CAST(NULL AS VARCHAR) AS line FROM e
+  UNION ALL SELECT e.job, e.n, CASE WHEN w.depth = 0 THEN CASE WHEN trim(e.line) = '{{' THEN 1 ELSE 0 END ELSE greatest(0, w.depth - CASE WHEN starts_with(trim(e.line), '}}') THEN 1 ELSE 0 END + CASE WHEN ends_with(trim(e.line), '{{') THEN 1 ELSE 0 END) END,
+  CASE WHEN e.ts - w.last > INTERVAL 2 DAY THEN w.seq ELSE e.seq END, e.ts, CASE WHEN e.ts - w.last > INTERVAL 2 DAY THEN 'stalled' WHEN e.status <> 'running' THEN e.status END,
+  CASE WHEN coalesce(e.ts - w.last <= INTERVAL 2 DAY, true) AND w.depth = 0 AND trim(e.line) <> '{{' THEN e.line END
+  FROM w JOIN e ON e.job = w.job AND e.n = w.n + 1 WHERE w.ended IS NULL),
+z AS (SELECT job, max(n) AS n FROM w GROUP BY job),
+o AS (SELECT job, seq, line, NULL AS ended FROM w WHERE line IS NOT NULL UNION ALL SELECT job, seq, NULL, ended FROM w WHERE ended IS NOT NULL
+  UNION ALL SELECT job, seq, NULL, 'stalled' FROM w JOIN z USING (job, n) WHERE ended IS NULL AND (SELECT max(ts) FROM events) - last > INTERVAL 2 DAY)
+SELECT *, CASE WHEN contains(line, 'ERROR') THEN 'error' WHEN line IS NOT NULL THEN 'info' END AS severity FROM o""")
+def job_log(spark, sf_dir):
+    """STM2, STM3: the lines of jobs (here users) as a stream of four parts, the query started anew for each; blocks in braces go, jobs end by status or silence."""
+    from millrace.streaming.job_log import follow_jobs
+
+    source, checkpoint, out = (fresh_path(spark, n) for n in ("jobs", "jobs-state", "jobs-rows"))
+    events = table(spark, sf_dir, "events")
+    lines = events.select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), "ts", F.expr(_JOB_LINE).alias("line"), F.expr(_JOB_STATUS).alias("status"))
+    last, cuts = -1, [int(c) for c in lines.approxQuantile("seq", [0.25, 0.5, 0.75, 1.0], 0.01)]
+    for cut in (*cuts[:-1], None):
+        part = lines.where(F.col("seq") > last) if cut is None else lines.where(F.col("seq").between(last + 1, cut))
+        part.write.mode("append").parquet(source)
+        follow_jobs(spark.readStream.schema(part.schema).parquet(source), out, checkpoint, idle="2 days").awaitTermination()
+        last = cut
+    return spark.read.parquet(out)
+
+
 _TEXT = "t AS (SELECT doc_id, 'id 110101199000307' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '1') || ' card, 工号: ' || (10000 + doc_id) || ' and YG-AB-CD' || doc_id || ' call 138' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS t FROM documents)"
 
 
