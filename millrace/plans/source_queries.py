@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from millrace.operators import privacy
 from millrace.plans.registry import query
@@ -108,6 +109,21 @@ def followed_log(spark, sf_dir):
     return spark.createDataFrame([(found["rows"], sums.steps, sums.loss, found["high"])], "rows long, steps long, loss double, high long")
 
 
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, c_mktsegment AS segment, c_custkey % 2 = 0 AS even, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row FROM customer WHERE c_nationkey % 5 = 0""")
+def sheet_grid(spark, sf_dir):
+    """SRC2, SRC5, SNK9: customers as spreadsheets, one for each nation, read again as cells; three of the columns reach the reader as comparisons."""
+    from millrace.sources import sheets
+
+    sheets.register(spark)
+    path = fresh_path(spark, "sheets")
+    rows = table(spark, sf_dir, "customer").where("c_nationkey % 5 = 0")
+    rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", (F.col("c_custkey") % 2 == 0).alias("even"), "c_nationkey").write.format("sheet").mode("append").save(path)
+    cells = spark.read.format("sheet").load(path).where("row > 0 and col <> 2 and col <= 5")
+    wide = cells.groupBy("path", "sheet", "row").pivot("col", [0, 1, 3, 4, 5]).agg(F.first("value"))
+    place = W.Window.partitionBy("5").orderBy(F.col("0").cast("long"))
+    return wide.select(F.col("0").alias("key"), F.col("1").alias("name"), F.col("3").alias("segment"), (F.col("4") == "TRUE").alias("even"), F.row_number().over(place).cast("long").alias("row"))
+
+
 _JOB_LINE = """CASE event_type WHEN 'signup' THEN '{' WHEN 'purchase' THEN '}' WHEN 'click' THEN '  "k": {' WHEN 'error' THEN 'ERROR at ' || CAST(event_id AS VARCHAR(20)) ELSE 'step ' || CAST(event_id AS VARCHAR(20)) END"""
 _JOB_STATUS = "CASE WHEN event_type = 'error' AND value > 90 THEN 'failed' WHEN event_type = 'purchase' AND value > 150 THEN 'completed' ELSE 'running' END"
 

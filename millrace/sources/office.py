@@ -1,96 +1,25 @@
-"""Office files as relations: spreadsheet grids and document paragraphs, read by Spark as bytes and opened with the standard library."""
+"""Office files as relations: spreadsheet grids and document paragraphs."""
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree as X
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import heading_level, style_level
 from millrace.operators.tables import markdown_row
-
-_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-
-
-def _place(ref: str) -> tuple[int, int]:
-    letters, digits = re.fullmatch(r"([A-Z]+)(\d+)", ref).groups()
-    col = 0
-    for c in letters:
-        col = col * 26 + ord(c) - 64
-    return int(digits) - 1, col - 1
-
-
-def sheet_cells(raw: bytes, fill_merged: bool) -> Iterator[tuple[str, int, int, str]]:
-    """sheet, row, col, value of every filled cell; merged ranges repeat their first cell if asked."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        names = set(z.namelist())
-        shared = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in X.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        targets = {r.get("Id"): r.get("Target") for r in X.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in X.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"):
-            target = targets[sheet.get(f"{_R}id")].lstrip("/")
-            root = X.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            cells: dict[tuple[int, int], str] = {}
-            for c in root.iter(f"{_S}c"):
-                kind, v = c.get("t"), c.find(f"{_S}v")
-                if kind == "inlineStr":
-                    value = "".join(t.text or "" for t in c.iter(f"{_S}t"))
-                elif v is None or v.text is None:
-                    continue
-                else:
-                    value = shared[int(v.text)] if kind == "s" else {"1": "TRUE", "0": "FALSE"}[v.text] if kind == "b" else v.text
-                cells[_place(c.get("r"))] = value
-            if fill_merged:
-                for m in root.iter(f"{_S}mergeCell"):
-                    (r0, c0), (r1, c1) = map(_place, m.get("ref").split(":"))
-                    for r in range(r0, r1 + 1):
-                        for c in range(c0, c1 + 1):
-                            if (r0, c0) in cells:
-                                cells.setdefault((r, c), cells[r0, c0])
-            for (r, c), value in sorted(cells.items()):
-                yield sheet.get("name"), r, c, value
+from millrace.sources.sheets import register
 
 
 def read_grids(spark: SparkSession, path: str, fill_merged: bool = True) -> DataFrame:
-    """path, sheet, row, col, value of spreadsheets: one task a file at least."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for p, raw in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([(p, *cell) for cell in sheet_cells(raw, fill_merged)], columns=["path", "sheet", "row", "col", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, sheet string, row int, col int, value string")
-
-
-def document_blocks(raw: bytes) -> Iterator[tuple[int, str, str, list[list[str]]]]:
-    """position, style, text and table rows of a document's blocks."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        body = X.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    text = lambda e: "".join(t.text or "" for t in e.iter(f"{_W}t"))
-    for i, block in enumerate(body):
-        if block.tag == f"{_W}p":
-            style = block.find(f"{_W}pPr/{_W}pStyle")
-            yield i, style.get(f"{_W}val") if style is not None else "", text(block), []
-        elif block.tag == f"{_W}tbl":
-            yield i, "", "", [[text(c) for c in row.iter(f"{_W}tc")] for row in block.iter(f"{_W}tr")]
+    """path, sheet, row, col, value of spreadsheets: a task a sheet; comparisons of sheet, row and col reach the reader."""
+    register(spark)
+    return spark.read.format("sheet").option("merged", "fill" if fill_merged else "none").load(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, markdown of text documents: headings by style, else by outline mark; tables with a header rule."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for p, raw in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([(p, *b) for b in document_blocks(raw)], columns=["path", "position", "style", "text", "cells"])
-
-    blocks = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, position int, style string, text string, cells array<array<string>>")
+    register(spark)
+    blocks = spark.read.format("paper").load(path)
     level = F.coalesce(F.nullif(style_level(F.col("style")), F.lit(0)), heading_level(F.col("text")))
     rows = F.transform("cells", markdown_row)
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.size(F.element_at("cells", 1))), " | "), F.lit(" |"))
