@@ -1,16 +1,23 @@
 """Exact positions without a single-task window.
 
-Rows are counted by bucket of the order key first; a window over the bucket
-counts (few rows) gives each bucket's offset, and rows are numbered within
-their bucket. No task sees more than one bucket.
+Rows are counted by bucket of the order key first; running sums of the bucket
+counts (few rows) give each bucket's offset, and rows are numbered within
+their bucket. No task sees more than one bucket. Buckets are leading digits of
+a hash, or ranges of ids between quantiles of all rows, so their number is
+bounded however sparse the ids are.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+#: Ranges of ids: each is sorted by one task.
+RANGES = 1024
+
 
 def with_position(df: DataFrame, bucket: Column, order: list[Column | str], within: list[str] = (), out: str = "position", total: str | None = None) -> DataFrame:
     """``out``: each row's place from 0 by (bucket, order) within the groups; ``total``: the group's rows."""
@@ -37,9 +44,49 @@ def shuffled_position(df: DataFrame, id_col: str, seed: int = 42, within: list[s
     return with_position(keyed, F.substring("_key", 1, digits), ["_key", id_col], within, out, total).drop("_key")
 
 
-def ordered_position(df: DataFrame, id_col: str, within: list[str] = (), out: str = "position", total: str | None = None, width: int = 1 << 16) -> DataFrame:
-    """Positions in the order of an integer id; buckets are ranges of ids."""
-    return with_position(df, F.floor(F.col(id_col) / width), [id_col], within, out, total)
+def range_splitters(df: DataFrame, id_col: str, ranges: int = RANGES) -> list:
+    """Values that cut an order key into ranges of about equal numbers of rows: a mergeable sketch over all rows, its result on the driver. Runs a job."""
+    probs = [k / ranges for k in range(1, ranges)]
+    found = df.select(F.percentile_approx(id_col, probs, 10 * ranges).alias("v")).first().v
+    return sorted(set(found or ()))
+
+
+def literal_array(values: list, kind: str) -> Column:
+    """A constant array, given as one literal."""
+    return F.from_json(F.lit(json.dumps(values, default=str)), f"array<{kind}>")
+
+
+def range_of(value: Column, splitters: list, kind: str) -> Column:
+    """How many splitters are not above value, by halving: as many steps as their number has binary digits. Null: 0."""
+    steps = [1 << k for k in reversed(range(len(splitters).bit_length()))]
+    if not steps:
+        return F.lit(0)
+    table = literal_array(splitters, kind)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when(F.try_element_at(table, low + step) <= value, low + step).otherwise(low))
+
+
+def ordered_position(df: DataFrame, id_col: str, within: list[str] = (), out: str = "position", total: str | None = None, width: int | None = None) -> DataFrame:
+    """Positions in the order of an id; buckets are ranges that hold about equal numbers of rows, however dense or sparse the ids are.
+
+    Jobs that run while the plan is built find the ranges, and without groups count
+    them: a few numbers for each of ``RANGES`` on the driver, then no join and no task
+    over all rows or all counts. ``width``: ranges of ids of that width instead. A
+    null id comes first.
+    """
+    if width:
+        return with_position(df, F.floor(F.col(id_col) / width), [id_col], within, out, total)
+    kind = dict(df.dtypes)[id_col]
+    splitters = range_splitters(df, id_col)
+    bucket = range_of(F.col(id_col), splitters, kind)
+    if within:
+        return with_position(df, bucket, [id_col], within, out, total)
+    counts = dict(df.groupBy(bucket.alias("b")).count().collect())
+    before = [0]
+    for k in range(len(splitters) + 1):
+        before.append(before[-1] + counts.get(k, 0))
+    own = W.Window.partitionBy("_bucket").orderBy(id_col)
+    placed = df.withColumn("_bucket", bucket).withColumn(out, F.row_number().over(own) - 1 + F.element_at(literal_array(before, "bigint"), F.col("_bucket") + 1))
+    return (placed.withColumn(total, F.lit(before[-1]).cast("long")) if total else placed).drop("_bucket")
 
 
 def framed(df: DataFrame, id_col: str, within: list[str], reach: int, size: int = 4096) -> tuple[DataFrame, W.WindowSpec]:

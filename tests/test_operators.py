@@ -261,3 +261,26 @@ def test_summaries_by_a_client(spark):
     assert got[1] == "s" * 120 + "."
     assert got[2] == ("fails. " + long)[:150] + "..." and got[3].startswith("empty. word")
     assert [got[i] for i in (4, 5, 6, 7)] == ["short", "空内容", "空内容", "x" * 149]
+
+
+@pytest.mark.parametrize("key", ["id", "hashed", "skewed"])
+def test_positions_of_sparse_ids(spark, key):
+    """Dense, hashed and crowded ids: places are right, no single partition and few buckets."""
+    from millrace.operators import ranking
+
+    df = spark.range(20_000).select("id", F.xxhash64("id").alias("hashed"), F.when(F.col("id") < 19_000, F.col("id")).otherwise(F.col("id") * 10**12).alias("skewed"))
+    placed = ordered_position(df, key, out="_p", total="_n")
+    rows = placed.collect()
+    want = {v: i for i, v in enumerate(sorted(r[key] for r in rows))}
+    assert all(r._p == want[r[key]] and r._n == 20_000 for r in rows)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    splitters = ranking.range_splitters(df, key)
+    sizes = [r["count"] for r in df.groupBy(ranking.range_of(F.col(key), splitters, "bigint")).count().collect()]
+    assert len(sizes) <= ranking.RANGES and max(sizes) <= 4 * 20_000 / ranking.RANGES
+    grouped = ordered_position(df.withColumn("g", F.col("id") % 3), key, ["g"], total="n").collect()
+    for g in range(3):
+        own = sorted(r[key] for r in grouped if r.g == g)
+        assert [r.position for r in sorted((r for r in grouped if r.g == g), key=lambda r: r[key])] == list(range(len(own)))
+    few = ordered_position(df.where("id in (7, 5, 9)"), key).orderBy("position").collect()
+    assert [r.position for r in few] == [0, 1, 2] and ordered_position(df.where("id < 0"), key).count() == 0
