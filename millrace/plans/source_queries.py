@@ -7,7 +7,7 @@ from pyspark.sql import window as W
 
 from millrace.operators import privacy
 from millrace.plans.registry import query
-from millrace.session import table
+from millrace.session import spread, table
 from millrace.sources import databases, files, sinks
 from millrace.storage import fresh_path
 from millrace.streaming import training_log
@@ -124,6 +124,16 @@ def sheet_grid(spark, sf_dir):
     return wide.select(F.col("0").alias("key"), F.col("1").alias("name"), F.col("3").alias("segment"), (F.col("4") == "TRUE").alias("even"), F.row_number().over(place).cast("long").alias("row"))
 
 
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '^[\\x00-\\x7F]*$') AND doc_id % 3 <> 2 THEN 'utf-8' WHEN doc_id % 3 = 0 THEN 'utf-8' WHEN doc_id % 3 = 1 THEN 'cp1252' ELSE 'utf-16-le' END AS encoding, text FROM documents WHERE length(text) > 8 AND NOT regexp_matches(text, '[^\\x00-\\x7F\\xA0-\\xFF]')""")
+def detected_encodings(spark, sf_dir):
+    """SRC1: texts written in three encodings without a mark, each told from its bytes alone and read back."""
+    from millrace.sources.encodings import detected
+
+    docs = table(spark, sf_dir, "documents").where("length(text) > 8").where(~F.col("text").rlike("[^\\x00-\\x7F\\xA0-\\xFF]"))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-8")).when(F.col("doc_id") % 3 == 1, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-16LE"))
+    return spread(docs).select("doc_id", detected(raw).alias("d")).select("doc_id", "d.encoding", "d.text")
+
+
 _JOB_LINE = """CASE event_type WHEN 'signup' THEN '{' WHEN 'purchase' THEN '}' WHEN 'click' THEN '  "k": {' WHEN 'error' THEN 'ERROR at ' || CAST(event_id AS VARCHAR(20)) ELSE 'step ' || CAST(event_id AS VARCHAR(20)) END"""
 _JOB_STATUS = "CASE WHEN event_type = 'error' AND value > 90 THEN 'failed' WHEN event_type = 'purchase' AND value > 150 THEN 'completed' ELSE 'running' END"
 
