@@ -71,11 +71,13 @@ SENTENCES = {
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-grant-old": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-name": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-author": "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission",
     "zlib-warranty": "this software is provided as is without any express or implied warranty",
     "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
@@ -92,14 +94,22 @@ FREE_NAMES = {
     "GPL-2.0": ("general public license", "2"), "GPL-3.0": ("general public license", "3"), "LGPL-2.1": ("lesser general public license", "2 1"),
     "LGPL-3.0": ("lesser general public license", "3"), "AGPL-3.0": ("affero general public license", "3"),
 }
+#: How the full texts of licences open, with their dates.
+TITLES = {
+    "apache license version 2 0 january 2004": "Apache-2.0", "gnu general public license version 3 29 june 2007": "GPL-3.0", "gnu general public license version 2 june 1991": "GPL-2.0",
+    "gnu lesser general public license version 2 1 february 1999": "LGPL-2.1", "gnu lesser general public license version 3 29 june 2007": "LGPL-3.0",
+    "gnu affero general public license version 3 19 november 2007": "AGPL-3.0", "boost software license version 1 0 august 17th 2003": "BSL-1.0",
+}
 #: Ordered rules of whole texts, as licence and sequence of identifiers.
 RULES = (
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("MIT", ("mit-grant",)),
     ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-grant-old",)),
     ("0BSD", ("0bsd-grant",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-author")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("Zlib", ("zlib-warranty", "zlib-grant")),
     ("Zlib", ("zlib-grant",)),
@@ -112,7 +122,7 @@ RULES = (
     ("MPL-2.0", ("mpl-subject",)),
 )
 #: Every known sentence holds one of these, however it is wrapped; texts without any are not cut at all.
-HINT = "licen[sc]e|copyright|permi|warrant|redistribut|compliance|mozilla|gnu|gpl|apache|creative|cc0|cc[^a-z0-9]|mit[^a-z0-9]|unencumbered|express|spdx|mpl|eupl|ms-pl|ms pl"
+HINT = "licen[sc]e|copyright|permi|warrant|redistribut|compliance|mozilla|gnu|gpl|apache|creative|cc0|cc[^a-z0-9]|mit[^a-z0-9]|unencumbered|express|neither|spdx|mpl|eupl|ms-pl|ms pl"
 
 
 def _plain(name: str) -> str:
@@ -121,7 +131,7 @@ def _plain(name: str) -> str:
 
 def known_sentences() -> dict[str, str]:
     """Sentence to identifier: the fixed sentences, the free-software notices, short notices made from openings and names, and SPDX lines."""
-    out = {text: name for name, text in SENTENCES.items()}
+    out = {text: name for name, text in SENTENCES.items()} | {text: f"notice:{licence}" for text, licence in TITLES.items()}
     for f, (name, v) in FREE_NAMES.items():
         for what in ("program", "library", "software", "file"):
             later = "or at your option any later version"
@@ -134,6 +144,7 @@ def known_sentences() -> dict[str, str]:
             to = f"{licence}-or-later" if end else licence
             out |= {f"licensed under {name}{end}": f"notice:{to}" for name in names}
         out[f"licensed under {names[-1]} which is available at"] = f"notice:{licence}"
+        out |= {f"spdx license identifier {name}": f"notice:{licence}" for name in names}
         out |= {f"spdx license identifier {_plain(x)}": f"notice:{x}" for x in (licence, *((f"{licence}-only", f"{licence}-or-later") if licence in LATER else ()))}
     return out
 
@@ -144,11 +155,31 @@ def rules() -> tuple[tuple[str, tuple[str, ...]], ...]:
 
 
 #: How a notice opens; all are written as the first, without an article.
-OPENING = r"\b(?:licensed|released|distributed|made[^a-z0-9.;:]+available|the[^a-z0-9.;:]+asf[^a-z0-9.;:]+licenses[^a-z0-9.;:]+this[^a-z0-9.;:]+file[^a-z0-9.;:]+to[^a-z0-9.;:]+you)[^a-z0-9.;:]+under(?:[^a-z0-9.;:]+the[^a-z0-9.;:]+terms[^a-z0-9.;:]+of)?(?:[^a-z0-9.;:]+(?:the|an|a))?\b"
+OPENING = r"\b(?:licensed|released|distributed|published|provided|offered|available|covered|made[^a-z0-9.;:]+available|the[^a-z0-9.;:]+asf[^a-z0-9.;:]+licenses[^a-z0-9.;:]+this[^a-z0-9.;:]+file[^a-z0-9.;:]+to[^a-z0-9.;:]+you)[^a-z0-9.;:]+under(?:[^a-z0-9.;:]+the[^a-z0-9.;:]+terms[^a-z0-9.;:]+of)?(?:[^a-z0-9.;:]+(?:the|an|a))?\b"
 #: Steps from a lower-case text to lines that are pieces, with a blank line after each sentence: pattern and replacement.
+#: Slots come first: a name in a sentence gives way to the words that the known sentence has there.
+_GAP, _STEP = "[^a-z0-9]+", r"[^a-z0-9.;:]+"
 CUTS = (
     ("\r\n?", "\n"),
     (r"\n[ \t]*(?:dnl|rem)\b", "\n"),
+    # the organisation that a BSD licence names
+    (rf"\bneither{_GAP}(?:the{_GAP})?names?{_GAP}of{_GAP}[\s\S]{{1,200}}?\bnor{_GAP}(?:the{_GAP})?names?{_GAP}of{_GAP}(?:(?:its|the|any|other|their){_GAP})*contributors\b", "neither the name of the copyright holder nor the names of its contributors"),
+    # the program that a free-software notice names
+    (rf"(\n|[.!?][ \t]+)[^a-z0-9\n]*(?:[a-z0-9][a-z0-9+_-]*[ \t]+){{1,6}}is{_GAP}free{_GAP}software\b", "\\1\nthis program is free software"),
+    (rf"(\n|[.!?][ \t]+)[^a-z0-9\n]*(?:[a-z0-9][a-z0-9+_-]*[ \t]+){{1,6}}is{_GAP}distributed{_GAP}in{_GAP}the{_GAP}hope\b", "\\1\nthis program is distributed in the hope"),
+    # fields of manifests and classifiers
+    (r"\blicense[ \t]*::[ \t]*osi[ \t]+approved[ \t]*::[ \t]*", "\nspdx-license-identifier "),
+    (r"(\n|[{,;])[^a-z0-9\n]*licen[sc]e[\"']?[ \t]*[:=][ \t]*[\"'(]*", "\\1\nspdx-license-identifier "),
+    # the title that a text opens with
+    (r"^[^a-z0-9]*(?:the[ \t]+)?((?:mit|isc|bsd[ \t]+[23]-clause)[ \t]+license|(?:mozilla[ \t]+public|eclipse[ \t]+public|apache|boost[ \t]+software)[ \t]+license,?[ \t]+(?:version[ \t]+|v[ \t]*\.?[ \t]*)[0-9.]+)[^a-z0-9\n]*(?:\n|$)", "\nlicensed under \\1\n\n"),
+    # negations, then other ways to state a licence
+    (r"\bnot[ \t]+(licensed|released|distributed|published|provided|offered|available|covered|made)[ \t]+under\b", r"not\1under"),
+    (r"\bnot[ \t]+under\b", "notunder"),
+    (rf"\bis{_STEP}(mit|isc|apache[ -]2[.]0|bsd[ -][23][ -]clause|gpl[ -]?v[23]|mpl[ -]2[.]0)[ -]licensed\b", "\nlicensed under \\1 license"),
+    (rf"\b(?:licensed|released|available|dual[ -]licensed){_STEP}under{_STEP}(?:the{_STEP}terms{_STEP}of{_STEP})?either{_STEP}of:?[^a-z0-9]*\n[^a-z0-9]*(?:the[ \t]+)?([^\n]+)\n[^a-z0-9]*(?:or[ \t]+)?(?:the[ \t]+)?", "\nlicensed under \\1\nlicensed under "),
+    (rf"\b(?:licensed|released|available|dual[ -]licensed){_STEP}under{_STEP}(?:the{_STEP}terms{_STEP}of{_STEP})?either{_STEP}(?:of{_STEP})?(?:the{_STEP})?([\s\S]{{1,120}}?){_GAP}or{_GAP}(?:the{_GAP})?", "\nlicensed under \\1\nlicensed under "),
+    (rf"\bunder{_STEP}the{_STEP}(mit|apache|bsd|isc|zlib|boost|mozilla|eclipse|unlicense)\b", "\nlicensed under \\1"),
+    (r"\b(licen[sc]e|[0-9])[ \t]+at[ \t]+your[ \t]+option\b", "\\1\nat your option"),
     (r"\bv\.\s*([0-9])", r"v \1"),
     (r"spdx-license-identifier:[ \t(]*", "\nspdx-license-identifier "),
     (r"\bnot[ \t]+(licensed|released|distributed|made)\b", r"not\1"),

@@ -148,3 +148,34 @@ def test_notices_spdx_and_clauses(spark):
     got = {r.doc_id: (len(r.license_sentences), sorted(r.licenses)) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: found for i, (_, found) in got.items()} == {i: sorted(f) for i, f in enumerate(cases.values())}
     assert {i: (n, sorted(f)) for i, (n, f) in oracle_rows(rows).items()} == got
+
+
+NAMED = BSD + """
+   * Neither the name of {org} nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+"""
+#: Texts as they are published, and what they state; nothing here is made from the operator's table.
+PUBLISHED = {
+    NAMED.format(org="Google Inc."): ["BSD-3-Clause"], NAMED.format(org="the University of California, Berkeley"): ["BSD-3-Clause"], NAMED.format(org="Facebook, Inc.,\n"): ["BSD-3-Clause"],
+    BSD + "\n3. The name of the author may not be used to endorse or promote products\n   derived from this software without specific prior written permission.\n": ["BSD-3-Clause"], BSD: ["BSD-2-Clause"],
+    '{\n  "name": "x",\n  "license": "MIT",\n  "version": "1"\n}': ["MIT"], "License: MIT": ["MIT"], "license = 'Apache-2.0'": ["Apache-2.0"], '"license": "(MIT OR Apache-2.0)"': ["Apache-2.0", "MIT"], "License: see below": [],
+    "License :: OSI Approved :: MIT License": ["MIT"], "License: Apache License, Version 2.0": ["Apache-2.0"],
+    "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE": ["Apache-2.0"],
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007": ["GPL-3.0"], "  GNU LESSER GENERAL PUBLIC LICENSE\n    Version 2.1, February 1999\n": ["LGPL-2.1"],
+    "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n": ["MPL-2.0"], "Mozilla Public License Version 2.0": ["MPL-2.0"], "The MIT License\n\nCopyright (c) 2020": ["MIT"],
+    "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": ["ISC"],
+    "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": ["Apache-2.0", "MIT"],
+    "Licensed under either of\n\n * Apache License, Version 2.0 ([LICENSE-APACHE](LICENSE-APACHE) or http://www.apache.org/licenses/LICENSE-2.0)\n * MIT license ([LICENSE-MIT](LICENSE-MIT) or http://opensource.org/licenses/MIT)\n\nat your option.": ["Apache-2.0", "MIT"],
+    "jquery is MIT licensed": ["MIT"], "All code here is under the MIT license, so enjoy.": ["MIT"], "Use it under the Apache License, Version 2.0.": ["Apache-2.0"],
+    "It is not under the MIT license.": [], "This is not licensed under the MIT License.": [], "Neither the name nor the licence matters, nor the names of others.": [],
+    "This file is part of GNU Emacs.\n\nGNU Emacs is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nGNU Emacs is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.": ["GPL-3.0-or-later"],
+}
+
+
+def test_published_texts_with_names_titles_and_fields(spark):
+    rows = list(enumerate(PUBLISHED)) + [(1000 + i, _marked(t, " *")) for i, t in enumerate(PUBLISHED) if "{" not in t and "\n * " not in t and "Version 2.0\n====" not in t]
+    got = {r.doc_id: (len(r.license_sentences), list(r.licenses)) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = list(PUBLISHED.values())
+    assert {i: sorted(f) for i, (_, f) in got.items()} == {i: want[i % 1000] for i, _ in rows}
+    assert oracle_rows(rows) == got
