@@ -109,6 +109,29 @@ def tool_replies(spark, sf_dir):
     return rows.select("conv_id", "turn", F.coalesce("c.name", F.lit("none")).alias("name"), F.coalesce("c.arguments", F.lit("")).alias("arguments"))
 
 
+@query("""SELECT conv_id, turn, CASE WHEN conv_id % 5 IN (1, 3) THEN role ELSE 'say_' || role END AS name, text AS said, '}' || role || '{' AS inner_text, CASE WHEN conv_id % 5 IN (1, 3) THEN 1 ELSE 1 + turn % 2 END AS n FROM conversations WHERE text IS NOT NULL""")
+def nested_tool_calls(spark, sf_dir):
+    """TRN17: messages as arguments of calls in five dialects, in objects inside objects with brackets in their strings, read back."""
+    from millrace.operators.calls import nested_calls
+
+    rows = table(spark, sf_dir, "conversations").where("text is not null")
+    arguments = F.struct(F.struct(F.col("text").alias("said"), F.array(F.struct(F.concat(F.lit("}"), "role", F.lit("{")).alias("t"))).alias("parts")).alias("body"))
+    both = lambda one: F.when(F.col("turn") % 2 == 1, F.concat(one, F.lit("\n"), one)).otherwise(one)
+    name = F.concat(F.lit("say_"), "role")
+    plain = F.to_json(arguments)
+    replies = {
+        "tags": both(F.concat(F.lit("I call:\n<tool_call>\n"), F.to_json(F.struct(name.alias("name"), arguments.alias("arguments"))), F.lit("\n</tool_call>"))),
+        "named": F.concat("role", F.lit("\n"), plain),
+        "action": both(F.concat(F.lit("Action: "), name, F.lit("\nAction Input: "), plain)),
+        "function": F.concat(F.lit("<function="), F.col("role"), F.lit(">"), plain, F.lit("</function>")),
+        "object": both(F.to_json(F.struct(name.alias("name"), arguments.alias("parameters")))),
+    }
+    found = [F.when(F.col("conv_id") % 5 == k, nested_calls(reply, dialect)) for k, (dialect, reply) in enumerate(replies.items())]
+    calls = rows.select("conv_id", "turn", F.coalesce(*found).alias("c")).select("conv_id", "turn", F.element_at("c", -1).alias("c"), F.size("c").alias("n"))
+    part = lambda path: F.get_json_object("c.arguments", path)
+    return calls.select("conv_id", "turn", "c.name", part("$.body.said").alias("said"), part("$.body.parts[0].t").alias("inner_text"), F.col("n").cast("long").alias("n"))
+
+
 @query("""WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN 'function' WHEN turn % 4 IN (2, 3) THEN 'observation' ELSE 'user' END AS role, CASE WHEN turn % 4 = 1 THEN '[{"name":"f"}]' ELSE text END AS content FROM conversations WHERE text IS NOT NULL),
 g AS (SELECT *, sum(CASE WHEN role = 'observation' AND before = 'observation' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM r))
 SELECT conv_id, CAST(n - 1 AS INTEGER) AS position, min(role) AS role, string_agg(content, chr(10) ORDER BY turn) AS content FROM g GROUP BY conv_id, n""")
