@@ -4,7 +4,8 @@ The cost of a value is that of its cheapest segmentation into dictionary
 words, dates, repeats, sequences, keyboard walks and brute-force spans, as a
 decimal logarithm of guesses (in the manner of the published zxcvbn work). A
 value behind a credential name whose cost reaches a threshold is a span of
-kind ``guess``; the base kinds ``assign``, ``access`` and ``hex`` do not depend
+kind ``guess``, unless it is code (an unquoted call, subscript or path of names)
+or a quoted sentence (five words or more, a quarter of them function words). The base kinds ``assign``, ``access`` and ``hex`` do not depend
 on it. Words are ranked by a short list of passwords, then by the order of a
 tokenizer's vocabulary, whose merges stand by frequency.
 
@@ -180,6 +181,25 @@ def cardinality(text: str) -> int:
     return max(10, n + (33 if any(not c.isalnum() for c in text) else 0) + (100 if not text.isascii() else 0))
 
 
+#: An unquoted value that is an expression: a call or subscript of a name, or a path of names without digits.
+_NAME = r"(?:_?[A-Za-z]?[a-z]+(?:[A-Z][a-z]{2,})*(?:_[a-z]+)*|[A-Z]+(?:_[A-Z]+)*)"
+CODE = re.compile(rf"(?:[A-Za-z_$][\w$]*(?:\.|::|->))*[A-Za-z_$][\w$]{{2,}}[(\[]|(?:new|await|return)$|(?:{_NAME}(?:\.|::|->))+{_NAME}[;)\]}}]*$", re.ASCII)
+#: Words that hold sentences together; passphrases of drawn words have few.
+FUNCTION_WORDS = frozenset("the a an and or but of on in at to for from with by as is are was were be been has have had not no this that these those it its he she they we you i my your his her their our which who when where there if then than so".split())
+
+_WORD = re.compile(r"[^\W\d_]['’a-zß-ÿ-]*[,.;:!?]?")
+
+
+def is_plain(value: str, quoted: bool) -> bool:
+    """Whether a value is code or a sentence, and so no secret however dear its segmentation is."""
+    if not quoted:
+        return CODE.match(value) is not None
+    words = value.split(" ")
+    if len(words) < 5 or not all(_WORD.fullmatch(w) for w in words):
+        return False
+    return 4 * sum(w.lower().rstrip(",.;:!?") in FUNCTION_WORDS for w in words) >= len(words)
+
+
 def find_spans(text: str, cost: GuessCost, threshold: float) -> list[tuple[str, int, int, float]]:
     """Spans kind, start, end, cost (nan where none is taken), by start, then kind as listed."""
     found: list[tuple[str, int, int, float]] = []
@@ -189,7 +209,7 @@ def find_spans(text: str, cost: GuessCost, threshold: float) -> list[tuple[str,
             found += [("assign", *m.span(), cost(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
             for m in CONTEXT.finditer(text):
                 value = m[m.lastindex]
-                if len(value) >= 6 and (c := cost(value)) >= threshold:
+                if len(value) >= 6 and not is_plain(value, m.lastindex < 3) and (c := cost(value)) >= threshold:
                     found.append(("guess", *m.span(m.lastindex), c))
     if "AKIA" in text:
         found += [("access", *m.span(), math.nan) for m in ACCESS.finditer(text)]

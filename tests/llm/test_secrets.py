@@ -103,3 +103,26 @@ def test_redacted_overlaps():
 
 def test_empty(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+#: Lines of code and prose without a secret, and lines with one.
+CLEAN = (
+    "auth: function(token) {", "token: getToken()", 'secret = config.get("x")', "password = os.environ['DB_PASSWORD']", "token = request.headers.authorization", "api_key=settings.API_KEY;", "auth => this.verifyAuthorization(user)",
+    'secret: "the house on the hill was quiet that night"', "Her secret: 'it was not the money that she had wanted from him'", "the token: a small coin", "pass: ok", "key = value",
+)
+DIRTY = ('password: "correct horse battery staple"', "auth = q8W$e2R#t5", "secret: 'Zx9!kQ#7vL'", "token = eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK", 'pass = "my9 dog7 the kX2 of vQ8"', "bearer: q(8W$e2R#t5")
+
+
+def test_code_and_sentences_are_no_secrets(spark):
+    rows = list(enumerate(CLEAN + DIRTY))
+    got = {r.doc_id: [s.kind for s in r.secrets] for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), words=(*WORDS, *vocabulary_words(public_tokenizers.path("byte_bpe_50k.json")))).collect()}
+    assert [i for i in range(len(CLEAN)) if "guess" in got[i]] == [] and all("guess" in got[i] for i in range(len(CLEAN), len(rows)))
+
+
+def test_share_of_false_spans_on_documents(spark):
+    """Documents of the test table without any base span: none of their values is taken."""
+    words = (*WORDS, *vocabulary_words(public_tokenizers.path("byte_bpe_50k.json")))
+    found = scan_secrets(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"), words=words).drop("text")
+    kinds = [{s.kind for s in r.secrets} for r in found.collect()]
+    clean = [k for k in kinds if not k & {"assign", "access", "hex"}]
+    assert len(clean) > 5000 and sum("guess" in k for k in clean) <= 0.001 * len(clean)
