@@ -111,4 +111,11 @@ def test_stages_on_empty_tables_null_ids_and_clashing_columns(spark, name):
 
 
 def test_registry():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and set(ORACLES) <= set(QUERIES)
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and set(ORACLES) <= set(QUERIES)
+
+
+def test_secrets_of_a_table_without_lengths(spark):
+    stage = dict(corpus_pipeline.STAGES)["secrets"]
+    docs = spark.createDataFrame([(1, 'password = "hunter2hunter2"'), (2, None)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in stage(spark, docs, SF).collect()}
+    assert "[SECRET]" in out[1] and out[2] is None
