@@ -106,6 +106,28 @@ def render_chat(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("ms")).select("conv_id", datasets.render_chat(F.col("ms"), "chatml").alias("prompt"))
 
 
+@query("""WITH m AS (SELECT conv_id, turn, role, text, lag(CASE WHEN role = 'system' THEN text END) OVER w AS held, lead(turn) OVER w IS NULL AS ends FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, '<s>' || string_agg(CASE WHEN role = 'system' THEN '' WHEN role = 'assistant' THEN ' ' || text || CASE WHEN ends THEN ' </s>' ELSE ' </s><s>' END
+  ELSE '[INST] ' || coalesce('<<SYS>>' || chr(10) || held || chr(10) || '<</SYS>>' || chr(10) || chr(10), '') || text || ' [/INST]' END, '' ORDER BY turn) AS prompt FROM m GROUP BY conv_id""")
+def inferred_template(spark, sf_dir):
+    """TRN15: conversations in a template that is known by its renderings only: opening mark, system message inside the first user's, another end for the last turn."""
+    from millrace.operators.templates import infer_slots, rendered
+
+    def render(messages):  # stands for a tokenizer's template
+        out, held = "<s>", ""
+        for i, m in enumerate(messages):
+            if m["role"] == "system":
+                held = f"<<SYS>>\n{m['content']}\n<</SYS>>\n\n"
+            elif m["role"] == "user":
+                out, held = f"{out}[INST] {held}{m['content']} [/INST]", ""
+            else:
+                out += f" {m['content']} </s>" + ("<s>" if i < len(messages) - 1 else "")
+        return out
+
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda m: F.struct(m.role.alias("role"), m.content.alias("content")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("ms")).select("conv_id", rendered(F.col("ms"), infer_slots(render)).alias("prompt"))
+
+
 @query("""WITH r AS (SELECT conv_id, turn, conv_id * 1000 + turn AS pos, text FROM conversations), b AS (SELECT *, (row_number() OVER (ORDER BY pos) - 1) // 1000 AS batch FROM r)
 SELECT conv_id, turn, coalesce(lag(text) OVER w, last_value(text) OVER (PARTITION BY batch ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS kl_text FROM b WINDOW w AS (PARTITION BY batch ORDER BY pos)""")
 def kto_kl_rotate(spark, sf_dir):
