@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -309,3 +312,23 @@ def semantic_verdict(spark, sf_dir):
     means = rows.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda y: y.x).alias("m"))
     scored = rows.join(means, "label").select("vec_id", F.round(V.cosine(F.col("v"), F.col("m")), 4).alias("similarity"))
     return scored.withColumn("verdict", F.when(F.col("similarity") < 0.5, "hallucination").otherwise("passed"))
+
+
+@query()
+def segmented_scores(spark, sf_dir):
+    """MET5: messages without their blanks, cut into the words of the documents by the most probable path; scores against the next message."""
+    from millrace.operators.metrics import training_scores
+    from millrace.operators.segment import Segmenter, count_words
+
+    cut = Segmenter(count_words(table(spark, sf_dir, "documents").select(F.split(F.lower("text"), r"\s+").alias("w")), "w"), everywhere=True)
+    squeezed = F.regexp_replace(F.lower("text"), r"\s+", "")
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", squeezed.alias("p"))
+    pairs = rows.join(rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("p").alias("r")), ["conv_id", "turn"], "left")
+
+    @F.pandas_udf("n_words long, log_probability double")
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        found = [cut(t) for t in texts]
+        known = [sum(math.log(cut.counts.get(w, 1)) - cut.total for w in words if w[0].isalnum()) for words in found]
+        return pd.DataFrame({"n_words": [len(w) for w in found], "log_probability": [round(x, 6) for x in known]})
+
+    return training_scores(spread(pairs), "p", "r", cut).withColumn("m", measured("p")).select("conv_id", "turn", "m.*", "rouge_1", "rouge_2", "rouge_l", "bleu_4")
