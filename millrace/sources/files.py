@@ -152,3 +152,49 @@ def jdbc_url(kind: str, host: str = "", port: int | None = None, database: str =
 def read_jdbc(spark: SparkSession, url: str, table: str, limit: int | None = None, **options: str) -> DataFrame:
     query = f"SELECT * FROM {table}" + (f" LIMIT {limit}" if limit else "")
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+
+
+def key_ranges(spark: SparkSession, url: str, table: str, key: str, parts: int, buckets: int = 256, **options: str) -> tuple[list[tuple[int, int]], int]:
+    """Half-open ranges of an integer key, named as the database writes it, that hold about equal numbers of rows, and how many rows have no key.
+
+    The database counts: a histogram over the whole span, then one over each
+    bucket that holds more than a quarter of a part, until none does or it is a
+    single key. At most ``buckets`` rows come back from a query, whatever the
+    table's size.
+    """
+
+    def ask(sql: str) -> list:
+        return spark.read.format("jdbc").options(url=url, query=sql, **options).load().collect()
+
+    low, high, n, rows = ask(f"SELECT MIN({key}) AS low, MAX({key}) AS high, COUNT({key}) AS n, COUNT(*) AS every_row FROM {table}")[0]
+    if not n:
+        return [], int(rows)
+    low, high = int(low), int(high)
+    heavy, done = [(low, high + 1, int(n))], []
+    while heavy:
+        a, b, count = heavy.pop()
+        if count * 4 * parts <= n or b - a == 1:
+            done.append((a, b, count))
+            continue
+        width = max(1, -(-(b - a) // buckets))
+        place = f"FLOOR(({key} - ({a})) / {width}.0E0)"
+        found = ask(f"SELECT b, COUNT(*) AS c FROM (SELECT {place} AS b FROM {table} WHERE {key} >= {a} AND {key} < {b}) x GROUP BY b")
+        for bucket, c in ((int(r[0]), int(r[1])) for r in found):
+            start = a + bucket * width
+            heavy.append((start, min(b, start + width), c))
+    out, held, want = [], 0, n / parts
+    for a, _, count in sorted(done):
+        if not out or held + count / 2 > want:
+            out.append(a)
+            held = 0
+        held += count
+    return list(zip(out, [*out[1:], high + 1], strict=True)), int(rows - n)
+
+
+def read_split(spark: SparkSession, url: str, table: str, key: str, parts: int, **options: str) -> DataFrame:
+    """SRC10: a database table over several connections, each a range of an integer key with about as many rows as the others; rows without a key are a part of their own."""
+    ranges, without = key_ranges(spark, url, table, key, parts, **options)
+    where = [f"{key} >= {a} AND {key} < {b}" for a, b in ranges]
+    if without or not where:
+        where = [*where, f"{key} IS NULL"]
+    return spark.read.jdbc(url, table, predicates=where, properties=options)
