@@ -134,6 +134,25 @@ def detected_encodings(spark, sf_dir):
     return spread(docs).select("doc_id", detected(raw).alias("d")).select("doc_id", "d.encoding", "d.text")
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'claimed' WHEN doc_id % 7 = 4 THEN 'again' ELSE 'waiting' END AS status, CASE WHEN doc_id % 7 = 4 THEN source || '!' ELSE source END AS source, 4 AS last_version FROM documents WHERE doc_id % 7 <> 5""")
+def snapshot_claims(spark, sf_dir):
+    """FLT8-10, SNK3: rows claimed under a guard, claimed again in vain, put anew and deleted, each a version of one table."""
+    from millrace.sources.snapshots import Conflict, SnapshotTable
+
+    docs = SnapshotTable(spark, fresh_path(spark, "snapshots"))
+    docs.commit(table(spark, sf_dir, "documents").select("doc_id", F.lit("waiting").alias("status"), "source"), None)
+    third, waits = F.col("doc_id") % 7 == 3, F.col("status") == "waiting"
+    docs.claim(third, waits, {"status": F.lit("claimed")})
+    docs.claim(third | (F.col("doc_id") % 7 == 6), waits, {"status": F.lit("lost")})  # some are no longer waiting
+    try:
+        docs.commit(docs.read(0).limit(0), 0)
+    except Conflict:
+        docs.put(docs.read().where("doc_id % 7 = 4").select("doc_id", F.lit("again").alias("status"), F.concat("source", F.lit("!")).alias("source")), "doc_id")
+    docs.update(F.col("status") == "lost", {"status": F.lit("never")})
+    last = docs.delete(F.col("doc_id") % 7 == 5)
+    return docs.read().withColumn("last_version", F.lit(last))
+
+
 _JOB_LINE = """CASE event_type WHEN 'signup' THEN '{' WHEN 'purchase' THEN '}' WHEN 'click' THEN '  "k": {' WHEN 'error' THEN 'ERROR at ' || CAST(event_id AS VARCHAR(20)) ELSE 'step ' || CAST(event_id AS VARCHAR(20)) END"""
 _JOB_STATUS = "CASE WHEN event_type = 'error' AND value > 90 THEN 'failed' WHEN event_type = 'purchase' AND value > 150 THEN 'completed' ELSE 'running' END"
 
