@@ -28,12 +28,24 @@ def active_rules(only: tuple[str, ...] | None = None, without: tuple[str, ...] =
     return [r for r in RULES if (only is None or r[0] in only) and r[0] not in without]
 
 
+#: The address rule, begun once for each run of its characters instead of at each of them; finds the same.
+_EMAIL_ONCE = r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+
+
 def found(text: Column, rule: str) -> Column:
-    """All matches of one rule."""
+    """All matches of one rule; texts without an @ skip the address rule."""
     _, _, pattern, group = next(r for r in RULES if r[0] == rule)
+    if rule == "email":
+        none = F.when(text.isNotNull(), F.array().cast("array<string>"))
+        return F.when(text.contains("@"), F.regexp_extract_all(text, F.lit(_EMAIL_ONCE), 0)).otherwise(none)
     return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
+def holds(text: Column, rule: str) -> Column:
+    """Whether a rule matches at all: the search ends at its first match."""
+    return text.rlike(next(r[2] for r in RULES if r[0] == rule))
+
+
 def placeholder(label: str, n: int) -> str:
     return f"**{label}{chr(64 + n) if n <= 26 else n}**"
 

@@ -128,8 +128,8 @@ def validate_template(spark, sf_dir):
 def detect_pii(spark, sf_dir):
     """DES1: matches of the built-in rules in every document."""
     text = F.col("text")
-    has = lambda rule: F.size(privacy.found(text, rule)) > 0
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(privacy.found(text, "email")).alias("n_email"), has("phone").alias("has_phone"), has("bank_card").alias("has_bank_card"), has("ip_address").alias("has_ip"))
+    marks = {name: privacy.holds(text, rule) for name, rule in (("has_phone", "phone"), ("has_bank_card", "bank_card"), ("has_ip", "ip_address"))}
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(privacy.found(text, "email")).alias("n_email"), *[c.alias(n) for n, c in marks.items()])
 
 
 @query("SELECT doc_id, replace(text, 'the', '**关键词A**') AS masked, CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS INTEGER) AS n_hits FROM documents")

@@ -284,3 +284,15 @@ def test_positions_of_sparse_ids(spark, key):
         assert [r.position for r in sorted((r for r in grouped if r.g == g), key=lambda r: r[key])] == list(range(len(own)))
     few = ordered_position(df.where("id in (7, 5, 9)"), key).orderBy("position").collect()
     assert [r.position for r in few] == [0, 1, 2] and ordered_position(df.where("id < 0"), key).count() == 0
+
+
+def test_address_rule_begun_once_finds_the_same(spark):
+    import random
+    import re
+
+    pattern = next(r[2] for r in privacy.RULES if r[0] == "email")
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab.@-%_ 9Z") for _ in range(rnd.randint(0, 40))) for _ in range(800)] + ["a@b.coma@b.com", "x@y.co@z.org", "a" * 5000, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: (r.f, r.h) for r in df.select("i", privacy.found(F.col("t"), "email").alias("f"), privacy.holds(F.col("t"), "email").alias("h")).collect()}
+    assert got == {i: (None, None) if t is None else (re.findall(pattern, t), bool(re.search(pattern, t))) for i, t in enumerate(texts)}

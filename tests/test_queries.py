@@ -212,5 +212,5 @@ def test_packing(spark, docs):
 
 
 def test_every_query_has_a_statement_or_a_test():
-    tested = {*LADDERS, "chunk_paragraph", "chunk_markdown", "chunk_similarity", "validate_repeats", "mask_documents", "rouge_l_bleu", "pack_sequences"}
+    tested = {*LADDERS, "chunk_paragraph", "chunk_markdown", "chunk_similarity", "validate_repeats", "mask_documents", "rouge_l_bleu", "pack_sequences", "segmented_scores"}
     assert set(QUERIES) - set(ORACLES) == tested
