@@ -132,6 +132,19 @@ def nested_tool_calls(spark, sf_dir):
     return calls.select("conv_id", "turn", "c.name", part("$.body.said").alias("said"), part("$.body.parts[0].t").alias("inner_text"), F.col("n").cast("long").alias("n"))
 
 
+@query("""WITH s AS (SELECT p_partkey, p_name, CAST(greatest(20 + p_partkey * 37 % 4000, 28) AS DOUBLE) AS w, CAST(greatest(20 + p_size * 53, 28) AS DOUBLE) AS h FROM part),
+g AS (SELECT *, greatest(round_even(w / 28, 0), 1) AS a, greatest(round_even(h / 28, 0), 1) AS b FROM s),
+t AS (SELECT p_partkey, p_name, CAST(CASE WHEN a * b * 784 > 1003520 THEN greatest(floor(w / sqrt(w * h / 1003520) / 28), 1) * greatest(floor(h / sqrt(w * h / 1003520) / 28), 1)
+  WHEN a * b * 784 < 3136 THEN ceil(w / sqrt(w * h / 3136) / 28) * ceil(h / sqrt(w * h / 3136) / 28) ELSE a * b END AS BIGINT) AS tokens FROM g)
+SELECT p_partkey, tokens, p_name || ' [' || repeat('*', CAST(tokens AS INTEGER)) || '].' AS text FROM t""")
+def media_grids(spark, sf_dir):
+    """TRN18: an image of each part's size as tokens of a patch grid, put in place of its mark."""
+    from millrace.sources.images import expanded, grid_tokens
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", grid_tokens(20 + F.col("p_partkey") * 37 % 4000, 20 + F.col("p_size") * 53).alias("tokens"))
+    return rows.select("p_partkey", "tokens", expanded(F.concat("p_name", F.lit(" <image>.")), "<image>", "*", F.array("tokens"), "[", "]").alias("text"))
+
+
 @query("""WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN 'function' WHEN turn % 4 IN (2, 3) THEN 'observation' ELSE 'user' END AS role, CASE WHEN turn % 4 = 1 THEN '[{"name":"f"}]' ELSE text END AS content FROM conversations WHERE text IS NOT NULL),
 g AS (SELECT *, sum(CASE WHEN role = 'observation' AND before = 'observation' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM r))
 SELECT conv_id, CAST(n - 1 AS INTEGER) AS position, min(role) AS role, string_agg(content, chr(10) ORDER BY turn) AS content FROM g GROUP BY conv_id, n""")
