@@ -74,15 +74,31 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(unescape(F.regexp_replace(strip_noise(html), "(?s)<[^>]*>", " ")), r"[ \t\r\n]+", " "))
 
 
+def fold_dots(url: Column) -> Column:
+    """A URL whose path has no . and .. segments left; others stay as they are."""
+    root = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
+    tail = F.substring(url, F.length(root) + F.length(path) + 1, F.length(url))
+    parts = F.split(path, "/", -1)
+
+    def step(acc: Column, part: Column) -> Column:
+        return F.when(part == ".", acc).when(part == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)).otherwise(F.array_append(acc, part))
+
+    folded = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    end = F.when(F.element_at(parts, -1).isin(".", "..") & ~folded.endswith("/"), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(root, folded, end, tail)).otherwise(url)
+
+
 def resolve(link: Column, base: Column) -> Column:
-    """A link against its page: absolute, of the scheme, of the host, or of the page's folder."""
+    """A link against its page: absolute, of the scheme, of the host, of the page itself, or of the page's folder; . and .. are folded."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, "[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/.*)?/)[^/]*$", 1)
+    page = F.regexp_replace(base, "[?#].*$", "")
+    folder = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/.*)?/)[^/]*$", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
+    below = F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), link)
     return (
-        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(root, link))
-        .when(link.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), link))
-        .otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), F.regexp_replace(link, r"^\./", "")))
+        F.when(link == "", base).when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), fold_dots(F.concat(root, link)))
+        .when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link)).when(link.startswith("?"), F.concat(page, link)).otherwise(fold_dots(below))
     )
 
 

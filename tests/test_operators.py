@@ -296,3 +296,14 @@ def test_address_rule_begun_once_finds_the_same(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r.i: (r.f, r.h) for r in df.select("i", privacy.found(F.col("t"), "email").alias("f"), privacy.holds(F.col("t"), "email").alias("h")).collect()}
     assert got == {i: (None, None) if t is None else (re.findall(pattern, t), bool(re.search(pattern, t))) for i, t in enumerate(texts)}
+
+
+def test_links_resolve_as_the_standard_library_does(spark):
+    import itertools
+    from urllib.parse import urljoin
+
+    bases = ["http://h.org/a/b/c.html", "http://h.org/a/b/", "http://h.org", "https://h.org/x?q=1/2#f"]
+    links = ["../x", "../../x", "../../../x", "./x", "x/./y", "x/../y", "..", ".", "../", "/a/../b", "/../b", "?p=1", "#top", "", "//o.org/z", "https://o.org/a/../b", "mailto:a@b", "x?u=../y", "a..b", ".hidden", "x/y/.."]
+    pairs = list(itertools.product(links, bases))
+    got = [r.u for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, l string, b string").orderBy("i").select(U.resolve(F.col("l"), F.col("b")).alias("u")).collect()]
+    assert {p: g for p, g in zip(pairs, got, strict=True)} == {(link, base): urljoin(base, link) for link, base in pairs}
