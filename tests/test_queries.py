@@ -175,7 +175,7 @@ def test_rouge_l_and_bleu(spark):
     got = {(r.conv_id, r.turn): (r.rouge_l, r.bleu) for r in QUERIES["rouge_l_bleu"](spark, SF).collect()}
     want = turns(spark)
     assert set(got) == set(want)
-    for key, (p, r) in list(want.items())[:25]:
+    for key, (p, r) in want.items():
         p, r = p or "", r or ""
         row = [0] * (len(r) + 1)
         for x in p:
