@@ -223,6 +223,14 @@ def pretrain_blocks(df: DataFrame, id_col: str, text_col: str, block: int, eos:
     return joined.select("batch", "block", F.flatten(F.transform("_ps", lambda p: p._p)).alias("tokens")).where(F.size("tokens") == block)
 
 
+def pretrain_rows(df: DataFrame, text_col: str, cutoff: int, eos: str = "<eos>", bos: str | None = None) -> DataFrame:
+    """TRN13 without packing: tokens of each text and its end mark, cut off at so many; a null text is the end mark alone. Nothing is shuffled."""
+    if cutoff < 1:
+        raise ValueError("the cutoff is at least one token")
+    marks = [F.array(F.lit(bos))] if bos else []
+    return df.withColumn("tokens", F.slice(F.concat(*marks, words(F.coalesce(F.col(text_col), F.lit(""))), F.array(F.lit(eos))), 1, cutoff))
+
+
 def knapsack(lengths: list[int], capacity: int) -> list[list[int]]:
     """Greedy packing, longest first into what is left; positions of the given lengths, each once if it fits at all."""
     order = sorted((n, i) for i, n in enumerate(lengths) if n <= capacity)

@@ -144,6 +144,13 @@ def pretrain_blocks(spark, sf_dir):
     return datasets.pretrain_blocks(table(spark, sf_dir, "documents"), "doc_id", "text", 512).select("batch", "block", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
+@query(r"""SELECT doc_id, len(t) AS n_tokens, t[len(t)] = '<eos>' AS whole, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, list_append(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> ''), '<eos>')[1:256] AS t FROM documents)""")
+def pretrain_truncated(spark, sf_dir):
+    """TRN13: unpacked rows, cut off at 256 tokens."""
+    rows = datasets.pretrain_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 256)
+    return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), (F.element_at("tokens", -1) == "<eos>").alias("whole"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
 @query()
 def pack_sequences(spark, sf_dir):
     """TRN9: sequences packed into 4,096 tokens within batches."""

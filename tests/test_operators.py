@@ -307,3 +307,12 @@ def test_links_resolve_as_the_standard_library_does(spark):
     pairs = list(itertools.product(links, bases))
     got = [r.u for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, l string, b string").orderBy("i").select(U.resolve(F.col("l"), F.col("b")).alias("u")).collect()]
     assert {p: g for p, g in zip(pairs, got, strict=True)} == {(link, base): urljoin(base, link) for link, base in pairs}
+
+
+def test_unpacked_rows_are_cut_off(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, ""), (3, None), (4, "x " * 10)], "i int, t string")
+    got = {r.i: r.tokens for r in datasets.pretrain_rows(df, "t", 4, bos="<s>").collect()}
+    assert got == {1: ["<s>", "a", "b", "c"], 2: ["<s>", "<eos>"], 3: ["<s>", "<eos>"], 4: ["<s>", "x", "x", "x"]}
+    assert datasets.pretrain_rows(df, "t", 9).where("i = 1").first().tokens == ["a", "b", "c", "<eos>"]
+    with pytest.raises(ValueError):
+        datasets.pretrain_rows(df, "t", 0)
