@@ -239,10 +239,14 @@ def split_markdown(text: str) -> list[tuple[str, str, int]]:
 
 # Semantic boundaries ------------------------------------------------------------------
 
+#: The marks that end a sentence; those of wide scripts need no blank after them.
+SENTENCE_ENDS, WIDE_ENDS = "。！？；.!?", "。！？；"
+_SENTENCE_CUT = re.compile(rf"(?<=[{SENTENCE_ENDS}])\s+|(?<=[{WIDE_ENDS}])")
+
 
 def sentences(text: str, short: int = 8, least: int = 4) -> list[str]:
     """Sentences; one shorter than ``short`` joins the one before, fragments under ``least`` go."""
-    parts = [p for p in re.split(r"(?<=[。！？；.!?])\s+|(?<=[。！？；])", text.strip()) if p and p.strip()]
+    parts = [p for p in _SENTENCE_CUT.split(text.strip()) if p and p.strip()]
     out: list[str] = []
     for p in parts:
         if out and len(p.strip()) < short:
