@@ -36,6 +36,9 @@ SAMPLES = {
 SAMPLES |= {"euc_jp": SAMPLES["shift_jis"], "koi8_r": SAMPLES["cp1251"]}
 _CLASSES = 16
 (_SPACE, _DIGIT, _ASCII_UP, _ASCII_LOW, _PUNCT, _CONTROL, _FREQUENT, _RARE, _HIRAGANA, _KATAKANA, _WIDE_PUNCT, _SYMBOL, _HIGH_LOW, _HIGH_UP, _HALF, _NONE) = range(_CLASSES)
+#: The first classes are those of ASCII, some of them letters.
+_ASCII = _CONTROL + 1
+_LETTERS = np.isin(np.arange(_ASCII), (_ASCII_UP, _ASCII_LOW))[:, None]
 
 #: Classes whose letters do not meet inside a word, except where a sample shows that they do.
 _MIXED = [(a, b) for a in (_ASCII_UP, _ASCII_LOW) for b in (_HIGH_LOW, _HIGH_UP, _HALF)]
@@ -90,7 +93,16 @@ class EncodingModel:
         for pair in _MIXED:  # a word of two scripts is no accident of a small sample
             less[pair] = less[pair[::-1]] = smooth / 100
         table = {k: v.reshape(_CLASSES, _CLASSES) + less for k, v in counts.items()}
-        self.logs = {k: np.log(t / t.sum(axis=1, keepdims=True)).ravel() for k, t in table.items()}
+        # all candidates read ASCII alike: how it goes on is no evidence, only whether a letter leaves it
+        share = {k: t / t.sum(axis=1, keepdims=True) for k, t in table.items()}
+        pool = sum(share.values()) / len(share)
+        inside = pool[:_ASCII, :_ASCII].sum(axis=1, keepdims=True)
+        for p in share.values():
+            own = p[:_ASCII, :_ASCII].sum(axis=1, keepdims=True)
+            stays = np.where(_LETTERS, own, inside)
+            p[:_ASCII, _ASCII:] *= (1 - stays) / (1 - own)
+            p[:_ASCII, :_ASCII] = stays * pool[:_ASCII, :_ASCII] / inside
+        self.logs = {k: np.log(p).ravel() for k, p in share.items()}
 
     @classmethod
     def default(cls) -> EncodingModel:

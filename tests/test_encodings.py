@@ -63,3 +63,15 @@ def test_as_a_column_and_over_files(spark, tmp_path):
     labelled = spark.createDataFrame([(k, t) for k, t in TEXTS.items()] * 2 + [("gbk", None), ("none", "x")], "encoding string, text string")
     model = EncodingModel.train(labelled)
     assert sorted(model.logs) == sorted(TEXTS) and sum(model.detect(raw)[0] == want for want, raw in pieces(100, 200)) >= 0.95 * len(list(pieces(100, 200)))
+
+
+def test_ascii_around_a_few_letters_is_no_evidence(spark):
+    model = EncodingModel.default()
+    lone = '4734663219866878$$$ token = "40d78a45c418324758e099eb7cb89bc0f5fa9f62"### La%%% échment hmentré.### 1'
+    assert model.detect(lone.encode("latin1"))[0] == "cp1252"
+    around = '### $$$ 1234567 %%% "40d78a", 2.0 [x] '.encode() * 3
+    for encoding in ("gbk", "big5", "shift_jis", "koi8_r"):
+        raw = TEXTS[encoding][:60].encode(encoding)
+        assert model.detect(raw)[0] == encoding and model.detect(around + raw + around)[0] == encoding
+    row = spark.createDataFrame([(lone.encode("latin1"),)], "raw binary").select(detected(F.col("raw")).alias("d")).first()
+    assert row.d.text == lone and row.d.encoding == "cp1252"
