@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.batches import pieces
 from millrace.operators.budget import infer_lengths
 
 
+def _ids(*names: str) -> pa.DataType:
+    return pa.struct([(n, pa.list_(pa.int32())) for n in names])
+
+
+def _structs(rows: list[tuple], kind: pa.StructType) -> pa.StructArray:
+    """Rows of encoded sequences as one column, each field at a time."""
+    return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), kind, strict=True)], fields=list(kind))
+
+
 def _prompt_text(system: str | None, turns: list) -> str:
     return "\n".join([*([system] if system else []), *[t["content"] for t in turns]])
 
@@ -18,16 +28,18 @@ def _prompt_text(system: str | None, turns: list) -> str:
 def encode_pairwise(df: DataFrame, tokenizer: Callable[[str], list[int]], cutoff: int, eos: int, ignore: int = -100) -> DataFrame:
     """chosen and rejected ids and labels; the prompt is cut by the longer response, alike for both."""
 
-    @F.pandas_udf("struct<chosen_input_ids:array<int>,chosen_labels:array<int>,rejected_input_ids:array<int>,rejected_labels:array<int>>")
-    def run(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for prompts, responses, systems in it:
+    kind = _ids("chosen_input_ids", "chosen_labels", "rejected_input_ids", "rejected_labels")
+
+    @F.arrow_udf("struct<chosen_input_ids:array<int>,chosen_labels:array<int>,rejected_input_ids:array<int>,rejected_labels:array<int>>")
+    def run(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for prompts, responses, systems in pieces(it):
             rows = []
             for p, r, s in zip(prompts, responses, systems, strict=True):
                 prompt = tokenizer(_prompt_text(s, p))
                 sides = [[*tokenizer(x["content"]), eos] for x in r[:2]]
                 np_, nt = infer_lengths(len(prompt), max(map(len, sides)), cutoff)
                 rows.append([y for side in sides for y in (prompt[:np_] + side[:nt], [ignore] * np_ + side[:nt])])
-            yield pd.DataFrame(rows, columns=["chosen_input_ids", "chosen_labels", "rejected_input_ids", "rejected_labels"])
+            yield _structs(rows, kind)
 
     return df.withColumn("_e", run("_prompt", "_response", F.coalesce("_system", F.lit("")))).select("*", "_e.*").drop("_e")
 
@@ -35,15 +47,17 @@ def encode_pairwise(df: DataFrame, tokenizer: Callable[[str], list[int]], cutoff
 def encode_prompts(df: DataFrame, tokenizer: Callable[[str], list[int]], cutoff: int, eos: int) -> DataFrame:
     """input_ids of the prompt and labels of the response, for prediction."""
 
-    @F.pandas_udf("struct<input_ids:array<int>,labels:array<int>>")
-    def run(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for prompts, responses, systems in it:
+    kind = _ids("input_ids", "labels")
+
+    @F.arrow_udf("struct<input_ids:array<int>,labels:array<int>>")
+    def run(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for prompts, responses, systems in pieces(it):
             rows = []
             for p, r, s in zip(prompts, responses, systems, strict=True):
                 source, target = tokenizer(_prompt_text(s, p)), [*(tokenizer(r[0]["content"]) if len(r) else []), eos]
                 ns, nt = infer_lengths(len(source), len(target), cutoff)
                 rows.append((source[:ns], target[:nt]))
-            yield pd.DataFrame(rows, columns=["input_ids", "labels"])
+            yield _structs(rows, kind)
 
     return df.withColumn("_e", run("_prompt", "_response", F.coalesce("_system", F.lit("")))).select("*", "_e.*").drop("_e")
 
@@ -51,9 +65,11 @@ def encode_prompts(df: DataFrame, tokenizer: Callable[[str], list[int]], cutoff:
 def encode_feedback(df: DataFrame, tokenizer: Callable[[str], list[int]], cutoff: int, eos: int, kl: str = "kl_text", ignore: int = -100) -> DataFrame:
     """ids and labels of the response and of its mismatched neighbour; kto_tag says whether the first response is the filled one."""
 
-    @F.pandas_udf("struct<input_ids:array<int>,labels:array<int>,kl_input_ids:array<int>,kl_labels:array<int>,kto_tag:boolean>")
-    def run(it: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for prompts, responses, systems, others in it:
+    kind = pa.struct([*_ids("input_ids", "labels", "kl_input_ids", "kl_labels"), ("kto_tag", pa.bool_())])
+
+    @F.arrow_udf("struct<input_ids:array<int>,labels:array<int>,kl_input_ids:array<int>,kl_labels:array<int>,kto_tag:boolean>")
+    def run(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for prompts, responses, systems, others in pieces(it):
             rows = []
             for p, r, s, k in zip(prompts, responses, systems, others, strict=True):
                 good = bool(r[0]["content"])
@@ -63,7 +79,7 @@ def encode_feedback(df: DataFrame, tokenizer: Callable[[str], list[int]], cutoff
                     ns, nt = infer_lengths(len(prompt), len(target), cutoff)
                     row += [prompt[:ns] + target[:nt], [ignore] * ns + target[:nt]]
                 rows.append((*row, good))
-            yield pd.DataFrame(rows, columns=["input_ids", "labels", "kl_input_ids", "kl_labels", "kto_tag"])
+            yield _structs(rows, kind)
 
     return df.withColumn("_e", run("_prompt", "_response", F.coalesce("_system", F.lit("")), kl)).select("*", "_e.*").drop("_e")
 
