@@ -104,8 +104,8 @@ def _repeats_apart(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def repeats_apart(answer: Column) -> Column:
     """A mostly CJK fragment of twenty characters, three times anywhere. Only texts that can hold it reach Python."""
-    cjk = F.length(F.regexp_replace(answer, f"[^{CJK}]", ""))
-    return F.when(cjk >= 39, _repeats_apart(F.when(cjk >= 39, answer))).otherwise(False)
+    cjk = F.length(F.regexp_replace(answer, f"[^{CJK}]++", ""))
+    return F.coalesce(_repeats_apart(F.when(cjk >= 39, answer)), F.lit(False))
 
 
 def follows_template(answer: Column, source: Column) -> Column:
@@ -129,9 +129,9 @@ def simple_error(answer: Column) -> Column:
     return F.when(a == "", "").when(garbled(a), "garbled").when(cut_off(a), "cut_off").otherwise(unpaired(a))
 
 
-def verdict(answer: Column, source: Column, similarity: Column | None = None, apart: bool = True) -> Column:
-    """format_error, template_error, hallucination (similarity below a half), basic_error or passed: the first that holds."""
-    out = F.when(format_error(answer, apart) != "", "format_error").when(~follows_template(answer, source), "template_error")
+def verdict(answer: Column, source: Column, similarity: Column | None = None, apart: bool = True, error: Column | None = None) -> Column:
+    """format_error, template_error, hallucination (similarity below a half), basic_error or passed: the first that holds. ``error``: format_error's answer, where a column has it."""
+    out = F.when((format_error(answer, apart) if error is None else error) != "", "format_error").when(~follows_template(answer, source), "template_error")
     if similarity is not None:
         out = out.when(similarity < 0.5, "hallucination")
     return out.when(~long_enough(answer, source), "basic_error").otherwise("passed")

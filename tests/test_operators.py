@@ -316,3 +316,16 @@ def test_unpacked_rows_are_cut_off(spark):
     assert datasets.pretrain_rows(df, "t", 9).where("i = 1").first().tokens == ["a", "b", "c", "<eos>"]
     with pytest.raises(ValueError):
         datasets.pretrain_rows(df, "t", 0)
+
+
+def test_repeats_are_searched_once_a_text(spark):
+    """The searches cost far more than the rest: the verdict reads the column that has their answer."""
+    from millrace.operators import validation
+    from millrace.plans import registry
+
+    plan = registry.QUERIES["validate_repeats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_repeats_apart(") == 1 and plan.count("\\1{2,}") == 1
+    apart = "春天来了公园里的花都开了孩子们在草地上跑"
+    rows = [(apart + "一" + apart + "二三" + apart,), (apart + "一" + apart,), ("plain text",), (None,), ("",)]
+    got = spark.createDataFrame(rows, "t string").select(validation.repeats_apart(F.coalesce("t", F.lit(""))).alias("r")).collect()
+    assert [r.r for r in got] == [True, False, False, False, False]
