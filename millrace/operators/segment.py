@@ -27,23 +27,24 @@ class Segmenter:
     def __init__(self, counts: dict[str, int], everywhere: bool = False):
         self.counts, self.everywhere = counts, everywhere
         self.total = math.log(max(1, sum(counts.values())))
+        self.logs = {w: math.log(n) - self.total for w, n in counts.items() if n}
         self.begins = {w[:i] for w in counts for i in range(1, len(w))}
 
     def path(self, text: str) -> list[str]:
         """The words of greatest joint probability; an unknown character counts once. Of equal paths, the one whose first word is longest."""
         n = len(text)
         best, step = [0.0] * (n + 1), [0] * n
+        logs, begins, lone = self.logs, self.begins, -self.total
         for i in range(n - 1, -1, -1):
-            best[i] = -math.inf
-            j = i + 1
-            while True:
+            word = text[i]
+            at, to = logs.get(word, lone) + best[i + 1], i + 1
+            j = i + 2
+            while j <= n and word in begins:
                 word = text[i:j]
-                count = self.counts.get(word, int(j == i + 1))
-                if count and (value := math.log(count) - self.total + best[j]) >= best[i]:
-                    best[i], step[i] = value, j
+                if (log := logs.get(word)) is not None and (value := log + best[j]) >= at:
+                    at, to = value, j
                 j += 1
-                if j > n or word not in self.begins:
-                    break
+            best[i], step[i] = at, to
         out, i = [], 0
         while i < n:
             out.append(text[i : step[i]])

@@ -320,16 +320,19 @@ def segmented_scores(spark, sf_dir):
     """MET5: messages without their blanks, cut into the words of the documents by the most probable path; scores against the next message."""
     from millrace.operators.metrics import training_scores
     from millrace.operators.segment import Segmenter, count_words
+    from millrace.storage import written
 
     cut = Segmenter(count_words(table(spark, sf_dir, "documents").select(F.split(F.lower("text"), r"\s+").alias("w")), "w"), everywhere=True)
     squeezed = F.regexp_replace(F.lower("text"), r"\s+", "")
-    rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", squeezed.alias("p"))
-    pairs = rows.join(rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("p").alias("r")), ["conv_id", "turn"], "left")
+    rows = spread(table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", squeezed.alias("p")))
 
-    @F.pandas_udf("n_words long, log_probability double")
+    @F.pandas_udf("words array<string>, log_probability double")
     def measured(texts: pd.Series) -> pd.DataFrame:
         found = [cut(t) for t in texts]
-        known = [sum(math.log(cut.counts.get(w, 1)) - cut.total for w in words if w[0].isalnum()) for words in found]
-        return pd.DataFrame({"n_words": [len(w) for w in found], "log_probability": [round(x, 6) for x in known]})
+        known = [sum(cut.logs.get(w, -cut.total) for w in words if w[0].isalnum()) for words in found]
+        return pd.DataFrame({"words": found, "log_probability": [round(x, 6) for x in known]})
 
-    return training_scores(spread(pairs), "p", "r", cut).withColumn("m", measured("p")).select("conv_id", "turn", "m.*", "rouge_1", "rouge_2", "rouge_l", "bleu_4")
+    rows = written(rows.withColumn("m", measured("p")).select("conv_id", "turn", "p", "m.*"), "words")  # each message is cut once, for itself and for the one before
+    pairs = rows.join(rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("p").alias("r"), F.col("words").alias("r_words")), ["conv_id", "turn"], "left")
+    scored = training_scores(spread(pairs), "p", "r", words=("words", "r_words"))
+    return scored.select("conv_id", "turn", F.size("words").cast("long").alias("n_words"), "log_probability", "rouge_1", "rouge_2", "rouge_l", "bleu_4")

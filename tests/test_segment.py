@@ -98,3 +98,20 @@ def test_registered_query_against_a_walk_from_the_left(spark):
                 block = block[j:]
         want = probability([w for w in words if w[0].isalnum()], counts)
         assert abs(r.log_probability - round(want, 6)) < 1e-5 and r.n_words == len(words)
+
+
+def test_words_given_as_columns_are_scored_alike(spark):
+    """The query cuts each message once and hands its words over."""
+    from pyspark.sql import functions as F
+
+    from millrace.operators.metrics import training_scores
+
+    cut = Segmenter({"the": 5, "cat": 3, "sat": 2, "thecat": 1, "on": 4}, everywhere=True)
+    rows = [(1, "thecatsat", "thecat"), (2, "onthe\xa0cat", None), (3, "", "sat"), (4, "xyz", "xyzonthe"), (5, "a" * 700, "a" * 650)] * 300
+    df = spark.createDataFrame(rows, "i int, p string, r string").coalesce(1)
+    words = F.udf(lambda t: None if t is None else cut(t), "array<string>")
+    own = training_scores(df, "p", "r", cut).distinct()
+    given = training_scores(df.withColumn("a", words("p")).withColumn("b", words("r")), "p", "r", words=("a", "b")).select(*own.columns).distinct()
+    assert sorted(map(str, own.collect())) == sorted(map(str, given.collect())) and own.count() == 5
+    assert cut("thecatsat") == ["the", "cat", "sat"] or cut("thecatsat") == ["thecat", "sat"]
+    assert cut.path("zz") == ["z", "z"] and Segmenter({}).path("ab") == ["a", "b"]
