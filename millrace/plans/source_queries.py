@@ -174,12 +174,13 @@ def job_log(spark, sf_dir):
     source, checkpoint, out = (fresh_path(spark, n) for n in ("jobs", "jobs-state", "jobs-rows"))
     events = table(spark, sf_dir, "events")
     lines = events.select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), "ts", F.expr(_JOB_LINE).alias("line"), F.expr(_JOB_STATUS).alias("status"))
-    last, cuts = -1, [int(c) for c in lines.approxQuantile("seq", [0.25, 0.5, 0.75, 1.0], 0.01)]
-    for cut in (*cuts[:-1], None):
-        part = lines.where(F.col("seq") > last) if cut is None else lines.where(F.col("seq").between(last + 1, cut))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = [int(c) for c in lines.select(at.alias("at")).approxQuantile("at", [0.25, 0.5, 0.75], 0.01)]
+    for k in range(len(cuts) + 1):  # by time, as lines come to a stream: ids of one time may lie far apart
+        part = lines.where(at > cuts[k - 1]) if k else lines
+        part = part.where(at <= cuts[k]) if k < len(cuts) else part
         part.write.mode("append").parquet(source)
         follow_jobs(spark.readStream.schema(part.schema).parquet(source), out, checkpoint, idle="2 days").awaitTermination()
-        last = cut
     return spark.read.parquet(out)
 
 
