@@ -49,9 +49,16 @@ def drop_written(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df.millrace_path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def located(spark: SparkSession, path: str) -> tuple:
+    """The file system that a path lies in, and the path there, as Hadoop resolves it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, system.makeQualified(target)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    system, target = located(spark, path)
+    system.delete(target, True)
     _LEFT.get(spark.sparkContext.applicationId, set()).discard(path)
 
 

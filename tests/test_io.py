@@ -1,4 +1,6 @@
 import json
+import re
+from pathlib import Path
 
 import pytest
 
@@ -62,3 +64,51 @@ def test_stream_holds_out_its_first_rows(spark, tmp_path):
     held, rest = ([(r.batch, r.id) for r in spark.read.parquet(f"{out}/{name}").collect()] for name in ("validation", "train"))
     assert sorted(i for b, i in held if b == 0) == [0, 1, 2] and [b for b, _ in held].count(1) == 2 and len(held) == 5
     assert sorted(i for _, i in held + rest) == [0, 1, 2, 10, 11, 12, 13, 20, 21]
+
+
+def _tree(top):
+    """Folder: lines of its files, and the number of files."""
+    found = {}
+    for p in top.rglob("part-*"):
+        lines, n = found.get(str(p.parent.relative_to(top)), ([], 0))
+        found[str(p.parent.relative_to(top))] = (sorted(lines + p.read_text().split("\n")[:-1]), n + 1)
+    return found
+
+
+def test_a_folder_each_as_spark_lays_them_out(spark, tmp_path, monkeypatch):
+    """Odd names, nulls and several rows of one file: the same folders and lines as by Spark's partitioned writer, which other stores get."""
+    rows = [("a", 1, "x\ny"), ("a/b: 50%", 2, "汉字 😀"), ("", 3, None), (None, 4, ""), ("a", 5, "second"), ("q'\"[]{}^=?*\\#", 6, "z"), ("a", 7, None)]
+    pairs = spark.createDataFrame(rows, "file_id string, index long, content string").coalesce(1)
+    sinks.run_folder(pairs, str(tmp_path / "own"))
+    sinks.ready_documents(pairs, str(tmp_path / "own" / "ready"))
+    other = type("Path", (), {"toUri": lambda self: self, "getScheme": lambda self: "s3a"})
+    monkeypatch.setattr(sinks, "located", lambda *_: (None, other()))
+    sinks.run_folder(pairs, str(tmp_path / "spark"))
+    sinks.ready_documents(pairs, str(tmp_path / "spark" / "ready"))
+    own, by_spark = ({n: _tree(tmp_path / w / n) for n in ("qa_pairs", "ready")} for w in ("own", "spark"))
+    assert own == by_spark and own["qa_pairs"]["file_id=a"][1] == 1 and len(own["ready"]) == 4
+    back = spark.read.json(str(tmp_path / "own" / "qa_pairs"))
+    assert {(r["file_id"], r["index"], r["content"]) for r in back.collect()} == {(f or None, i, c) for f, i, c in rows}
+
+
+def test_folders_appear_whole_or_not_at_all(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = tmp_path / "ready"
+    chunks = spark.createDataFrame([("a", 0, "old")], "file_id string, index long, content string")
+    sinks.ready_documents(chunks, str(path))
+    bad = spark.range(20, numPartitions=2).select(F.col("id").cast("string").alias("file_id"), F.col("id").alias("index"), F.when(F.col("id") == 19, F.raise_error(F.lit("stop"))).otherwise("x").alias("content"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.ready_documents(bad, str(path))
+    assert _tree(path) == {"file_id=a": (["old"], 1)} and [p.name for p in tmp_path.iterdir()] == ["ready"]
+    sinks.ready_documents(chunks.withColumn("content", F.lit("new")), str(path))
+    assert _tree(path) == {"file_id=a": (["new"], 1)} and (path / "_SUCCESS").exists()
+
+
+def test_many_folders_start_no_process_each(spark, tmp_path):
+    """Processes and threads that the machine starts while 2,000 files are written; Spark's writer started 12,066."""
+    begun = lambda: int(re.search(r"^processes (\d+)", Path("/proc/stat").read_text(), re.M)[1])
+    chunks = spark.range(2000, numPartitions=2).selectExpr("id AS file_id", "id AS index", "'x' AS content")
+    before = begun()
+    sinks.ready_documents(chunks, str(tmp_path / "ready"))
+    assert begun() - before < 2000 and len(_tree(tmp_path / "ready")) == 2000
